@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 # optional exponent, surrounding whitespace.  (nan / inf spellings -> null.)
 FLOAT_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INT_TEXT = r"^\s*[+-]?\d+\s*$"
+def try_cast(c: Column, t: str) -> Column:
+    """Cast that yields NULL instead of failing."""
+    return c.try_cast(t)
+
+
 NUMERIC_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
 
@@ -38,25 +43,25 @@ def vtype(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(vtype(v).startswith("OBJECT"), F.lit(False))
+def is_object(v: Column, t: Column | None = None) -> Column:
+    return F.coalesce((vtype(v) if t is None else t).startswith("OBJECT"), F.lit(False))
 
 
-def is_array(v: Column) -> Column:
-    return F.coalesce(vtype(v).startswith("ARRAY"), F.lit(False))
+def is_array(v: Column, t: Column | None = None) -> Column:
+    return F.coalesce((vtype(v) if t is None else t).startswith("ARRAY"), F.lit(False))
 
 
-def is_string(v: Column) -> Column:
-    return F.coalesce(vtype(v) == "STRING", F.lit(False))
+def is_string(v: Column, t: Column | None = None) -> Column:
+    return F.coalesce((vtype(v) if t is None else t) == "STRING", F.lit(False))
 
 
-def is_number(v: Column) -> Column:
-    t = vtype(v)
+def is_number(v: Column, t: Column | None = None) -> Column:
+    t = vtype(v) if t is None else t
     return F.coalesce(t.isin(*NUMERIC_TYPES) | t.startswith("DECIMAL"), F.lit(False))
 
 
-def is_bool(v: Column) -> Column:
-    return F.coalesce(vtype(v) == "BOOLEAN", F.lit(False))
+def is_bool(v: Column, t: Column | None = None) -> Column:
+    return F.coalesce((vtype(v) if t is None else t) == "BOOLEAN", F.lit(False))
 
 
 def present(v: Column) -> Column:
@@ -64,10 +69,10 @@ def present(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & ~F.is_variant_null(v), F.lit(False))
 
 
-def truthy(v: Column) -> Column:
+def truthy(v: Column, t: Column | None = None) -> Column:
     """Dynamic truthiness: missing, null, '', 0, 0.0, false, [] and {} are false;
     '0', 'false', ' ', [0] and {"a": null} are true.  Never NULL."""
-    t = vtype(v)
+    t = vtype(v) if t is None else t
     test = (F.when(t == "STRING", F.try_variant_get(v, "$", "string") != "")
             .when(t.startswith("ARRAY") | t.startswith("OBJECT"), ~F.to_json(v).isin("[]", "{}"))
             .when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
@@ -75,6 +80,19 @@ def truthy(v: Column) -> Column:
     return F.coalesce(present(v) & test, F.lit(False))
 
 
+def first_truthy_typed(pairs: list[tuple[Column, Column, Column]]) -> tuple[Column, Column]:
+    """``first_truthy`` over precomputed (value, type, truthy) columns; returns
+    (value, type) of the chosen operand so later tests need no re-inspection."""
+    if len(pairs) == 1:
+        return pairs[0][0], pairs[0][1]
+    v = F.when(pairs[0][2], pairs[0][0])
+    t = F.when(pairs[0][2], pairs[0][1])
+    for val, typ, b in pairs[1:-1]:
+        v = v.when(b, val)
+        t = t.when(b, typ)
+    return v.otherwise(pairs[-1][0]), t.otherwise(pairs[-1][1])
+
+
 def first_truthy(*vs: Column) -> Column:
     """``a or b or c``: the first truthy operand, else the last operand as it is."""
     if len(vs) == 1:
@@ -85,43 +103,43 @@ def first_truthy(*vs: Column) -> Column:
     return expr.otherwise(vs[-1])
 
 
-def as_text(v: Column) -> Column:
+def as_text(v: Column, t: Column | None = None) -> Column:
     """Variant rendered as text: strings as they are, anything else as JSON text."""
     return (F.when(~present(v), F.lit(None).cast("string"))
-            .when(is_string(v), F.try_variant_get(v, "$", "string"))
+            .when(is_string(v, t), F.try_variant_get(v, "$", "string"))
             .otherwise(F.to_json(v)))
 
 
 def text_to_double(s: Column) -> Column:
     """Strict float parse of text: the whole string must be a number."""
-    return F.when(s.rlike(FLOAT_TEXT), F.try_cast(F.regexp_replace(s, r"^\s+|\s+$", ""), "double"))
+    return F.when(s.rlike(FLOAT_TEXT), try_cast(F.regexp_replace(s, r"^\s+|\s+$", ""), "double"))
 
 
 def text_to_long(s: Column) -> Column:
     """Strict integer parse of text (no fraction, no exponent)."""
-    return F.when(s.rlike(INT_TEXT), F.try_cast(F.regexp_replace(s, r"^\s+|\s+$", ""), "bigint"))
+    return F.when(s.rlike(INT_TEXT), try_cast(F.regexp_replace(s, r"^\s+|\s+$", ""), "bigint"))
 
 
-def to_double(v: Column, strip_chars: str | None = None) -> Column:
+def to_double(v: Column, strip_chars: str | None = None, t: Column | None = None) -> Column:
     """Float conversion of a variant: numbers and booleans convert, strings are
     parsed strictly (after removing ``strip_chars``), anything else is NULL."""
     s = F.try_variant_get(v, "$", "string")
     if strip_chars:
         s = F.regexp_replace(s, "[" + "".join("\\" + c for c in strip_chars) + "]", "")
-    return (F.when(is_number(v) | is_bool(v), F.try_variant_get(v, "$", "double"))
-            .when(is_string(v), text_to_double(s)))
+    return (F.when(is_number(v, t) | is_bool(v, t), F.try_variant_get(v, "$", "double"))
+            .when(is_string(v, t), text_to_double(s)))
 
 
-def to_long(v: Column, strip_chars: str | None = None) -> Column:
+def to_long(v: Column, strip_chars: str | None = None, t: Column | None = None) -> Column:
     """Integer conversion of a variant: integers as they are, floats truncated
     toward zero, booleans 0/1, strings parsed strictly; anything else NULL."""
     s = F.try_variant_get(v, "$", "string")
     if strip_chars:
         s = F.regexp_replace(s, "[" + "".join("\\" + c for c in strip_chars) + "]", "")
     dbl = F.try_variant_get(v, "$", "double")
-    return (F.when(is_bool(v), F.try_variant_get(v, "$", "boolean").cast("bigint"))
-            .when(is_number(v), F.try_cast(F.when(dbl < 0, F.ceil(dbl)).otherwise(F.floor(dbl)), "bigint"))
-            .when(is_string(v), text_to_long(s)))
+    return (F.when(is_bool(v, t), F.try_variant_get(v, "$", "boolean").cast("bigint"))
+            .when(is_number(v, t), try_cast(F.when(dbl < 0, F.ceil(dbl)).otherwise(F.floor(dbl)), "bigint"))
+            .when(is_string(v, t), text_to_long(s)))
 
 
 def first_parsable_double(v: Column, keys: list[str], strip_chars: str = "$,") -> Column:
@@ -135,17 +153,17 @@ def price_from_text(s: Column) -> Column:
     points as a float ('Call for price: $55,000' -> 55000.0; '1.2.3' -> NULL)."""
     cleaned = F.replace(F.replace(s, F.lit("$"), F.lit("")), F.lit(","), F.lit(""))
     run = F.regexp_extract(cleaned, r"[\d.]+", 0)
-    return F.when(run.rlike(r"^(\d+\.?\d*|\.\d+)$"), F.try_cast(run, "double"))
+    return F.when(run.rlike(r"^(\d+\.?\d*|\.\d+)$"), try_cast(run, "double"))
 
 
-def polymorphic_price(v: Column) -> Column:
+def polymorphic_price(v: Column, t: Column | None = None) -> Column:
     """Price given as a number, as currency text, or as an object whose
     ``value`` / ``amount`` holds currency text.  A number inside an object
     is not read (stays NULL), matching the pinned behaviour."""
     inner = first_truthy(get(v, "value"), get(v, "amount"))
-    return (F.when(is_number(v) | is_bool(v), F.try_variant_get(v, "$", "double"))
-            .when(is_string(v), price_from_text(F.try_variant_get(v, "$", "string")))
-            .when(is_object(v) & is_string(inner), price_from_text(F.try_variant_get(inner, "$", "string"))))
+    return (F.when(is_number(v, t) | is_bool(v, t), F.try_variant_get(v, "$", "double"))
+            .when(is_string(v, t), price_from_text(F.try_variant_get(v, "$", "string")))
+            .when(is_object(v, t) & is_string(inner), price_from_text(F.try_variant_get(inner, "$", "string"))))
 
 
 def nonempty_list(v: Column) -> Column:
@@ -156,12 +174,12 @@ def nonempty_list(v: Column) -> Column:
 
 def join_truthy(arr: Column) -> Column:
     """Space-join of the truthy members of an array, each rendered as text."""
-    return F.array_join(F.transform(F.filter(arr, truthy), as_text), " ")
+    return F.array_join(F.transform(F.filter(arr, lambda x: truthy(x)), lambda x: as_text(x)), " ")
 
 
-def text_or_joined(v: Column) -> Column:
+def text_or_joined(v: Column, t: Column | None = None) -> Column:
     """A list value becomes the space-join of its truthy members; other values as text."""
-    return F.when(is_array(v), join_truthy(F.try_variant_get(v, "$", "array<variant>"))).otherwise(as_text(v))
+    return F.when(is_array(v, t), join_truthy(F.try_variant_get(v, "$", "array<variant>"))).otherwise(as_text(v, t))
 
 
 def py_str(v: Column) -> Column:

@@ -173,3 +173,12 @@ def materialize(spark: SparkSession, name: str, build, key: str) -> DataFrame:
     if not path_exists(spark, path + "/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_partitioned(spark: SparkSession, name: str, build, key: str, by: list[str]) -> DataFrame:
+    """``materialize`` with a partitioned layout (directory per value of ``by``)."""
+    base = work_dir(spark)
+    path = f"{base}/tables/{name}/{key}"
+    if not path_exists(spark, path + "/_SUCCESS"):
+        build().write.mode("overwrite").partitionBy(*by).parquet(path)
+    return spark.read.parquet(path)

@@ -348,3 +348,7 @@ def q_run_totals(spark, sf):
     o = derived.obs(spark, sf).withColumn(
         "run_id", (F.year("scraped_at") * 100 + F.month("scraped_at")).cast("bigint"))
     return run_ops.totals(o)
+
+
+# Queries over the capture table register themselves on import.
+from . import capture_catalog  # noqa: E402,F401

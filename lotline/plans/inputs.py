@@ -31,3 +31,16 @@ def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vehicles_unwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_vehicles(derived.obs(spark, sf_dir), SEQ)
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture table written once, partitioned by platform so a platform's
+    normaliser scans only its own pages (partition pruning)."""
+    from ..sources.captures import build_captures
+
+    def build() -> DataFrame:
+        return build_captures(derived.obs(spark, sf_dir))
+
+    base = f"captures"
+    from ..operators.upsert import materialize_partitioned
+    return materialize_partitioned(spark, base, build, _key(sf_dir), ["platform"])
