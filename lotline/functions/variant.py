@@ -47,6 +47,18 @@ def is_object(v: Column, t: Column | None = None) -> Column:
     return F.coalesce((vtype(v) if t is None else t).startswith("OBJECT"), F.lit(False))
 
 
+def is_object_cheap(v: Column) -> Column:
+    """Object test without rendering the value's full schema: an object casts
+    to an empty struct, anything else does not."""
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
+
+
+def nonempty_array_at(v: Column, path: str) -> Column:
+    """True when ``path`` holds an array with at least one member (reads only
+    the first member instead of materialising the array)."""
+    return F.try_variant_get(v, "$." + path + "[0]", "variant").isNotNull()
+
+
 def is_array(v: Column, t: Column | None = None) -> Column:
     return F.coalesce((vtype(v) if t is None else t).startswith("ARRAY"), F.lit(False))
 
@@ -172,14 +184,19 @@ def nonempty_list(v: Column) -> Column:
     return F.when(F.size(arr) > 0, arr)
 
 
-def join_truthy(arr: Column) -> Column:
-    """Space-join of the truthy members of an array, each rendered as text."""
-    return F.array_join(F.transform(F.filter(arr, lambda x: truthy(x)), lambda x: as_text(x)), " ")
+def join_truthy(v: Column) -> Column:
+    """Space-join of the non-empty members of an array value, each as text.
+
+    Members are read as strings (numbers in their JSON spelling), empty
+    strings and nulls are dropped.  Built without lambda functions so the
+    projection stays inside whole-stage codegen."""
+    arr = F.try_variant_get(v, "$", "array<string>")
+    return F.array_join(F.array_remove(arr, ""), " ")
 
 
 def text_or_joined(v: Column, t: Column | None = None) -> Column:
     """A list value becomes the space-join of its truthy members; other values as text."""
-    return F.when(is_array(v, t), join_truthy(F.try_variant_get(v, "$", "array<variant>"))).otherwise(as_text(v, t))
+    return F.when(is_array(v, t), join_truthy(v)).otherwise(as_text(v, t))
 
 
 def py_str(v: Column) -> Column:

@@ -28,31 +28,41 @@ def _list_at(v: Column, path: str) -> Column:
 
 
 def vehicle_list(spec: PlatformSpec, v: Column) -> tuple[Column, Column]:
-    """(list as ARRAY<VARIANT> or NULL, name of the path it came from)."""
-    if spec.gate:
-        gated = V.get_path(v, spec.gate).isNotNull()
-        primary = F.try_variant_get(V.get_path(v, spec.primary), "$", "array<variant>")
-    fallback = F.coalesce(*[_list_at(v, p) for p in spec.paths])
-    fb_path = F.coalesce(*[F.when(_list_at(v, p).isNotNull(), F.lit(p)) for p in spec.paths])
-    ok = V.is_object(v)
+    """(list as ARRAY<VARIANT> or NULL, name of the path it came from).
+
+    Paths are probed by their first member only; the one chosen list is then
+    cast once, so a page costs one array materialisation whatever the number
+    of fallback paths."""
+    ok = V.is_object_cheap(v)
     if spec.object_parent:
         parent = V.get(v, spec.object_parent)
         # a present parent that is not an object (null included) stops the search
-        ok = ok & (parent.isNull() | V.is_object(parent))
+        ok = ok & (parent.isNull() | V.is_object_cheap(parent))
+    lst = None
+    path = None
+    for p in spec.paths:
+        hit = V.nonempty_array_at(v, p)
+        arr = F.try_variant_get(v, "$." + p, "array<variant>")
+        lst = F.when(hit, arr) if lst is None else lst.when(hit, arr)
+        path = F.when(hit, F.lit(p)) if path is None else path.when(hit, F.lit(p))
     if spec.gate:
-        lst = F.when(ok, F.when(gated, primary).otherwise(fallback))
-        path = F.when(ok & (F.size(lst) > 0), F.when(gated, F.lit(spec.primary)).otherwise(fb_path))
+        gated = V.get_path(v, spec.gate).isNotNull()
+        primary = F.try_variant_get(v, "$." + spec.primary, "array<variant>")
+        lst = F.when(ok, F.when(gated, primary).otherwise(lst))
+        path = F.when(ok & V.nonempty_array_at(v, spec.primary) & gated, F.lit(spec.primary)) \
+                .when(ok & ~gated, path)
     else:
-        lst = F.when(ok, fallback)
-        path = F.when(ok, fb_path)
+        lst = F.when(ok, lst)
+        path = F.when(ok, path)
     return lst, path
 
 
 def explode_records(spec: PlatformSpec, parsed: DataFrame, keep=("dealer", "page_no", "source_url")) -> DataFrame:
     """One row per list member: (keep..., path, pos, rec VARIANT)."""
     lst, path = vehicle_list(spec, F.col("v"))
-    staged = parsed.select(*keep, path.alias("path"), lst.alias("_list"))
-    return staged.select(*keep, "path", F.posexplode("_list").alias("pos", "rec"))
+    # Generate straight from the list expression: staging the ARRAY<VARIANT>
+    # in its own projection first copies every record once more.
+    return parsed.select(*keep, path.alias("path"), F.posexplode(lst).alias("pos", "rec"))
 
 
 def extract(spec: PlatformSpec, captures: DataFrame, keep=("dealer", "page_no", "source_url")) -> DataFrame:

@@ -47,7 +47,7 @@ class Rec:
     def stage(self, df: DataFrame, keep: list[str]) -> DataFrame:
         rec = F.col("rec")
         s1 = df.select(*keep, "rec", *[V.get(rec, k).alias(f"_f{self.idx[k]}") for k in self.keys])
-        s2 = s1.select("*", F.schema_of_variant("rec").alias("_t_rec"),
+        s2 = s1.select("*", V.is_object_cheap(rec).alias("_obj_rec"),
                        *[F.schema_of_variant(self.v(k)).alias(f"_t{self.idx[k]}") for k in self.keys])
         return s2.select("*", *[V.truthy(self.v(k), self.t(k)).alias(f"_b{self.idx[k]}") for k in self.keys])
 
@@ -208,7 +208,7 @@ def normalize_records(spec: PlatformSpec, records: DataFrame) -> DataFrame:
             continue
         cols[name] = FIELD_BUILDERS[rule.kind](r, rule, ctx)
     cols["title"] = _title(spec, r, cols)
-    reason = F.when(~V.is_object(F.col("rec"), F.col("_t_rec")), F.lit("not_object")) \
+    reason = F.when(~F.col("_obj_rec"), F.lit("not_object")) \
               .when(~V.truthy(*r.chain(spec.fields["vin"])), F.lit("no_vin"))
     for name, cond in _row_errors(spec, r).items():
         reason = reason.when(cond, F.lit(name))
