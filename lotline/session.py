@@ -41,20 +41,29 @@ def apply_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
+_WORK_DIRS: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables and stream checkpoints.
 
     On a cluster this is the folder named by ``spark.checkpoint.dir`` (shared
     storage every executor can reach).  Only when the session names none, as
-    in local tests, one is created here and registered on the session.
+    in local tests, a folder is created here and registered as the
+    checkpoint folder of the context.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        return d.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app in _WORK_DIRS:
+        return _WORK_DIRS[app]
+    d = spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="lotline-work-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
+    _WORK_DIRS[app] = d.rstrip("/")
+    return _WORK_DIRS[app]
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
