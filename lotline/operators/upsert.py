@@ -80,6 +80,9 @@ def identity_columns(items: DataFrame, identity: str = "title") -> dict[str, Col
     own values where present, the parsed title filling the gaps."""
     parsed = parse_title(F.col("title") if "title" in items.columns else F.lit(""))
     out = {c: parsed[c] for c in IDENTITY_FIELDS}
+    if identity == "payload" and "title" not in items.columns:
+        # nothing to parse: identity fields are supplied only if present
+        return {c: F.col(c) for c in IDENTITY_FIELDS if c in items.columns}
     if identity == "payload":
         for c in ("year", "model", "trim"):
             if c in items.columns:
@@ -90,36 +93,43 @@ def identity_columns(items: DataFrame, identity: str = "title") -> dict[str, Col
 
 
 def merge(target: DataFrame, items: DataFrame, as_of, seq: list[str] | None = None,
-          identity: str = "title") -> tuple[DataFrame, DataFrame]:
+          identity: str = "title", keep_seq: bool = False) -> tuple[DataFrame, DataFrame]:
     """Upsert ``items`` into ``target``; returns (new table, rejects).
 
     ``seq``: item columns giving the arrival order (last wins).  When absent
     the items must already be one per VIN.  ``as_of``: the write time
-    (a literal, so reruns give the same table)."""
+    (a literal, so reruns give the same table).  ``keep_seq``: carry the
+    winning sequence in a ``_seq`` column so later merges are order-aware
+    (an item older than the stored one does not replace it); a target that
+    has ``_seq`` is always merged order-aware."""
     as_of = F.lit(as_of).cast("timestamp_ntz") if not isinstance(as_of, Column) else as_of
     seq = seq or []
     supplied = [c for c in ITEM_FIELDS if c in items.columns]
     ident = identity_columns(items, identity)
+    ident_fields = [c for c in IDENTITY_FIELDS if c in ident]
     staged = items.select(
         F.col("vin"),
         *[F.col(c).cast(VEHICLES[c].dataType).alias(c) for c in supplied],
-        *[ident[c].cast(VEHICLES[c].dataType).alias(c) for c in IDENTITY_FIELDS],
+        *[ident[c].cast(VEHICLES[c].dataType).alias(c) for c in ident_fields],
         *([F.col("id").cast("bigint").alias("_new_id")] if "id" in items.columns else []),
-        *[F.col(c).alias("_seq_" + c) for c in seq])
+        *([F.struct(*seq).alias("_seq")] if seq else []))
     # 1. rows invalid on their own (a supplied NULL in a required column).
-    checked = staged.withColumn("violations", constraint_violations(staged, ["vin"] + supplied +
-                                                                    ["make", "model"]))
+    present_cols = set(["vin"] + supplied + ident_fields)
+    required = [c for c in VEHICLES_REQUIRED if c in present_cols]
+    checked = staged.withColumn("violations", constraint_violations(staged, required))
     rejects = checked.where(F.size("violations") > 0)
     valid = checked.where(F.size("violations") == 0).drop("violations")
     # 2. last write per VIN.
     if seq:
-        valid = last_per_key(valid, "vin", ["_seq_" + c for c in seq])
-        valid = valid.drop(*["_seq_" + c for c in seq])
+        valid = last_per_key(valid, "vin", ["_seq"])
     # 3. merge.
     s = valid.alias("s")
     t = target.alias("t")
     j = s.join(t, F.col("s.vin") == F.col("t.vin"), "full_outer")
-    matched_src = F.col("s.vin").isNotNull()
+    take = F.col("s.vin").isNotNull()
+    order_aware = seq and "_seq" in target.columns
+    if order_aware:
+        take = take & (F.col("t._seq").isNull() | (F.col("s._seq") >= F.col("t._seq")))
     cols = []
     for f in VEHICLES.fields:
         c = f.name
@@ -129,26 +139,39 @@ def merge(target: DataFrame, items: DataFrame, as_of, seq: list[str] | None = No
             new_id = F.col("s._new_id") if "id" in items.columns else F.lit(None).cast("bigint")
             cols.append(F.coalesce(F.col("t.id"), new_id,
                                    F.xxhash64(F.col("s.vin")).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))).alias("id"))
-        elif c in supplied or c in IDENTITY_FIELDS:
-            cols.append(F.when(matched_src, F.col("s." + c)).otherwise(F.col("t." + c)).alias(c))
+        elif c in supplied or c in ident_fields:
+            cols.append(F.when(take, F.col("s." + c)).otherwise(F.col("t." + c)).alias(c))
         elif c in ("scraped_at", "updated_at"):
-            cols.append(F.when(matched_src, as_of).otherwise(F.col("t." + c)).alias(c))
+            cols.append(F.when(take, as_of).otherwise(F.col("t." + c)).alias(c))
         elif c == "created_at":
-            cols.append(F.when(matched_src, F.coalesce(F.col("t.created_at"), as_of))
+            cols.append(F.when(take, F.coalesce(F.col("t.created_at"), as_of))
                         .otherwise(F.col("t.created_at")).alias(c))
         else:  # column absent from the items: keep the stored value
             cols.append(F.col("t." + c).alias(c))
-    merged = j.select(*cols, matched_src.alias("_touched"), F.col("t.vin").isNotNull().alias("_existed"))
+    extra = []
+    if keep_seq and seq:
+        old_seq = F.col("t._seq") if "_seq" in target.columns else F.lit(None)
+        extra.append(F.when(take, F.col("s._seq")).otherwise(old_seq).alias("_seq"))
+    merged = j.select(*cols, *extra, take.alias("_touched"), F.col("t.vin").isNotNull().alias("_existed"))
     # An insert of an item that lacks a required column breaks NOT NULL too.
     merged = merged.withColumn("violations", constraint_violations(merged))
-    late_rejects = merged.where(F.col("_touched") & ~F.col("_existed") & (F.size("violations") > 0))
-    table = merged.where(~(F.col("_touched") & ~F.col("_existed") & (F.size("violations") > 0)))
-    table = table.drop("_touched", "_existed", "violations")
+    bad_insert = F.col("_touched") & ~F.col("_existed") & (F.size("violations") > 0)
+    late_rejects = merged.where(bad_insert)
+    table = merged.where(~bad_insert).drop("_touched", "_existed", "violations")
     rej_cols = ["vin", "violations"]
     all_rejects = rejects.select(*rej_cols).unionByName(late_rejects.select(*rej_cols))
+    if keep_seq and seq:
+        return _conform_with_seq(table), all_rejects
     return conform(table), all_rejects
 
 
+def _conform_with_seq(df: DataFrame) -> DataFrame:
+    """Declared vehicle columns plus the hidden ``_seq`` state column."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in VEHICLES.fields], "_seq")
+
+
 def duplicate_vins(vehicles: DataFrame) -> DataFrame:
     """Post-condition of the unique-VIN rule: VINs stored more than once."""
     return vehicles.groupBy("vin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
