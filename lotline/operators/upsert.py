@@ -205,3 +205,12 @@ def materialize_partitioned(spark: SparkSession, name: str, build, key: str, by:
     if not path_exists(spark, path + "/_SUCCESS"):
         build().write.mode("overwrite").partitionBy(*by).parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_text(spark: SparkSession, name: str, build, key: str) -> DataFrame:
+    """Write a one-column (``value``) DataFrame as text once; read it back."""
+    base = work_dir(spark)
+    path = f"{base}/tables/{name}/{key}"
+    if not path_exists(spark, path + "/_SUCCESS"):
+        build().write.mode("overwrite").text(path)
+    return spark.read.text(path)

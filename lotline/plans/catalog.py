@@ -353,3 +353,4 @@ def q_run_totals(spark, sf):
 # Queries over the capture table register themselves on import.
 from . import capture_catalog  # noqa: E402,F401
 from . import upsert_catalog  # noqa: E402,F401
+from . import misc_catalog  # noqa: E402,F401
