@@ -214,3 +214,12 @@ def materialize_text(spark: SparkSession, name: str, build, key: str) -> DataFra
     if not path_exists(spark, path + "/_SUCCESS"):
         build().write.mode("overwrite").text(path)
     return spark.read.text(path)
+
+
+def materialize_csv(spark: SparkSession, name: str, build, key: str) -> str:
+    """Write a CSV (header, UTF-8) once under the shared work folder; return its path."""
+    base = work_dir(spark)
+    path = f"{base}/tables/{name}/{key}"
+    if not path_exists(spark, path + "/_SUCCESS"):
+        build().write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    return path

@@ -235,3 +235,32 @@ def q_extract_presence(spark, sf):
 def q_capture_completeness(spark, sf):
     caps = _caps(spark, sf).where(F.col("capture_kind") == "page")
     return X.completeness(DEALERCOM, caps)
+
+
+# ---------------------------------------------------------------- more platforms / layouts
+from ..sources.custom_platform import CARLOT, build_carlot_captures  # noqa: E402
+from ..operators.upsert import materialize_partitioned  # noqa: E402
+from . import derived  # noqa: E402
+
+
+@register("normalize_custom",
+          "SELECT vin, dealer, 'CarLot' AS dealer_platform, 'https://carlot.example.com/cars/' || vin AS source_url, "
+          "title, CASE WHEN year BETWEEN 1980 AND 2030 THEN year END AS year, model, trim, price, msrp, ext_color, "
+          "int_color, odometer, options, page_no, pos FROM caprec WHERE m % 53 <> 0", ("caprec",))
+def q_normalize_custom(spark, sf):
+    caps = build_carlot_captures(derived.obs(spark, sf))
+    return N.normalize(CARLOT, caps).select(*N.ITEM_COLUMNS, "page_no", "pos")
+
+
+def listings(spark, sf):
+    """Accepted items of every platform, written partitioned by model: a
+    model / year request prunes to one directory before any file is read."""
+    return materialize_partitioned(spark, "listings", lambda: N.normalize_all([DEALERCOM, ROADSTER], _caps(spark, sf)),
+                                   inputs._key(sf), ["model"])
+
+
+@register("capture_pruned",
+          f"SELECT {ITEM_SQL} FROM expected_items WHERE reject_reason IS NULL AND model = 'iX' AND year = 2016",
+          ("expected_items",))
+def q_capture_pruned(spark, sf):
+    return listings(spark, sf).where((F.col("model") == "iX") & (F.col("year") == 2016)).select(*N.ITEM_COLUMNS)

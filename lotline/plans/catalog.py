@@ -354,3 +354,20 @@ def q_run_totals(spark, sf):
 from . import capture_catalog  # noqa: E402,F401
 from . import upsert_catalog  # noqa: E402,F401
 from . import misc_catalog  # noqa: E402,F401
+
+
+_CSV_COLS = ["name", "city", "website", "phone"]
+
+
+@register("dealers_csv_first_n", "SELECT name, city, website, phone FROM dealers ORDER BY ord LIMIT 5",
+          ("dealers",))
+def q_dealers_csv_first_n(spark, sf):
+    """Registry written as CSV files (header, UTF-8) in registry order, read
+    back with the declared schema; the first five lines of the files."""
+    from ..operators.upsert import materialize_csv
+    from ..sources.tables import read_dealers_csv
+    path = materialize_csv(spark, "dealers_csv",
+                           lambda: derived.dealers(spark, sf).repartitionByRange(4, "ord")
+                           .sortWithinPartitions("ord").select(*_CSV_COLS)
+                           .toDF("Dealer", "City", "Website", "Phone"), inputs._key(sf))
+    return dealer_ops.first_n(read_dealers_csv(spark, path), 5).select(*_CSV_COLS)

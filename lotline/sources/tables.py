@@ -18,16 +18,16 @@ def read_vehicles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dealers_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Dealer registry CSV (header, UTF-8) with the file order kept as ``ord``.
+    """Dealer registry CSV (header, UTF-8, explicit schema) with file order kept.
 
-    Spark gives no ordering guarantee across a CSV scan, so the position is
-    taken from the file itself: ``monotonically_increasing_id`` is ordered by
-    (partition, row) and a single file is read in split order.
-    """
+    ``ord`` = (file, split start, row within split): sorting by it gives the
+    order of the rows in the files, however the splits were spread over
+    tasks, so "first N dealers" means the first N lines of the registry."""
     from pyspark.sql import functions as F
     from .schemas import DEALERS_CSV
     df = (spark.read.schema(DEALERS_CSV).option("header", True).option("encoding", "UTF-8")
           .option("mode", "PERMISSIVE").csv(path))
     return df.select(F.col("Dealer").alias("name"), F.col("City").alias("city"),
                      F.col("Website").alias("website"), F.col("Phone").alias("phone"),
-                     F.monotonically_increasing_id().alias("ord"))
+                     F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"),
+                              F.monotonically_increasing_id().alias("row")).alias("ord"))
