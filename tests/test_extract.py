@@ -1,0 +1,55 @@
+"""List-path resolution of captured pages."""
+
+import json
+
+import pytest
+
+from lotline.operators.extract import extract
+from lotline.operators.platforms import DEALERCOM, ROADSTER
+
+ITEMS = [{"vin": "A"}, {"vin": "B"}]
+
+
+def _run(spark, spec, payload):
+    text = payload if isinstance(payload, str) else json.dumps(payload)
+    caps = spark.createDataFrame([("D", spec.name, 0, "https://d.example.com/inv", text)],
+                                 "dealer string, platform string, page_no long, source_url string, payload string")
+    return extract(spec, caps).orderBy("pos").collect()
+
+
+@pytest.mark.parametrize("payload,path", [
+    ({"DDC": {"InvData": {"inventory": {"inventory": ITEMS}}}}, "DDC.InvData.inventory.inventory"),
+    ({"DDC": {"inventory": ITEMS}}, "DDC.inventory"),
+    ({"inventory": ITEMS}, "inventory"),
+    ({"_DDC": {"InvData": {"inventory": ITEMS}}}, "_DDC.InvData.inventory"),
+    ({"ddc": {"InvData": {"inventory": ITEMS}}}, "ddc.InvData.inventory"),
+    ({"DDC": {"inventoryData": ITEMS}}, "DDC.inventoryData"),
+    ({"DDC": {"InvData": {"vehicles": ITEMS}}}, "DDC.InvData.vehicles"),
+    ({"DDC": {"inventory": []}, "inventory": ITEMS}, "inventory"),
+    ({"DDC": {"inventory": {"x": 1}}, "inventory": ITEMS}, "inventory"),
+])
+def test_dealercom_paths(spark, payload, path):
+    rows = _run(spark, DEALERCOM, payload)
+    assert [r.pos for r in rows] == [0, 1] and {r.path for r in rows} == {path}
+
+
+def test_dealercom_primary_present_but_empty_stops(spark):
+    assert _run(spark, DEALERCOM, {"DDC": {"InvData": {"inventory": {}}}, "inventory": ITEMS}) == []
+
+
+@pytest.mark.parametrize("payload,path", [
+    ({"search": {"vehicles": ITEMS}}, "search.vehicles"),
+    ({"search": {"new_inventory": ITEMS}}, "search.new_inventory"),
+    ({"search": {"results": ITEMS}}, "search.results"),
+    ({"vehicles": ITEMS}, "vehicles"),
+    ({"results": ITEMS}, "results"),
+    ({"search": {"vehicles": []}, "results": ITEMS}, "results"),
+])
+def test_roadster_paths(spark, payload, path):
+    rows = _run(spark, ROADSTER, payload)
+    assert len(rows) == 2 and {r.path for r in rows} == {path}
+
+
+@pytest.mark.parametrize("payload", [{"search": [], "vehicles": ITEMS}, "null", "[]", '"text"', "not json{"])
+def test_roadster_no_rows(spark, payload):
+    assert _run(spark, ROADSTER, payload) == []
