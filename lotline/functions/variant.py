@@ -122,14 +122,23 @@ def as_text(v: Column, t: Column | None = None) -> Column:
             .otherwise(F.to_json(v)))
 
 
+def _only(s: Column, allowed: str) -> Column:
+    """True when ``s`` consists of the ``allowed`` characters only (no regex)."""
+    return F.translate(s, allowed, "") == ""
+
+
 def text_to_double(s: Column) -> Column:
-    """Strict float parse of text: the whole string must be a number."""
-    return F.when(s.rlike(FLOAT_TEXT), try_cast(F.regexp_replace(s, r"^\s+|\s+$", ""), "double"))
+    """Strict float parse of text: the whole string must be a number.
+
+    The character check rules out what the JVM parser would also accept
+    (type suffixes such as '12d', hex floats, 'NaN' / 'Infinity'); the cast
+    then rejects malformed arrangements ('1.2.3', '1e', '+-1')."""
+    return F.when(_only(s, "0123456789.eE+- \t\n\r"), try_cast(s, "double"))
 
 
 def text_to_long(s: Column) -> Column:
     """Strict integer parse of text (no fraction, no exponent)."""
-    return F.when(s.rlike(INT_TEXT), try_cast(F.regexp_replace(s, r"^\s+|\s+$", ""), "bigint"))
+    return F.when(_only(s, "0123456789+- \t\n\r"), try_cast(s, "bigint"))
 
 
 def to_double(v: Column, strip_chars: str | None = None, t: Column | None = None) -> Column:
@@ -137,7 +146,7 @@ def to_double(v: Column, strip_chars: str | None = None, t: Column | None = None
     parsed strictly (after removing ``strip_chars``), anything else is NULL."""
     s = F.try_variant_get(v, "$", "string")
     if strip_chars:
-        s = F.regexp_replace(s, "[" + "".join("\\" + c for c in strip_chars) + "]", "")
+        s = F.translate(s, strip_chars, "")
     return (F.when(is_number(v, t) | is_bool(v, t), F.try_variant_get(v, "$", "double"))
             .when(is_string(v, t), text_to_double(s)))
 
@@ -147,7 +156,7 @@ def to_long(v: Column, strip_chars: str | None = None, t: Column | None = None)
     toward zero, booleans 0/1, strings parsed strictly; anything else NULL."""
     s = F.try_variant_get(v, "$", "string")
     if strip_chars:
-        s = F.regexp_replace(s, "[" + "".join("\\" + c for c in strip_chars) + "]", "")
+        s = F.translate(s, strip_chars, "")
     dbl = F.try_variant_get(v, "$", "double")
     return (F.when(is_bool(v, t), F.try_variant_get(v, "$", "boolean").cast("bigint"))
             .when(is_number(v, t), try_cast(F.when(dbl < 0, F.ceil(dbl)).otherwise(F.floor(dbl)), "bigint"))
@@ -163,9 +172,10 @@ def first_parsable_double(v: Column, keys: list[str], strip_chars: str = "$,") -
 def price_from_text(s: Column) -> Column:
     """Currency text: drop '$' and ',' then read the first run of digits and
     points as a float ('Call for price: $55,000' -> 55000.0; '1.2.3' -> NULL)."""
-    cleaned = F.replace(F.replace(s, F.lit("$"), F.lit("")), F.lit(","), F.lit(""))
+    cleaned = F.translate(s, "$,", "")
     run = F.regexp_extract(cleaned, r"[\d.]+", 0)
-    return F.when(run.rlike(r"^(\d+\.?\d*|\.\d+)$"), try_cast(run, "double"))
+    dots = F.length(run) - F.length(F.replace(run, F.lit("."), F.lit("")))
+    return F.when((dots <= 1) & (F.length(run) > dots), try_cast(run, "double"))
 
 
 def polymorphic_price(v: Column, t: Column | None = None) -> Column:
