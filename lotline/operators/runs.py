@@ -128,3 +128,20 @@ def totals(sightings: DataFrame, run_col: str = "run_id") -> DataFrame:
     """Per-run totals from the data itself: distinct vehicles and dealers."""
     return sightings.groupBy(run_col).agg(F.count_distinct("vin").alias("vehicles_scraped"),
                                           F.count_distinct("dealer").alias("dealers_scraped"))
+
+
+def complete(runs: DataFrame, totals: DataFrame, as_of) -> DataFrame:
+    """Mark running runs that have totals as completed: counters from the
+    totals (computed from the data), completed_at = as_of."""
+    as_of = F.lit(as_of).cast("timestamp_ntz") if not isinstance(as_of, Column) else as_of
+    t = totals.select(F.col("run_id").alias("id"), F.col("vehicles_scraped").alias("_v"),
+                      F.col("dealers_scraped").alias("_d"), F.lit(True).alias("_has"))
+    j = runs.join(t, "id", "left")
+    done = (F.col("status") == "running") & F.coalesce(F.col("_has"), F.lit(False))
+    repl = {
+        "status": F.when(done, F.lit("completed")).otherwise(F.col("status")),
+        "vehicles_scraped": F.when(done, F.col("_v").cast("int")).otherwise(F.col("vehicles_scraped")),
+        "dealers_scraped": F.when(done, F.col("_d").cast("int")).otherwise(F.col("dealers_scraped")),
+        "completed_at": F.when(done, as_of).otherwise(F.col("completed_at")),
+    }
+    return j.select(*[repl.get(c, F.col(c)).alias(c) for c in runs.columns])

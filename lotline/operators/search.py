@@ -137,10 +137,13 @@ def envelope(page: DataFrame, limit: int) -> DataFrame:
     return ranked.agg(F.to_json(arr).alias("vehicles"), F.count(F.lit(1)).alias("count"))
 
 
-def stats(vehicles: DataFrame) -> DataFrame:
-    """Total vehicles and distinct dealers (partial + final aggregate)."""
-    return vehicles.agg(F.count("id").alias("total_vehicles"),
-                        F.count_distinct("dealer").alias("total_dealers"))
+def stats(vehicles: DataFrame, approx: bool = False) -> DataFrame:
+    """Total vehicles and distinct dealers (partial + final aggregate).
+
+    ``approx=True`` counts dealers with a HyperLogLog++ sketch (bounded
+    memory, merged map-side) instead of an exact distinct."""
+    dealers = F.approx_count_distinct("dealer") if approx else F.count_distinct("dealer")
+    return vehicles.agg(F.count("id").alias("total_vehicles"), dealers.alias("total_dealers"))
 
 
 def count_by_dealer(vehicles: DataFrame) -> DataFrame:

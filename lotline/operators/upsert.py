@@ -223,3 +223,19 @@ def materialize_csv(spark: SparkSession, name: str, build, key: str) -> str:
     if not path_exists(spark, path + "/_SUCCESS"):
         build().write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
     return path
+
+
+def create_tables(spark: SparkSession, base: str) -> dict[str, str]:
+    """Create the empty ``vehicles`` and ``scrape_runs`` tables (declared
+    schemas) under ``base``; existing tables are left as they are."""
+    from ..sources.schemas import RUNS
+    paths = {"vehicles": f"{base.rstrip('/')}/vehicles", "scrape_runs": f"{base.rstrip('/')}/scrape_runs"}
+    for name, schema in (("vehicles", VEHICLES), ("scrape_runs", RUNS)):
+        if not path_exists(spark, paths[name] + "/_SUCCESS"):
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(paths[name])
+    return paths
+
+
+def bulk_insert(rows: DataFrame, path: str) -> None:
+    """Append rows (already in the declared schema) to a table."""
+    conform(rows).write.mode("append").parquet(path)

@@ -371,3 +371,18 @@ def q_dealers_csv_first_n(spark, sf):
                            .sortWithinPartitions("ord").select(*_CSV_COLS)
                            .toDF("Dealer", "City", "Website", "Phone"), inputs._key(sf))
     return dealer_ops.first_n(read_dealers_csv(spark, path), 5).select(*_CSV_COLS)
+
+
+@register("run_complete",
+          "SELECT r.id, r.platform, CASE WHEN r.status = 'running' AND t.run_id IS NOT NULL THEN 'completed' "
+          "ELSE r.status END AS status, CASE WHEN r.status = 'running' AND t.run_id IS NOT NULL "
+          "THEN CAST(t.v AS INTEGER) ELSE r.vehicles_scraped END AS vehicles_scraped, "
+          "CASE WHEN r.status = 'running' AND t.run_id IS NOT NULL THEN CAST(t.d AS INTEGER) "
+          "ELSE r.dealers_scraped END AS dealers_scraped, r.error_message, r.started_at, "
+          f"CASE WHEN r.status = 'running' AND t.run_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' "
+          "ELSE r.completed_at END AS completed_at, r.pid FROM runs r LEFT JOIN "
+          "(SELECT l_orderkey % 997 AS run_id, count(DISTINCT vin) AS v, count(DISTINCT dealer) AS d FROM obs "
+          "GROUP BY 1) t ON r.id = t.run_id", ("runs", "obs"))
+def q_run_complete(spark, sf):
+    o = derived.obs(spark, sf).withColumn("run_id", F.col("l_orderkey") % 997)
+    return run_ops.complete(derived.runs(spark, sf), run_ops.totals(o), AS_OF)

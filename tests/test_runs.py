@@ -60,3 +60,10 @@ def test_fold_events(spark):
     out = {r.run_id: r for r in R.fold_events(ev).collect()}
     assert out[1].status == "failed" and out[1].error_message == "boom"
     assert out[2].status == "running" and out[2].completed_at is None
+
+
+def test_complete_with_totals(spark, runs):
+    totals = spark.createDataFrame([(3, 7, 2)], "run_id long, vehicles_scraped long, dealers_scraped long")
+    out = {r.id: r for r in R.complete(runs, totals, NOW).collect()}
+    assert out[3].status == "completed" and out[3].vehicles_scraped == 7 and out[3].completed_at == NOW
+    assert out[1].vehicles_scraped == 150

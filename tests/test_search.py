@@ -89,3 +89,8 @@ def test_user_sort_nulls_last_case_insensitive(vehicles, spark):
     assert asc == sorted(asc, key=str.lower)
     desc = [r.odometer for r in S.sort_rows(page, "odometer", ascending=False).orderBy("sort_rank").collect()]
     assert desc == sorted(desc, reverse=True)
+
+
+def test_stats_approx_close(vehicles):
+    st = S.stats(vehicles, approx=True).first()
+    assert st.total_vehicles == 5 and abs(st.total_dealers - 3) <= 1

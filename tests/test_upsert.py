@@ -93,3 +93,12 @@ def test_unusual_prices_allowed(spark, price):
     items = _items(spark, [("V1", "D", "Dealer.com", "https://u", "2024 BMW X5", price, 1, 1)])
     out, rej = merge(_target(spark), items, AS_OF, seq=["seq"])
     assert _by_vin(out)["V1"]["price"] == price and rej.count() == 0
+
+
+def test_create_tables_and_bulk_insert(spark, tmp_path):
+    from lotline.operators.upsert import bulk_insert, create_tables
+    paths = create_tables(spark, str(tmp_path))
+    assert spark.read.parquet(paths["vehicles"]).count() == 0
+    assert spark.read.parquet(paths["scrape_runs"]).columns[:3] == ["id", "platform", "status"]
+    bulk_insert(_target(spark, [("V1", "t", 1.0), ("V2", "u", 2.0)]), paths["vehicles"])
+    assert spark.read.parquet(paths["vehicles"]).count() == 2
