@@ -113,13 +113,13 @@ def sort_rows(rows: DataFrame, column: str, ascending: bool = True, position: st
     key = _ci(rows, column)
     key = key.asc_nulls_last() if ascending else key.desc_nulls_last()
     w = Window.orderBy(key, F.col(position).asc())
-    return rows.withColumn("sort_rank", F.row_number().over(w))
+    return rows.withColumn("sort_rank", F.row_number().over(w).cast("bigint"))
 
 
 def with_position(page: DataFrame) -> DataFrame:
     """Rank of each row of a listing page in the API order (price desc, vin)."""
     w = Window.orderBy(F.col("price").desc_nulls_last(), F.col("vin").asc())
-    return page.withColumn("position", F.row_number().over(w))
+    return page.withColumn("position", F.row_number().over(w).cast("bigint"))
 
 
 def envelope(page: DataFrame, limit: int) -> DataFrame:

@@ -37,7 +37,8 @@ register_view("capobs", ["obs"], (
     "FROM obs GROUP BY dealer_key) c ON o.dealer_key = c.dealer_key"))
 
 register_view("caprec", ["capobs"], (
-    "SELECT *, row_number() OVER (PARTITION BY dealer, page_no ORDER BY m, vin, scraped_at) - 1 AS pos, "
+    "SELECT *, CAST(row_number() OVER (PARTITION BY dealer, page_no ORDER BY m, vin, scraped_at) - 1 AS INTEGER) "
+    "AS pos, "
     "CASE WHEN platform = 'roadster' THEN 'https://express.dealer' || dealer_key || "
     "'.example.com/inventory?page=' || page_no ELSE 'https://www.dealer' || dealer_key || "
     f"'.example.com/new-inventory/index.htm?start=' || (page_no * {PAGE_SIZE}) END AS page_url, "

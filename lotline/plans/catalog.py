@@ -102,8 +102,8 @@ def q_model_like(spark, sf):
 
 
 @register("vehicles_envelope",
-          "SELECT to_json(list(struct_pack(vin := vin, dealer := dealer, title := title) "
-          "ORDER BY price DESC NULLS LAST, vin)) AS vehicles, count(*) AS count FROM ("
+          "SELECT CAST(to_json(list(struct_pack(vin := vin, dealer := dealer, title := title) "
+          "ORDER BY price DESC NULLS LAST, vin)) AS VARCHAR) AS vehicles, count(*) AS count FROM ("
           "SELECT * FROM vehicles WHERE dealer = 'Supplier#000000003' "
           "ORDER BY price DESC NULLS LAST, vin LIMIT 10)", ("vehicles",))
 def q_vehicles_envelope(spark, sf):
