@@ -57,12 +57,41 @@ def vehicle_list(spec: PlatformSpec, v: Column) -> tuple[Column, Column]:
     return lst, path
 
 
+def chosen_list(spec: PlatformSpec, v: Column) -> tuple[Column, Column]:
+    """(the chosen list as a VARIANT or NULL, its path).  Only a non-empty
+    array is ever chosen, so exploding it yields exactly its members."""
+    ok = V.is_object_cheap(v)
+    if spec.object_parent:
+        parent = V.get(v, spec.object_parent)
+        ok = ok & (parent.isNull() | V.is_object_cheap(parent))
+    lst = None
+    path = None
+    for p in spec.paths:
+        hit = V.nonempty_array_at(v, p)
+        val = V.get_path(v, p)
+        lst = F.when(hit, val) if lst is None else lst.when(hit, val)
+        path = F.when(hit, F.lit(p)) if path is None else path.when(hit, F.lit(p))
+    if spec.gate:
+        gated = V.get_path(v, spec.gate).isNotNull()
+        prim_hit = V.nonempty_array_at(v, spec.primary)
+        lst = F.when(ok, F.when(gated, F.when(prim_hit, V.get_path(v, spec.primary))).otherwise(lst))
+        path = F.when(ok & gated & prim_hit, F.lit(spec.primary)).when(ok & ~gated, path)
+    else:
+        lst = F.when(ok, lst)
+        path = F.when(ok, path)
+    return lst, path
+
+
 def explode_records(spec: PlatformSpec, parsed: DataFrame, keep=("dealer", "page_no", "source_url")) -> DataFrame:
-    """One row per list member: (keep..., path, pos, rec VARIANT)."""
-    lst, path = vehicle_list(spec, F.col("v"))
-    # Generate straight from the list expression: staging the ARRAY<VARIANT>
-    # in its own projection first copies every record once more.
-    return parsed.select(*keep, path.alias("path"), F.posexplode(lst).alias("pos", "rec"))
+    """One row per list member: (keep..., path, pos, rec VARIANT).
+
+    The chosen list stays a VARIANT and is exploded by the ``variant_explode``
+    table function in a lateral join (no ARRAY<VARIANT> copy of the list)."""
+    spark = parsed.sparkSession
+    lst, path = chosen_list(spec, F.col("v"))
+    staged = parsed.select(*keep, path.alias("path"), lst.alias("_lst"))
+    out = staged.lateralJoin(spark.tvf.variant_explode(F.col("_lst").outer()))
+    return out.select(*keep, "path", "pos", F.col("value").alias("rec"))
 
 
 def extract(spec: PlatformSpec, captures: DataFrame, keep=("dealer", "page_no", "source_url")) -> DataFrame:
