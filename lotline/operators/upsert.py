@@ -239,3 +239,26 @@ def create_tables(spark: SparkSession, base: str) -> dict[str, str]:
 def bulk_insert(rows: DataFrame, path: str) -> None:
     """Append rows (already in the declared schema) to a table."""
     conform(rows).write.mode("append").parquet(path)
+
+
+def bucketed_table(spark: SparkSession, name: str, build, key: str, buckets: int = 64,
+                   by: str = "vin") -> DataFrame:
+    """A table written once, bucketed and sorted by ``by`` (default: VIN).
+
+    A merge join on ``by`` then reads the stored side already hash-partitioned
+    into ``buckets`` partitions: only the incoming items are shuffled, the
+    stored table is not.  The bucket layout is recorded in the session
+    catalog; a new session re-attaches the written files with the same
+    bucket spec."""
+    base = work_dir(spark)
+    path = f"{base}/tables/{name}/{key}"
+    table = f"lotline_{name}_{key}"
+    if not path_exists(spark, path + "/_SUCCESS"):
+        (build().write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
+         .option("path", path).saveAsTable(table))
+    elif not spark.catalog.tableExists(table):
+        schema = spark.read.parquet(path).schema
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
+                  f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)

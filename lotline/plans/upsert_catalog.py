@@ -87,8 +87,15 @@ _MERGED = (
     "FROM up_last s FULL OUTER JOIN up_target t ON s.vin = t.vin")
 
 
+def _stored_target(spark, sf):
+    """The vehicle table as stored before the new items arrive: bucketed by
+    VIN, so the merge join shuffles only the items."""
+    from ..operators.upsert import bucketed_table
+    return bucketed_table(spark, "vehicles_before", lambda: _target(spark, sf), inputs._key(sf))
+
+
 def _upsert(spark, sf):
-    table, rejects = merge(_target(spark, sf), _items(spark, sf), AS_OF, seq=ITEM_SEQ, identity="title")
+    table, rejects = merge(_stored_target(spark, sf), _items(spark, sf), AS_OF, seq=ITEM_SEQ, identity="title")
     return table, rejects
 
 
