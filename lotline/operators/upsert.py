@@ -15,6 +15,7 @@ Set-based form of a per-item "update if present, else insert":
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -185,6 +186,16 @@ def write_version(df: DataFrame, table_dir: str, version: str | None = None) ->
     return path
 
 
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def _lock(path: str) -> threading.Lock:
+    """One writer per written-table path within this process."""
+    with _LOCKS_GUARD:
+        return _LOCKS.setdefault(path, threading.Lock())
+
+
 def materialize(spark: SparkSession, name: str, build, key: str) -> DataFrame:
     """Write ``build()`` once under the shared work folder and read it back.
 
@@ -193,8 +204,9 @@ def materialize(spark: SparkSession, name: str, build, key: str) -> DataFrame:
     reuse the written table."""
     base = work_dir(spark)
     path = f"{base}/tables/{name}/{key}"
-    if not path_exists(spark, path + "/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+    with _lock(path):
+        if not path_exists(spark, path + "/_SUCCESS"):
+            build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -202,8 +214,9 @@ def materialize_partitioned(spark: SparkSession, name: str, build, key: str, by:
     """``materialize`` with a partitioned layout (directory per value of ``by``)."""
     base = work_dir(spark)
     path = f"{base}/tables/{name}/{key}"
-    if not path_exists(spark, path + "/_SUCCESS"):
-        build().write.mode("overwrite").partitionBy(*by).parquet(path)
+    with _lock(path):
+        if not path_exists(spark, path + "/_SUCCESS"):
+            build().write.mode("overwrite").partitionBy(*by).parquet(path)
     return spark.read.parquet(path)
 
 
@@ -211,8 +224,9 @@ def materialize_text(spark: SparkSession, name: str, build, key: str) -> DataFra
     """Write a one-column (``value``) DataFrame as text once; read it back."""
     base = work_dir(spark)
     path = f"{base}/tables/{name}/{key}"
-    if not path_exists(spark, path + "/_SUCCESS"):
-        build().write.mode("overwrite").text(path)
+    with _lock(path):
+        if not path_exists(spark, path + "/_SUCCESS"):
+            build().write.mode("overwrite").text(path)
     return spark.read.text(path)
 
 
@@ -220,8 +234,9 @@ def materialize_csv(spark: SparkSession, name: str, build, key: str) -> str:
     """Write a CSV (header, UTF-8) once under the shared work folder; return its path."""
     base = work_dir(spark)
     path = f"{base}/tables/{name}/{key}"
-    if not path_exists(spark, path + "/_SUCCESS"):
-        build().write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    with _lock(path):
+        if not path_exists(spark, path + "/_SUCCESS"):
+            build().write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
     return path
 
 
@@ -253,12 +268,15 @@ def bucketed_table(spark: SparkSession, name: str, build, key: str, buckets: int
     base = work_dir(spark)
     path = f"{base}/tables/{name}/{key}"
     table = f"lotline_{name}_{key}"
-    if not path_exists(spark, path + "/_SUCCESS"):
-        (build().write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
-         .option("path", path).saveAsTable(table))
-    elif not spark.catalog.tableExists(table):
-        schema = spark.read.parquet(path).schema
-        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
-                  f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    with _lock(path):
+        if not path_exists(spark, path + "/_SUCCESS"):
+            if spark.catalog.tableExists(table):
+                spark.sql(f"DROP TABLE {table}")
+            (build().write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
+             .option("path", path).saveAsTable(table))
+        elif not spark.catalog.tableExists(table):
+            schema = spark.read.parquet(path).schema
+            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+            spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
+                      f"INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(table)
