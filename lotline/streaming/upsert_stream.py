@@ -3,8 +3,9 @@ vehicle table micro-batch by micro-batch.
 
 ``readStream`` (file source, declared schema) -> ``foreachBatch(merge)``.
 Each micro-batch reads the current table version, merges its items and
-writes version ``batch=<id>``; a rerun of a batch after a failure rewrites
-the same version (idempotent by batch id), and the stream checkpoint records
+writes version ``batch=<id>`` (bucketed by VIN, so the next merge does not
+shuffle the stored state); a rerun of a batch after a failure rewrites the
+same version (idempotent by batch id), and the stream checkpoint records
 which files are done.  The table carries the winning arrival order in a
 ``_seq`` column, so a late file never overwrites newer data and the result
 does not depend on how files are grouped into batches.
@@ -18,27 +19,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators.upsert import merge
-from ..session import path_exists, work_dir
+from ..session import work_dir
 
 
 def run_stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, initial: DataFrame,
                       as_of, seq: list[str], identity: str = "title", files_per_batch: int = 2,
-                      run_dir: str | None = None) -> DataFrame:
+                      run_dir: str | None = None, buckets: int = 64) -> DataFrame:
     """Run the upsert stream over everything in ``source_dir`` (availableNow)
     and return the final table (declared columns, ``_seq`` dropped)."""
     run_dir = run_dir or f"{work_dir(spark)}/streams/upsert-{uuid.uuid4().hex}"
     state_dir = f"{run_dir}/table"
-    init_path = f"{state_dir}/batch=-1"
-    if not path_exists(spark, init_path + "/_SUCCESS"):
-        initial.write.mode("overwrite").parquet(init_path)
-    versions: list[int] = [-1]
+    run_tag = uuid.uuid5(uuid.NAMESPACE_URL, run_dir).hex[:12]
+    versions: list[int] = []
+
+    def table_name(batch_id: int) -> str:
+        return f"lotline_stream_{run_tag}_{'init' if batch_id < 0 else batch_id}"
+
+    def write_version(df: DataFrame, batch_id: int) -> None:
+        # Each version is bucketed by VIN: the next batch's merge reads it
+        # without shuffling the stored state; only the batch is shuffled.
+        name = table_name(batch_id)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # rerun of a batch rewrites its version
+        (df.write.mode("overwrite").bucketBy(buckets, "vin").sortBy("vin")
+         .option("path", f"{state_dir}/batch={batch_id}").saveAsTable(name))
+        versions.append(batch_id)
+
+    write_version(initial, -1)
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
         prev = max(v for v in versions if v < batch_id)
-        current = spark.read.parquet(f"{state_dir}/batch={prev}")
+        current = spark.table(table_name(prev))
         table, _rejects = merge(current, batch, as_of, seq=seq, identity=identity, keep_seq=True)
-        table.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
-        versions.append(batch_id)
+        write_version(table, batch_id)
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
               .parquet(source_dir))
@@ -46,6 +58,4 @@ def run_stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType
          .option("checkpointLocation", f"{run_dir}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    last = max(versions)
-    out = spark.read.parquet(f"{state_dir}/batch={last}")
-    return out.drop("_seq")
+    return spark.table(table_name(max(versions))).drop("_seq")
