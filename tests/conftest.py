@@ -23,7 +23,7 @@ def spark():
     yield s
 
 
-def records_df(spark, records, source_url="https://express.testdealer.com/inventory", dealer="Test BMW Dealer"):
+def records_df(spark, records, source_url="https://express.dealer-t.example.com/inventory", dealer="Dealer T"):
     """Vehicle records (Python dicts / values) as extract() output rows."""
     from pyspark.sql import functions as F
     rows = [(dealer, 0, source_url, "x", i, json.dumps(r)) for i, r in enumerate(records)]

@@ -5,7 +5,7 @@ import pytest
 from lotline.operators.platforms import DEALERCOM, ROADSTER
 from tests.conftest import normalize_one
 
-PAGE = "https://express.testdealer.com/inventory"
+PAGE = "https://express.dealer-t.example.com/inventory"
 
 ROADSTER_COMPLETE = {
     "vin": "5UX53DP06N9M12345", "year": 2023, "make": "BMW", "model": "X5", "trim": "xDrive40i",
@@ -48,12 +48,12 @@ def test_roadster_zero_mileage_is_null(spark):
 
 
 def test_roadster_urls(spark):
-    page = "https://express.testdealer.com/inventory"
+    page = "https://express.dealer-t.example.com/inventory"
     absolute = normalize_one(spark, ROADSTER, {"vin": "V", "url": "https://x.com/vehicle/TEST123456789"},
                              source_url=page)
     assert absolute["source_url"] == page
     rel = normalize_one(spark, ROADSTER, {"vin": "V", "url": "/inventory/vehicle/TEST123456789"}, source_url=page)
-    assert rel["source_url"] == "https://express.testdealer.com/inventory/vehicle/TEST123456789"
+    assert rel["source_url"] == "https://express.dealer-t.example.com/inventory/vehicle/TEST123456789"
 
 
 def test_roadster_title_from_parts(spark):
