@@ -14,6 +14,7 @@ def spark():
     from lotline.session import apply_conf
     s = (SparkSession.builder.master("local[4]").appName("lotline-tests")
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "6g")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
