@@ -53,8 +53,36 @@ class Rec:
                        *[F.schema_of_variant(self.v(k)).alias(f"_t{self.idx[k]}") for k in self.keys])
         return s2.select("*", *[V.truthy(self.v(k), self.t(k)).alias(f"_b{self.idx[k]}") for k in self.keys])
 
+    staged_chains: dict = {}
+
+    @staticmethod
+    def _sig(rule):
+        return (tuple(rule.keys), rule.default, bool(rule.extra.get("absent_default")))
+
+    def stage_chains(self, df: DataFrame, rules) -> DataFrame:
+        """Evaluate each distinct alias chain once into (value, type) columns;
+        builders then refer to those columns instead of repeating the chain
+        (keeps the generated code small and the row work single)."""
+        self.staged_chains = {}
+        cols = []
+        for rule in rules:
+            sig = self._sig(rule)
+            if not rule.keys or sig in self.staged_chains:
+                continue
+            v, t = self._chain_expr(rule)
+            i = len(self.staged_chains)
+            cols += [v.alias(f"_cv{i}"), t.alias(f"_ct{i}")]
+            self.staged_chains[sig] = (F.col(f"_cv{i}"), F.col(f"_ct{i}"))
+        return df.select("*", *cols)
+
     def chain(self, rule) -> tuple[Column, Column]:
         """``a or b or c`` over the rule's keys (with its default) -> (value, type)."""
+        sig = self._sig(rule)
+        if sig in self.staged_chains:
+            return self.staged_chains[sig]
+        return self._chain_expr(rule)
+
+    def _chain_expr(self, rule) -> tuple[Column, Column]:
         pairs = [(self.v(k), self.t(k), self.b(k)) for k in rule.keys]
         if rule.default is not None:
             d = F.lit(rule.default).cast("variant")
@@ -202,7 +230,7 @@ def normalize_records(spec: PlatformSpec, records: DataFrame) -> DataFrame:
     """records(dealer, source_url, rec, ...) -> items + ``reject_reason``."""
     keep = [c for c in records.columns if c != "rec"]
     r = Rec(spec_keys(spec))
-    staged = r.stage(records, keep)
+    staged = r.stage_chains(r.stage(records, keep), spec.fields.values())
     ctx = {"source_url": F.col("source_url")}
     cols: dict[str, Column] = {}
     for name, rule in spec.fields.items():
