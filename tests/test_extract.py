@@ -53,3 +53,12 @@ def test_roadster_paths(spark, payload, path):
 @pytest.mark.parametrize("payload", [{"search": [], "vehicles": ITEMS}, "null", "[]", '"text"', "not json{"])
 def test_roadster_no_rows(spark, payload):
     assert _run(spark, ROADSTER, payload) == []
+
+
+def test_roadster_null_search_stops(spark):
+    assert _run(spark, ROADSTER, {"search": None, "vehicles": ITEMS}) == []
+
+
+def test_dealercom_non_list_alternative_skipped(spark):
+    rows = _run(spark, DEALERCOM, {"DDC": {"inventory": "text", "inventoryData": ITEMS}})
+    assert {r.path for r in rows} == {"DDC.inventoryData"}

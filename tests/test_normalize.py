@@ -143,3 +143,13 @@ def test_dealercom_options_object_or_array(spark):
 
 def test_dealercom_non_object_record_rejected(spark):
     assert normalize_one(spark, DEALERCOM, "just text")["reject_reason"] == "not_object"
+
+
+def test_roadster_make_present_null_gives_no_title(spark):
+    r = normalize_one(spark, ROADSTER, {"vin": "V", "year": 2024, "make": None, "model": "X5"})
+    assert r["title"] is None
+
+
+def test_roadster_dealer_starting_price_zero_is_last_operand(spark):
+    assert normalize_one(spark, ROADSTER, {"vin": "V", "dealer_starting_price": 0})["price"] == 0.0
+    assert normalize_one(spark, ROADSTER, {"vin": "V", "price": 0})["price"] is None
