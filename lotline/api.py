@@ -16,6 +16,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import display as D
 from .operators import runs as R
 from .operators import search as S
 from .operators.extract import explode_records, parse_payload
@@ -99,9 +100,22 @@ def ingest(spark: SparkSession, captures: DataFrame, store: VehicleStore, as_of,
 
 
 def get_vehicles(vehicles: DataFrame, dealer=None, model=None, min_price=None, max_price=None, search=None,
-                 limit: int | None = 100) -> DataFrame:
-    return S.search_vehicles(vehicles, dealer=dealer, model=model, min_price=min_price, max_price=max_price,
-                             search=search, limit=limit)
+                 limit: int | None = 100, iso_timestamps: bool = False) -> DataFrame:
+    """Listing as the API returns it; ``iso_timestamps`` renders scraped_at
+    as ISO-8601 text (fraction only when non-zero)."""
+    out = S.search_vehicles(vehicles, dealer=dealer, model=model, min_price=min_price, max_price=max_price,
+                            search=search, limit=limit)
+    if iso_timestamps:
+        out = out.withColumn("scraped_at", D.iso(F.col("scraped_at")))
+    return out
+
+
+def load_dealers(spark: SparkSession, registry_csv: str, platform_map: DataFrame) -> DataFrame:
+    """Dealer registry CSV (Dealer, City, Website, Phone) joined to a platform
+    map table (name, platform, inventory_url), with the ``supported`` flag."""
+    from .operators.dealers import dealer_config
+    from .sources.tables import read_dealers_csv
+    return dealer_config(read_dealers_csv(spark, registry_csv), platform_map)
 
 
 def get_vehicles_envelope(vehicles: DataFrame, limit: int = 100, **filters) -> DataFrame:

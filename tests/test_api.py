@@ -41,3 +41,17 @@ def test_ingest_then_query(spark, tmp_path):
     assert rows["V1"].ext_color is None  # the newer item carries no colour: a supplied NULL overwrites
     assert [r.dealer for r in api.get_dealers(v).collect()] == ["Dealer A", "Dealer B"]
     assert api.get_models(v).count() >= 28
+
+
+def test_load_dealers_and_iso(spark, tmp_path):
+    csv = tmp_path / "dealers.csv"
+    csv.write_text("Dealer,City,Website,Phone\nDealer A,Town,https://a.example.com,1\nDealer B,City,https://b.example.com,2\n"
+                   "Dealer C,Ville,https://c.example.com,3\n", encoding="utf-8")
+    pm = spark.createDataFrame([("Dealer A", "dealercom", "https://a.example.com/inv"),
+                                ("Dealer B", "cargurus", "https://b.example.com/inv")],
+                               "name string, platform string, inventory_url string")
+    cfg = api.load_dealers(spark, str(csv), pm)
+    rows = {r.name: r for r in cfg.collect()}
+    assert rows["Dealer A"].supported and not rows["Dealer B"].supported and rows["Dealer C"].platform is None
+    from lotline.operators.dealers import first_n
+    assert [r.name for r in first_n(cfg, 2).collect()] == ["Dealer A", "Dealer B"]
