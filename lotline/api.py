@@ -123,11 +123,7 @@ def get_vehicles_envelope(vehicles: DataFrame, limit: int = 100, **filters) -> D
 
 
 def get_stats(vehicles: DataFrame, runs: DataFrame) -> DataFrame:
-    last = R.latest(runs).select(F.col("started_at").alias("last_run_started_at"),
-                                 F.col("status").alias("last_run_status"),
-                                 F.col("vehicles_scraped").alias("last_run_vehicles_scraped"))
-    return S.stats(vehicles).withColumn("_k", F.lit(1)).join(last.withColumn("_k", F.lit(1)), "_k", "left") \
-            .drop("_k")
+    return S.stats_with_last_run(vehicles, runs)
 
 
 def get_dealers(vehicles: DataFrame) -> DataFrame:

@@ -146,6 +146,20 @@ def stats(vehicles: DataFrame, approx: bool = False) -> DataFrame:
     return vehicles.agg(F.count("id").alias("total_vehicles"), dealers.alias("total_dealers"))
 
 
+def stats_with_last_run(vehicles: DataFrame, runs: DataFrame) -> DataFrame:
+    """Stats row plus the latest run's start, status and vehicle count (NULL
+    when there is no run).  Both parts are single-row aggregates, combined by
+    a union and one more aggregate rather than a join."""
+    st = stats(vehicles)
+    pick = F.max_by(F.struct("started_at", "status", "vehicles_scraped"), F.col("started_at")).alias("_r")
+    last = runs.agg(pick).select(F.col("_r.started_at").alias("last_run_started_at"),
+                                 F.col("_r.status").alias("last_run_status"),
+                                 F.col("_r.vehicles_scraped").alias("last_run_vehicles_scraped"))
+    both = st.unionByName(last, allowMissingColumns=True)
+    cols = st.columns + last.columns
+    return both.agg(*[F.max(c).alias(c) for c in cols])
+
+
 def count_by_dealer(vehicles: DataFrame) -> DataFrame:
     return vehicles.groupBy("dealer").agg(F.count(F.lit(1)).alias("n"))
 

@@ -163,12 +163,7 @@ def q_models_union(spark, sf):
           "(SELECT count(id) AS total_vehicles, count(DISTINCT dealer) AS total_dealers FROM vehicles) s "
           "LEFT JOIN (SELECT * FROM runs ORDER BY started_at DESC LIMIT 1) r ON true", ("vehicles", "runs"))
 def q_stats_full(spark, sf):
-    st = S.stats(_v(spark, sf))
-    last = run_ops.latest(derived.runs(spark, sf)).select(
-        F.col("started_at").alias("last_run_started_at"), F.col("status").alias("last_run_status"),
-        F.col("vehicles_scraped").alias("last_run_vehicles_scraped"))
-    # Both sides are single-row aggregates; the join key is constant.
-    return st.withColumn("_k", F.lit(1)).join(last.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+    return S.stats_with_last_run(_v(spark, sf), derived.runs(spark, sf))
 
 
 @register("dedup_vin",

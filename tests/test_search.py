@@ -94,3 +94,14 @@ def test_user_sort_nulls_last_case_insensitive(vehicles, spark):
 def test_stats_approx_close(vehicles):
     st = S.stats(vehicles, approx=True).first()
     assert st.total_vehicles == 5 and abs(st.total_dealers - 3) <= 1
+
+
+def test_stats_with_last_run(vehicles, spark):
+    from lotline.sources.schemas import RUNS
+    no_runs = spark.createDataFrame([], RUNS)
+    r = S.stats_with_last_run(vehicles.where("false"), no_runs).first()
+    assert (r.total_vehicles, r.total_dealers, r.last_run_status) == (0, 0, None)
+    runs = spark.createDataFrame([(1, "all", "failed", 3, 1, "x", NOW, NOW, 5),
+                                  (2, "all", "running", 7, 1, None, NOW.replace(hour=5), None, 6)], RUNS)
+    r = S.stats_with_last_run(vehicles, runs).first()
+    assert (r.total_vehicles, r.last_run_status, r.last_run_vehicles_scraped) == (5, "running", 7)
