@@ -55,3 +55,21 @@ def test_load_dealers_and_iso(spark, tmp_path):
     assert rows["Dealer A"].supported and not rows["Dealer B"].supported and rows["Dealer C"].platform is None
     from lotline.operators.dealers import first_n
     assert [r.name for r in first_n(cfg, 2).collect()] == ["Dealer A", "Dealer B"]
+
+
+def test_export_report_and_dealer_lookup(spark, tmp_path):
+    import datetime as dt
+    import pytest
+    from lotline.operators.dealers import by_name, require_rows
+    from lotline.sources.schemas import VEHICLES
+    now = dt.datetime(2026, 1, 1)
+    v = spark.createDataFrame([(1, "A & B <Motors>", "2024 BMW X5", 0, "BMW", "X5", None, "V1", None, 42000.5, 0,
+                                None, None, None, "Dealer.com", None, now, now, now)], VEHICLES)
+    path = api.export_report(v, str(tmp_path / "report"))
+    r = spark.read.option("header", True).csv(path).first()
+    assert (r.dealer, r.year, r.price, r.miles, r.ext_color, r.link) == \
+        ("A &amp; B &lt;Motors&gt;", "-", "$42,001", "-", "-", "#")
+    regs = spark.createDataFrame([("Dealer A",)], "name string")
+    assert require_rows(by_name(regs, "Dealer A"), "dealer").count() == 1
+    with pytest.raises(LookupError):
+        require_rows(by_name(regs, "Nobody"), "dealer")
