@@ -144,19 +144,8 @@ def get_health(runs: DataFrame, live: DataFrame, as_of) -> DataFrame:
 
 
 def listing_report(vehicles: DataFrame) -> DataFrame:
-    """The listing table as displayed: placeholders for empty values,
-    formatted price and miles, HTML-escaped text."""
-    c = F.col
-    return vehicles.select(
-        D.escape_html(D.or_placeholder(c("dealer"), "")).alias("dealer"),
-        D.escape_html(D.or_placeholder(c("title"), "")).alias("title"),
-        F.when(c("year").isNull() | (c("year") == 0), F.lit("-")).otherwise(c("year").cast("string")).alias("year"),
-        D.fmt_price(c("price")).alias("price"),
-        D.fmt_number(c("odometer")).alias("miles"),
-        D.escape_html(D.or_placeholder(c("ext_color"), "-")).alias("ext_color"),
-        D.escape_html(D.or_placeholder(c("vin"), "")).alias("vin"),
-        D.escape_html(D.or_placeholder(c("dealer_platform"), "")).alias("platform"),
-        D.escape_html(D.or_placeholder(c("source_url"), "#")).alias("link"))
+    """The listing table as displayed (see ``display.report_columns``)."""
+    return vehicles.select(*D.report_columns())
 
 
 def export_report(vehicles: DataFrame, path: str) -> str:

@@ -49,3 +49,20 @@ def escape_html(s: Column) -> Column:
 def or_placeholder(s: Column, placeholder: str) -> Column:
     """``value || placeholder``: empty or NULL text gives the placeholder."""
     return F.when(s.isNull() | (s == ""), F.lit(placeholder)).otherwise(s)
+
+
+def report_columns() -> list[Column]:
+    """Columns of the listing report: placeholders for empty values,
+    formatted price and miles, HTML-escaped text."""
+    c = F.col
+    return [
+        escape_html(or_placeholder(c("dealer"), "")).alias("dealer"),
+        escape_html(or_placeholder(c("title"), "")).alias("title"),
+        F.when(c("year").isNull() | (c("year") == 0), F.lit("-")).otherwise(c("year").cast("string")).alias("year"),
+        fmt_price(c("price")).alias("price"),
+        fmt_number(c("odometer")).alias("miles"),
+        escape_html(or_placeholder(c("ext_color"), "-")).alias("ext_color"),
+        escape_html(or_placeholder(c("vin"), "")).alias("vin"),
+        escape_html(or_placeholder(c("dealer_platform"), "")).alias("platform"),
+        escape_html(or_placeholder(c("source_url"), "#")).alias("link"),
+    ]

@@ -124,18 +124,7 @@ def _or(c: str, ph: str) -> str:
           f"{_esc_sql(_or('source_url', '#'))} AS link FROM vehicles", ("vehicles",))
 def q_report_rows(spark, sf):
     v = inputs.vehicles(spark, sf)
-    return v.select(
-        F.col("vin").alias("key"),
-        D.escape_html(D.or_placeholder(F.col("dealer"), "")).alias("dealer"),
-        D.escape_html(D.or_placeholder(F.col("title"), "")).alias("title"),
-        F.when(F.col("year").isNull() | (F.col("year") == 0), F.lit("-")).otherwise(F.col("year").cast("string"))
-         .alias("year"),
-        D.fmt_price(F.col("price")).alias("price"),
-        D.fmt_number(F.col("odometer")).alias("miles"),
-        D.escape_html(D.or_placeholder(F.col("ext_color"), "-")).alias("ext_color"),
-        D.escape_html(D.or_placeholder(F.col("vin"), "")).alias("vin"),
-        D.escape_html(D.or_placeholder(F.col("dealer_platform"), "")).alias("platform"),
-        D.escape_html(D.or_placeholder(F.col("source_url"), "#")).alias("link"))
+    return v.select(F.col("vin").alias("key"), *D.report_columns())
 
 
 @register("html_escape",
