@@ -20,8 +20,12 @@ BASE_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "lotline") -> SparkSession:
+              app_name: str = "lotline", driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+    if driver_memory:
+        # local mode: the driver JVM is the only executor (takes effect when
+        # this call starts the JVM)
+        builder = builder.config("spark.driver.memory", driver_memory)
     if master:
         builder = builder.master(master)
     for k, v in BASE_CONF.items():
