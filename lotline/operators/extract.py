@@ -27,36 +27,6 @@ def _list_at(v: Column, path: str) -> Column:
     return V.nonempty_list(V.get_path(v, path))
 
 
-def vehicle_list(spec: PlatformSpec, v: Column) -> tuple[Column, Column]:
-    """(list as ARRAY<VARIANT> or NULL, name of the path it came from).
-
-    Paths are probed by their first member only; the one chosen list is then
-    cast once, so a page costs one array materialisation whatever the number
-    of fallback paths."""
-    ok = V.is_object_cheap(v)
-    if spec.object_parent:
-        parent = V.get(v, spec.object_parent)
-        # a present parent that is not an object (null included) stops the search
-        ok = ok & (parent.isNull() | V.is_object_cheap(parent))
-    lst = None
-    path = None
-    for p in spec.paths:
-        hit = V.nonempty_array_at(v, p)
-        arr = F.try_variant_get(v, "$." + p, "array<variant>")
-        lst = F.when(hit, arr) if lst is None else lst.when(hit, arr)
-        path = F.when(hit, F.lit(p)) if path is None else path.when(hit, F.lit(p))
-    if spec.gate:
-        gated = V.get_path(v, spec.gate).isNotNull()
-        primary = F.try_variant_get(v, "$." + spec.primary, "array<variant>")
-        lst = F.when(ok, F.when(gated, primary).otherwise(lst))
-        path = F.when(ok & V.nonempty_array_at(v, spec.primary) & gated, F.lit(spec.primary)) \
-                .when(ok & ~gated, path)
-    else:
-        lst = F.when(ok, lst)
-        path = F.when(ok, path)
-    return lst, path
-
-
 def chosen_list(spec: PlatformSpec, v: Column) -> tuple[Column, Column]:
     """(the chosen list as a VARIANT or NULL, its path).  Only a non-empty
     array is ever chosen, so exploding it yields exactly its members."""
@@ -164,7 +134,7 @@ def completeness(spec: PlatformSpec, captures: DataFrame) -> DataFrame:
     """Whether a page signals more pages: a full page (>= 18 records) that also
     carries a next link."""
     parsed = parse_payload(captures.where((F.col("platform") == spec.name)))
-    lst, _ = vehicle_list(spec, F.col("v"))
-    n = F.coalesce(F.size(lst), F.lit(0))
+    lst, _ = chosen_list(spec, F.col("v"))
+    n = F.coalesce(F.size(F.try_variant_get(lst, "$", "array<variant>")), F.lit(0))
     return parsed.select("dealer", "page_no", "capture_kind", n.alias("n_records"),
                          ((n >= PAGE_SIZE) & F.col("next_url").isNotNull()).alias("has_more"))
