@@ -272,7 +272,9 @@ def bucketed_table(spark: SparkSession, name: str, build, key: str, buckets: int
         if not path_exists(spark, path + "/_SUCCESS"):
             if spark.catalog.tableExists(table):
                 spark.sql(f"DROP TABLE {table}")
-            (build().write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
+            # hash-partition to the bucket count first: each task then writes
+            # one bucket file instead of one file per bucket it happens to hold
+            (build().repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
              .option("path", path).saveAsTable(table))
         elif not spark.catalog.tableExists(table):
             schema = spark.read.parquet(path).schema

@@ -35,16 +35,21 @@ def run_stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType
     def table_name(batch_id: int) -> str:
         return f"lotline_stream_{run_tag}_{'init' if batch_id < 0 else batch_id}"
 
-    def write_version(df: DataFrame, batch_id: int) -> None:
+    def write_version(df: DataFrame, batch_id: int, regroup: bool = False) -> None:
         # Each version is bucketed by VIN: the next batch's merge reads it
         # without shuffling the stored state; only the batch is shuffled.
         name = table_name(batch_id)
         spark.sql(f"DROP TABLE IF EXISTS {name}")  # rerun of a batch rewrites its version
+        # A merge result is already split by VIN hash into the bucket count (the
+        # join ran on the bucketed state), so each task writes one bucket file;
+        # the initial table is regrouped to get the same layout.
+        if regroup:
+            df = df.repartition(buckets, "vin")
         (df.write.mode("overwrite").bucketBy(buckets, "vin").sortBy("vin")
          .option("path", f"{state_dir}/batch={batch_id}").saveAsTable(name))
         versions.append(batch_id)
 
-    write_version(initial, -1)
+    write_version(initial, -1, regroup=True)
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
         prev = max(v for v in versions if v < batch_id)
