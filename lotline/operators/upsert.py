@@ -15,14 +15,12 @@ Set-based form of a per-item "update if present, else insert":
 
 from __future__ import annotations
 
-import threading
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.titles import parse_title
-from ..session import path_exists, work_dir
+from ..session import path_exists
 from ..sources.schemas import VEHICLES, VEHICLES_REQUIRED
 
 ITEM_FIELDS = ["dealer", "title", "msrp", "price", "odometer", "ext_color", "int_color", "options",
@@ -178,68 +176,6 @@ def duplicate_vins(vehicles: DataFrame) -> DataFrame:
     return vehicles.groupBy("vin").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def write_version(df: DataFrame, table_dir: str, version: str | None = None) -> str:
-    """Write a new immutable version of a table; readers keep the old one."""
-    version = version or uuid.uuid4().hex
-    path = f"{table_dir.rstrip('/')}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-_LOCKS: dict[str, threading.Lock] = {}
-_LOCKS_GUARD = threading.Lock()
-
-
-def _lock(path: str) -> threading.Lock:
-    """One writer per written-table path within this process."""
-    with _LOCKS_GUARD:
-        return _LOCKS.setdefault(path, threading.Lock())
-
-
-def materialize(spark: SparkSession, name: str, build, key: str) -> DataFrame:
-    """Write ``build()`` once under the shared work folder and read it back.
-
-    Cuts the lineage of an expensive derived table (the written files are the
-    recovery point if an executor is lost); later calls with the same key
-    reuse the written table."""
-    base = work_dir(spark)
-    path = f"{base}/tables/{name}/{key}"
-    with _lock(path):
-        if not path_exists(spark, path + "/_SUCCESS"):
-            build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def materialize_partitioned(spark: SparkSession, name: str, build, key: str, by: list[str]) -> DataFrame:
-    """``materialize`` with a partitioned layout (directory per value of ``by``)."""
-    base = work_dir(spark)
-    path = f"{base}/tables/{name}/{key}"
-    with _lock(path):
-        if not path_exists(spark, path + "/_SUCCESS"):
-            build().write.mode("overwrite").partitionBy(*by).parquet(path)
-    return spark.read.parquet(path)
-
-
-def materialize_text(spark: SparkSession, name: str, build, key: str) -> DataFrame:
-    """Write a one-column (``value``) DataFrame as text once; read it back."""
-    base = work_dir(spark)
-    path = f"{base}/tables/{name}/{key}"
-    with _lock(path):
-        if not path_exists(spark, path + "/_SUCCESS"):
-            build().write.mode("overwrite").text(path)
-    return spark.read.text(path)
-
-
-def materialize_csv(spark: SparkSession, name: str, build, key: str) -> str:
-    """Write a CSV (header, UTF-8) once under the shared work folder; return its path."""
-    base = work_dir(spark)
-    path = f"{base}/tables/{name}/{key}"
-    with _lock(path):
-        if not path_exists(spark, path + "/_SUCCESS"):
-            build().write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
-    return path
-
-
 def create_tables(spark: SparkSession, base: str) -> dict[str, str]:
     """Create the empty ``vehicles`` and ``scrape_runs`` tables (declared
     schemas) under ``base``; existing tables are left as they are."""
@@ -254,31 +190,3 @@ def create_tables(spark: SparkSession, base: str) -> dict[str, str]:
 def bulk_insert(rows: DataFrame, path: str) -> None:
     """Append rows (already in the declared schema) to a table."""
     conform(rows).write.mode("append").parquet(path)
-
-
-def bucketed_table(spark: SparkSession, name: str, build, key: str, buckets: int = 64,
-                   by: str = "vin") -> DataFrame:
-    """A table written once, bucketed and sorted by ``by`` (default: VIN).
-
-    A merge join on ``by`` then reads the stored side already hash-partitioned
-    into ``buckets`` partitions: only the incoming items are shuffled, the
-    stored table is not.  The bucket layout is recorded in the session
-    catalog; a new session re-attaches the written files with the same
-    bucket spec."""
-    base = work_dir(spark)
-    path = f"{base}/tables/{name}/{key}"
-    table = f"lotline_{name}_{key}"
-    with _lock(path):
-        if not path_exists(spark, path + "/_SUCCESS"):
-            if spark.catalog.tableExists(table):
-                spark.sql(f"DROP TABLE {table}")
-            # hash-partition to the bucket count first: each task then writes
-            # one bucket file instead of one file per bucket it happens to hold
-            (build().repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
-             .option("path", path).saveAsTable(table))
-        elif not spark.catalog.tableExists(table):
-            schema = spark.read.parquet(path).schema
-            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-            spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
-                      f"INTO {buckets} BUCKETS LOCATION '{path}'")
-    return spark.table(table)

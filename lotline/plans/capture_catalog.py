@@ -240,7 +240,7 @@ def q_capture_completeness(spark, sf):
 
 # ---------------------------------------------------------------- more platforms / layouts
 from ..sources.custom_platform import CARLOT, build_carlot_captures  # noqa: E402
-from ..operators.upsert import materialize_partitioned  # noqa: E402
+from ..sources.store import materialize_partitioned  # noqa: E402
 from . import derived  # noqa: E402
 
 

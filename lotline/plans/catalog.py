@@ -359,7 +359,7 @@ _CSV_COLS = ["name", "city", "website", "phone"]
 def q_dealers_csv_first_n(spark, sf):
     """Registry written as CSV files (header, UTF-8) in registry order, read
     back with the declared schema; the first five lines of the files."""
-    from ..operators.upsert import materialize_csv
+    from ..sources.store import materialize_csv
     from ..sources.tables import read_dealers_csv
     path = materialize_csv(spark, "dealers_csv",
                            lambda: derived.dealers(spark, sf).repartitionByRange(4, "ord")

@@ -7,7 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 
 from . import derived
-from ..operators.upsert import latest_vehicles, materialize
+from ..operators.upsert import latest_vehicles
+from ..sources.store import materialize
 
 SEQ = ["scraped_at", "l_orderkey", "l_linenumber"]
 # Salt for the written-table keys; a benchmark sets a fresh one to time the builds.
@@ -59,5 +60,5 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         return build_captures(derived.obs(spark, sf_dir))
 
     base = f"captures"
-    from ..operators.upsert import materialize_partitioned
+    from ..sources.store import materialize_partitioned
     return materialize_partitioned(spark, base, build, _key(sf_dir), ["platform"])

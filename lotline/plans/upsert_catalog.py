@@ -8,7 +8,8 @@ from . import derived, inputs
 from .catalog import AS_OF, register
 from .oracle_views import register as register_view
 from ..functions.titles import parse_title
-from ..operators.upsert import conform, latest_vehicles, materialize, merge
+from ..operators.upsert import latest_vehicles, merge
+from ..sources.store import materialize
 from ..sources.schemas import ITEM_COLUMNS
 from ..streaming.upsert_stream import run_stream_upsert
 
@@ -90,7 +91,7 @@ _MERGED = (
 def _stored_target(spark, sf):
     """The vehicle table as stored before the new items arrive: bucketed by
     VIN, so the merge join shuffles only the items."""
-    from ..operators.upsert import bucketed_table
+    from ..sources.store import bucketed_table
     return bucketed_table(spark, "vehicles_before", lambda: _target(spark, sf), inputs._key(sf))
 
 
