@@ -152,3 +152,12 @@ def export_report(vehicles: DataFrame, path: str) -> str:
     """Write the listing report as CSV files (header, UTF-8), one per task."""
     listing_report(vehicles).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
     return path
+
+
+def register_views(spark: SparkSession, vehicles: DataFrame, runs: DataFrame | None = None) -> None:
+    """Expose the tables to Spark SQL under their original names, so ad-hoc
+    SQL such as ``SELECT dealer, count(*) FROM vehicles GROUP BY dealer`` or
+    ``SELECT * FROM scrape_runs ORDER BY started_at DESC LIMIT 10`` runs as is."""
+    vehicles.createOrReplaceTempView("vehicles")
+    if runs is not None:
+        runs.createOrReplaceTempView("scrape_runs")

@@ -73,3 +73,18 @@ def test_export_report_and_dealer_lookup(spark, tmp_path):
     assert require_rows(by_name(regs, "Dealer A"), "dealer").count() == 1
     with pytest.raises(LookupError):
         require_rows(by_name(regs, "Nobody"), "dealer")
+
+
+def test_documented_sql_over_registered_views(spark):
+    import datetime as dt
+    from lotline.sources.schemas import RUNS, VEHICLES
+    now = dt.datetime(2026, 1, 1)
+    rows = [(i, d, "t", 2024, "BMW", m, None, f"V{i}", None, 1.0, 1, None, None, None, "Dealer.com", "u", now, now, now)
+            for i, (d, m) in enumerate([("A", "X3"), ("A", "X3 M"), ("B", "X5")])]
+    runs = [(i, "all", "completed", 0, 0, None, now + dt.timedelta(minutes=i), None, None) for i in range(12)]
+    api.register_views(spark, spark.createDataFrame(rows, VEHICLES), spark.createDataFrame(runs, RUNS))
+    by_dealer = {r[0]: r[1] for r in spark.sql("SELECT dealer, count(*) FROM vehicles GROUP BY dealer").collect()}
+    assert by_dealer == {"A": 2, "B": 1}
+    assert spark.sql("SELECT * FROM vehicles WHERE model LIKE '%X3%'").count() == 2
+    recent = spark.sql("SELECT * FROM scrape_runs ORDER BY started_at DESC LIMIT 10").collect()
+    assert len(recent) == 10 and recent[0].id == 11
