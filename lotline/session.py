@@ -58,6 +58,9 @@ def work_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
+        if spark.sparkContext.getCheckpointDir() is None:
+            # reliable checkpoints (DataFrame.checkpoint) go to the same folder
+            spark.sparkContext.setCheckpointDir(d)
         return d.rstrip("/")
     app = spark.sparkContext.applicationId
     if app in _WORK_DIRS:

@@ -105,3 +105,10 @@ def test_stats_with_last_run(vehicles, spark):
                                   (2, "all", "running", 7, 1, None, NOW.replace(hour=5), None, 6)], RUNS)
     r = S.stats_with_last_run(vehicles, runs).first()
     assert (r.total_vehicles, r.last_run_status, r.last_run_vehicles_scraped) == (5, "running", 7)
+
+
+def test_first_n_zero_means_all(spark):
+    from lotline.operators.dealers import first_n
+    d = spark.createDataFrame([(f"D{i}", i) for i in range(7)], "name string, ord long")
+    assert first_n(d, 0).count() == 7 and first_n(d, None).count() == 7
+    assert [r.name for r in first_n(d, 3).collect()] == ["D0", "D1", "D2"]
