@@ -112,20 +112,32 @@ def path_diagnostics(spec: PlatformSpec, captures: DataFrame) -> DataFrame:
 
 
 def presence(captures: DataFrame) -> DataFrame:
-    """Vendor-object presence flags of a Dealer.com page: DDC, its keys,
-    InvData, inventory, and whether inventory.inventory is an array (length)."""
+    """Vendor-object presence flags of a Dealer.com page: DDC and its keys,
+    InvData and its keys, inventory (its type and keys), and whether
+    inventory.inventory is an array (length)."""
     parsed = parse_payload(captures.where(F.col("platform") == "dealercom"))
     v = F.col("v")
     ddc = V.get(v, "DDC")
     inv = V.get_path(v, "DDC.InvData.inventory")
     inner = V.get_path(v, "DDC.InvData.inventory.inventory")
-    keys = F.map_keys(F.try_variant_get(ddc, "$", "map<string,variant>"))
+    def keys_of(x: Column) -> Column:
+        k = F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
+        return F.coalesce(F.array_join(F.sort_array(k), ","), F.lit(""))
+
+    t = V.vtype(inv)
+    inv_type = (F.when(inv.isNull(), F.lit("undefined"))
+                .when(F.is_variant_null(inv) | t.startswith("OBJECT") | t.startswith("ARRAY"), F.lit("object"))
+                .when(t == "STRING", F.lit("string")).when(t == "BOOLEAN", F.lit("boolean"))
+                .otherwise(F.lit("number")))
     return parsed.select(
         "dealer", "page_no", "capture_kind",
         ddc.isNotNull().alias("has_ddc"),
-        F.coalesce(F.array_join(F.sort_array(keys), ","), F.lit("")).alias("ddc_keys"),
+        keys_of(ddc).alias("ddc_keys"),
         V.get_path(v, "DDC.InvData").isNotNull().alias("has_invdata"),
+        keys_of(V.get_path(v, "DDC.InvData")).alias("invdata_keys"),
         inv.isNotNull().alias("has_inventory"),
+        inv_type.alias("inventory_type"),
+        F.when(V.is_object(inv), keys_of(inv)).otherwise(F.lit("")).alias("inventory_keys"),
         V.is_array(inner).alias("inventory_is_array"),
         F.size(F.try_variant_get(inner, "$", "array<variant>")).alias("inventory_length"))
 

@@ -211,18 +211,25 @@ def q_extract_diagnostics(spark, sf):
 _PRESENCE_KEYS = {0: "InvData", 1: "inventory", 5: "inventoryData", 6: "InvData", 7: "accounts,inventory"}
 
 
+_INVDATA_KEYS = {0: "inventory", 6: "vehicles"}
+
+
 @register("extract_presence",
-          "SELECT dealer, page_no, capture_kind, has_ddc, ddc_keys, has_invdata, has_inventory, "
-          "inventory_is_array, inventory_length FROM ("
+          "SELECT dealer, page_no, capture_kind, has_ddc, ddc_keys, has_invdata, invdata_keys, has_inventory, "
+          "inventory_type, inventory_keys, inventory_is_array, inventory_length FROM ("
           "SELECT dealer, page_no, 'page' AS capture_kind, s IN (0, 1, 5, 6, 7) AS has_ddc, "
           "CASE s " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _PRESENCE_KEYS.items()) +
-          " ELSE '' END AS ddc_keys, s IN (0, 6) AS has_invdata, s = 0 AS has_inventory, "
+          " ELSE '' END AS ddc_keys, s IN (0, 6) AS has_invdata, "
+          "CASE s " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _INVDATA_KEYS.items()) +
+          " ELSE '' END AS invdata_keys, s = 0 AS has_inventory, "
+          "CASE WHEN s = 0 THEN 'object' ELSE 'undefined' END AS inventory_type, "
+          "CASE WHEN s = 0 THEN 'inventory,pageInfo' ELSE '' END AS inventory_keys, "
           "s = 0 AS inventory_is_array, CASE WHEN s = 0 THEN n END AS inventory_length FROM "
           "(SELECT dealer, page_no, (page_no + dealer_key) % 8 AS s, CAST(count(*) AS INTEGER) AS n "
           " FROM capobs WHERE platform = 'dealercom' GROUP BY ALL) "
-          "UNION ALL SELECT DISTINCT dealer, page_no, 'trap', true, 'InvData', true, true, false, "
-          "CAST(NULL AS INTEGER) FROM capobs WHERE platform = 'dealercom' AND page_no % 10 = 0 "
-          "UNION ALL SELECT DISTINCT dealer, page_no, 'empty', false, '', false, false, false, "
+          "UNION ALL SELECT DISTINCT dealer, page_no, 'trap', true, 'InvData', true, 'inventory', true, 'object', '', "
+          "false, CAST(NULL AS INTEGER) FROM capobs WHERE platform = 'dealercom' AND page_no % 10 = 0 "
+          "UNION ALL SELECT DISTINCT dealer, page_no, 'empty', false, '', false, '', false, 'undefined', '', false, "
           "CAST(NULL AS INTEGER) FROM capobs WHERE platform = 'dealercom' AND page_no % 10 = 1)",
           ("capobs",))
 def q_extract_presence(spark, sf):
