@@ -85,19 +85,24 @@ def _py_type(v: Column, default_missing: str) -> Column:
 def path_diagnostics(spec: PlatformSpec, captures: DataFrame) -> DataFrame:
     """For each capture, each attempted list path with its type and length,
     up to and including the first path that yields a non-empty list.  A
-    missing path reads as an empty list.  Captures whose payload is not an
-    object, or whose parent container is present but not an object, have no
-    attempted paths."""
+    missing path reads as an empty list when the platform reads it with an
+    empty-list default, else as ``NoneType``.  Captures whose payload is not
+    an object, whose parent container is present but not an object, or whose
+    gate path exists (the primary list is read instead) have no attempted
+    fallback paths."""
     parsed = parse_payload(captures.where(F.col("platform") == spec.name))
     v = F.col("v")
     ok = V.is_object(v)
     if spec.object_parent:
         parent = V.get(v, spec.object_parent)
         ok = ok & (parent.isNull() | V.is_object(parent))
+    if spec.gate:
+        ok = ok & V.get_path(v, spec.gate).isNull()
+    missing = "list" if spec.object_parent else "NoneType"
     entries = []
     for i, p in enumerate(spec.paths):
         val = V.get_path(v, p)
-        typ = _py_type(val, "list")
+        typ = _py_type(val, missing)
         ln = F.when(typ == "list", F.coalesce(F.size(F.try_variant_get(val, "$", "array<variant>")), F.lit(0))
                     .cast("string")).otherwise(F.lit("N/A"))
         found_before = F.lit(False)

@@ -208,6 +208,40 @@ def q_extract_diagnostics(spark, sf):
     return X.path_diagnostics(ROADSTER, _caps(spark, sf))
 
 
+# Dealer.com fallback attempts per page shape: (path, type, length) up to the
+# path that yields the list ('n' = the page's record count).
+_DC_ATTEMPTS = {
+    1: [("DDC.inventory", "list", "n")],
+    2: [("DDC.inventory", "NoneType", "N/A"), ("inventory", "list", "n")],
+    3: [("DDC.inventory", "NoneType", "N/A"), ("inventory", "NoneType", "N/A"), ("_DDC.InvData.inventory", "list", "n")],
+    4: [("DDC.inventory", "NoneType", "N/A"), ("inventory", "NoneType", "N/A"),
+        ("_DDC.InvData.inventory", "NoneType", "N/A"), ("ddc.InvData.inventory", "list", "n")],
+    5: [("DDC.inventory", "NoneType", "N/A"), ("inventory", "NoneType", "N/A"),
+        ("_DDC.InvData.inventory", "NoneType", "N/A"), ("ddc.InvData.inventory", "NoneType", "N/A"),
+        ("DDC.inventoryData", "list", "n")],
+    6: [("DDC.inventory", "NoneType", "N/A"), ("inventory", "NoneType", "N/A"),
+        ("_DDC.InvData.inventory", "NoneType", "N/A"), ("ddc.InvData.inventory", "NoneType", "N/A"),
+        ("DDC.inventoryData", "NoneType", "N/A"), ("DDC.InvData.vehicles", "list", "n")],
+    7: [("DDC.inventory", "list", "0"), ("inventory", "list", "n")],
+}
+_DC_STEPS = ", ".join(f"({s}, {i + 1}, '{p}', '{t}', '{ln}')" for s, att in _DC_ATTEMPTS.items()
+                      for i, (p, t, ln) in enumerate(att))
+_EMPTY_STEPS = ", ".join(f"({i + 1}, '{p}')" for i, p in enumerate(DEALERCOM.paths))
+
+
+@register("extract_diagnostics_dealercom",
+          "SELECT g.dealer, g.page_no, 'page' AS capture_kind, d.step, d.path, d.path_type, "
+          "CASE WHEN d.len = 'n' THEN CAST(g.n AS VARCHAR) ELSE d.len END AS path_len FROM "
+          "(SELECT dealer, page_no, (page_no + dealer_key) % 8 AS shape, count(*) AS n FROM capobs "
+          "WHERE platform = 'dealercom' GROUP BY ALL) g "
+          f"JOIN (VALUES {_DC_STEPS}) d(shape, step, path, path_type, len) ON g.shape = d.shape "
+          "UNION ALL SELECT e.dealer, e.page_no, 'empty', d.step, d.path, 'NoneType', 'N/A' FROM "
+          "(SELECT DISTINCT dealer, page_no FROM capobs WHERE platform = 'dealercom' AND page_no % 10 = 1) e "
+          f"CROSS JOIN (VALUES {_EMPTY_STEPS}) d(step, path)", ("capobs",))
+def q_extract_diagnostics_dealercom(spark, sf):
+    return X.path_diagnostics(DEALERCOM, _caps(spark, sf))
+
+
 _PRESENCE_KEYS = {0: "InvData", 1: "inventory", 5: "inventoryData", 6: "InvData", 7: "accounts,inventory"}
 
 
