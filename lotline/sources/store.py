@@ -94,9 +94,27 @@ def bucketed_table(spark: SparkSession, name: str, build, key: str, buckets: int
             # one bucket file instead of one file per bucket it happens to hold
             (build().repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
              .option("path", path).saveAsTable(table))
-        elif not spark.catalog.tableExists(table):
-            schema = spark.read.parquet(path).schema
-            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-            spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
-                      f"INTO {buckets} BUCKETS LOCATION '{path}'")
+        else:
+            return attach_bucketed(spark, table, path, buckets, by)
     return spark.table(table)
+
+
+def attach_bucketed(spark: SparkSession, table: str, path: str, buckets: int, by: str = "vin") -> DataFrame:
+    """Register already written bucketed files under ``table`` (bucket spec
+    restored), unless the session catalog has it; return the table."""
+    if not spark.catalog.tableExists(table):
+        schema = spark.read.parquet(path).schema
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
+                  f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
+def list_dirs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the sub-folders of ``path`` (empty when it does not exist)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators.upsert import merge
-from ..session import work_dir
+from ..session import path_exists, work_dir
+from ..sources.store import attach_bucketed, list_dirs
 
 
 def run_stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, initial: DataFrame,
@@ -30,11 +31,18 @@ def run_stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType
     run_dir = run_dir or f"{work_dir(spark)}/streams/upsert-{uuid.uuid4().hex}"
     state_dir = f"{run_dir}/table"
     run_tag = uuid.uuid5(uuid.NAMESPACE_URL, run_dir).hex[:12]
-    versions: list[int] = []
+    # Versions already committed by an earlier run of this stream (same
+    # run_dir, e.g. after a driver restart) are picked up, not rewritten.
+    versions: list[int] = sorted(
+        int(n.split("=", 1)[1]) for n in list_dirs(spark, state_dir)
+        if n.startswith("batch=") and path_exists(spark, f"{state_dir}/{n}/_SUCCESS"))
 
     def table_name(batch_id: int) -> str:
         return f"lotline_stream_{run_tag}_{'init' if batch_id < 0 else batch_id}"
 
+    def version(batch_id: int) -> DataFrame:
+        return attach_bucketed(spark, table_name(batch_id), f"{state_dir}/batch={batch_id}", buckets)
+
     def write_version(df: DataFrame, batch_id: int, regroup: bool = False) -> None:
         # Each version is bucketed by VIN: the next batch's merge reads it
         # without shuffling the stored state; only the batch is shuffled.
@@ -47,13 +55,15 @@ def run_stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType
             df = df.repartition(buckets, "vin")
         (df.write.mode("overwrite").bucketBy(buckets, "vin").sortBy("vin")
          .option("path", f"{state_dir}/batch={batch_id}").saveAsTable(name))
-        versions.append(batch_id)
+        if batch_id not in versions:
+            versions.append(batch_id)
 
-    write_version(initial, -1, regroup=True)
+    if -1 not in versions:
+        write_version(initial, -1, regroup=True)
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
         prev = max(v for v in versions if v < batch_id)
-        current = spark.table(table_name(prev))
+        current = version(prev)
         table, _rejects = merge(current, batch, as_of, seq=seq, identity=identity, keep_seq=True)
         write_version(table, batch_id)
 
@@ -63,4 +73,4 @@ def run_stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType
          .option("checkpointLocation", f"{run_dir}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(table_name(max(versions))).drop("_seq")
+    return version(max(versions)).drop("_seq")

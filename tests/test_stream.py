@@ -27,3 +27,18 @@ def test_stream_equals_batch(spark):
     key = lambda df: sorted((r.vin, r.price, r.title) for r in df.collect())
     assert key(streamed) == key(batch)
     assert {r.vin: r.price for r in streamed.collect()}["V0"] == 56.0
+
+
+def test_stream_restart_keeps_committed_state(spark):
+    rows = [(f"V{i % 3}", "D", "Dealer.com", "https://u", f"2024 BMW X{i % 5} T{i}", float(i), i, i) for i in range(20)]
+    items = spark.createDataFrame(rows, "vin string, dealer string, dealer_platform string, source_url string, "
+                                        "title string, price double, odometer int, seq int")
+    src = tempfile.mkdtemp(prefix="lotline-stream-src-")
+    items.repartition(4).write.mode("overwrite").parquet(src)
+    empty = spark.createDataFrame([], VEHICLES)
+    initial = empty.withColumn("_seq", F.lit(None).cast("struct<seq:int>"))
+    run_dir = tempfile.mkdtemp(prefix="lotline-stream-run-")
+    first = run_stream_upsert(spark, src, items.schema, initial, AS_OF, ["seq"], files_per_batch=2, run_dir=run_dir)
+    want = sorted((r.vin, r.price) for r in first.collect())
+    again = run_stream_upsert(spark, src, items.schema, initial, AS_OF, ["seq"], files_per_batch=2, run_dir=run_dir)
+    assert sorted((r.vin, r.price) for r in again.collect()) == want == [("V0", 18.0), ("V1", 19.0), ("V2", 17.0)]
