@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common
+from . import bpe, common, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,3 +36,8 @@ def vocabulary() -> str:
 @query("op5_bpe_codec")
 def bpe_codec(spark, sf_dir):
     return bpe.encode(common.documents(spark, sf_dir), vocabulary())
+
+
+@query("op3_minhash_neardup")
+def minhash_neardup(spark, sf_dir):
+    return neardup.near_duplicates(common.documents(spark, sf_dir))
