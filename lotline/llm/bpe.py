@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 PIECE = 1 << 16          # characters of a text handled at once
-CACHE = 1 << 17          # words (and pairs) a worker remembers
+CACHE = 1 << 19          # words a worker remembers (about 100 MB)
 
 
 def byte_alphabet() -> list[str]:
@@ -51,102 +51,114 @@ class Transducer:
     """Encodes one word (a byte string) after the other."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
-        self.vocab, self.suffix = vocab, suffix
         self.rank = {tuple(m): r for r, m in enumerate(merges)}
         self.alphabet = byte_alphabet()
-        self.symbols: dict[str, int] = {}
+        units: dict[str, tuple[str, ...]] = {}      # token -> its single symbols
         for s in self.alphabet:
             for x in {s, s + suffix}:
                 if x in vocab:
-                    self.symbols[x] = 1
+                    units[x] = (x,)
         for a, b in merges:
-            if a in self.symbols and b in self.symbols and a + b in vocab:
-                self.symbols[a + b] = self.symbols[a] + self.symbols[b]
-        self.lookahead = max(self.symbols.values(), default=1)
-        self.token = {i: t for t, i in vocab.items()}
-        self._pairs: dict[tuple[str, str], bool] = {}
-
-    def _units(self, token: str) -> list[str]:
-        """The single symbols of a token."""
-        if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
-            body = token[: -len(self.suffix)]
-            return [*body[:-1], body[-1] + self.suffix]
-        return list(token)
+            if a in units and b in units and a + b in vocab:
+                units[a + b] = units[a] + units[b]
+        self.suffix = suffix
+        self.known = set(x for x, u in units.items() if len(u) == 1)
+        self.lookahead = max(map(len, units.values()), default=1)
+        self.token = {vocab[t]: t for t in units}
+        self.units = {vocab[t]: u for t, u in units.items()}
+        # what a token can end with, inside a word and at its end: id, or -1 for an unfinished token
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
+        for t, u in units.items():
+            ends = suffix and u[-1] != t[-1:]
+            body = t[: -len(suffix)] if ends else t
+            into = [self.final] if ends else [self.inner] if suffix else [self.inner, self.final]
+            for d in into:
+                for k in range(1, len(body)):
+                    d.setdefault(body[k:], -1)
+                d[body] = vocab[t]
+        self._pairs: dict[int, bool] = {}
 
     def _merge(self, units: list[str]) -> list[str]:
         """Merges of a short run of symbols by rank, leftmost first."""
+        rank = self.rank
         while len(units) > 1:
-            best = min(range(len(units) - 1), key=lambda i: self.rank.get((units[i], units[i + 1]), 1 << 60))
-            if (units[best], units[best + 1]) not in self.rank:
+            best, at = None, 0
+            for i, pair in enumerate(zip(units, units[1:])):
+                r = rank.get(pair)
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if best is None:
                 break
-            units[best: best + 2] = [units[best] + units[best + 1]]
+            units[at: at + 2] = [units[at] + units[at + 1]]
         return units
 
-    def compatible(self, a: str, b: str) -> bool:
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) >= CACHE:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self._merge(self._units(a) + self._units(b)) == [a, b]
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the tokens may stand side by side."""
+        if len(self._pairs) >= 4 * CACHE:
+            self._pairs.clear()
+        known = self._pairs[a << 32 | b] = self._merge([*self.units[a], *self.units[b]]) == [self.token[a], self.token[b]]
         return known
 
     def encode(self, word: bytes) -> list[int]:
         """Ids of a word.  Symbols outside the vocabulary give no token, as
         there is no unknown token."""
-        alphabet = self.alphabet
-        units = [alphabet[b] for b in word]
-        if units:
-            units[-1] += self.suffix
+        alphabet, known = self.alphabet, self.known
+        text = "".join([alphabet[b] for b in word])
+        if text and text[-1] + self.suffix in known and all(map(known.__contains__, text[:-1])):
+            return self._encode_run(text, True)
         out: list[int] = []
-        run: list[str] = []
-        for u in units:  # an unknown symbol ends a run
-            if u in self.symbols:
-                run.append(u)
-            else:
-                out += self._encode_run(run)
-                run = []
-        return out + self._encode_run(run)
-
-    def _encode_run(self, units: list[str]) -> list[int]:
-        symbols, vocab, far = self.symbols, self.vocab, self.lookahead
+        at = 0
+        for i, c in enumerate(text):  # an unknown symbol ends a run
+            if (c + self.suffix if i == len(text) - 1 else c) not in known:
+                out += self._encode_run(text[at:i], False)
+                at = i + 1
+        return out + self._encode_run(text[at:], True)
+
+    def _encode_run(self, text: str, ends: bool) -> list[int]:
+        far, pairs, units = self.lookahead, self._pairs, self.units
         out: list[int] = []
-        base = 0                                   # position of the first symbol kept
-        text: list[str] = []                       # symbols since then
-        last: list[str | None] = [None]            # last token of the path to each position since then
-        size: list[int] = [0]
-        for u in units:
-            text.append(u)
-            n = len(text)
-            piece = ""
-            for k in range(1, min(far, n) + 1):
-                piece = text[n - k] + piece
-                if piece in symbols and symbols[piece] == k:
-                    before = last[n - k]
-                    if (before is None and n == k) or (before is not None and self.compatible(before, piece)):
-                        last.append(piece)
-                        size.append(k)
+        base, last = 0, [-1]        # last[i]: last token of the path to position base + i
+        final = len(text) if ends else -1
+        for end in range(1, len(text) + 1):
+            table = self.final if end == final else self.inner
+            for start in range(end - 1, base - 1, -1):
+                t = table.get(text[start:end])
+                if t is None:       # no token ends so
+                    start = -1
+                    break
+                if t >= 0:
+                    before = last[start - base]
+                    if before < 0:
+                        if start == 0:
+                            break
+                        continue
+                    ok = pairs.get(before << 32 | t)
+                    if ok or ok is None and self.compatible(before, t):
                         break
             else:
+                start = -1
+            if start < 0:
                 raise ValueError("the merge list does not build its own tokens")
-            if n > 8 * far:                        # emit what all live paths share
-                heads = {n - j for j in range(far)}
+            last.append(t)
+            if end - base > 8 * far:               # emit what all live paths share
+                heads = {end - j for j in range(far)}
                 while len(heads) > 1:
                     top = max(heads)
                     heads.discard(top)
-                    heads.add(top - size[top])
+                    heads.add(top - len(units[last[top - base]]))
                 cut = heads.pop()
-                if cut:
-                    out += self._walk(last, size, cut)
-                    base += cut
-                    kept = last[cut]
-                    text, last, size = text[cut:], [kept, *last[cut + 1:]], [0, *size[cut + 1:]]
-        return out + self._walk(last, size, len(text))
-
-    def _walk(self, last: list, size: list[int], at: int) -> list[int]:
+                if cut > base:
+                    out += self._walk(last, cut - base)
+                    last = last[cut - base:]
+                    base = cut
+        return out + self._walk(last, len(text) - base)
+
+    def _walk(self, last: list[int], at: int) -> list[int]:
         path = []
         while at > 0:
-            path.append(self.vocab[last[at]])
-            at -= size[at]
+            path.append(last[at])
+            at -= len(self.units[last[at]])
         return path[::-1]
 
 
