@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, neardup
+from . import bpe, common, neardup, suffixdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,3 +41,8 @@ def bpe_codec(spark, sf_dir):
 @query("op3_minhash_neardup")
 def minhash_neardup(spark, sf_dir):
     return neardup.near_duplicates(common.documents(spark, sf_dir))
+
+
+@query("op10_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    return suffixdedup.remove_repeats(common.documents(spark, sf_dir))
