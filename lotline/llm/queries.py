@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, neardup, suffixdedup
+from . import bpe, common, neardup, suffixdedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,3 +46,15 @@ def minhash_neardup(spark, sf_dir):
 @query("op10_suffix_dedup")
 def suffix_dedup(spark, sf_dir):
     return suffixdedup.remove_repeats(common.documents(spark, sf_dir))
+
+
+@query("op7_warc", """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f""")
+def warc_round_trip(spark, sf_dir):
+    return warc.round_trip(common.table(spark, sf_dir, "pages"))
