@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, neardup, suffixdedup, warc
+from . import bpe, common, hnsw, neardup, suffixdedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +58,8 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f""")
 def warc_round_trip(spark, sf_dir):
     return warc.round_trip(common.table(spark, sf_dir, "pages"))
+
+
+@query("op8_hnsw")
+def hnsw_search(spark, sf_dir):
+    return hnsw.nearest(common.table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
