@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, hnsw, neardup, suffixdedup, warc
+from . import bpe, common, hnsw, neardup, suffixdedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +63,8 @@ def warc_round_trip(spark, sf_dir):
 @query("op8_hnsw")
 def hnsw_search(spark, sf_dir):
     return hnsw.nearest(common.table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@query("op4_toxicity")
+def toxicity_scores(spark, sf_dir):
+    return toxicity.toxicity(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))

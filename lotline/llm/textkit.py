@@ -19,6 +19,10 @@ LOWER[65:91] += 32
 IS_SEP = np.zeros(256, dtype=bool)
 IS_SEP[32] = True
 IS_SEP[9:14] = True
+# Letters and digits only: any other ASCII byte separates.
+IS_MARK = np.zeros(256, dtype=bool)
+IS_MARK[:128] = True
+IS_MARK[48:58] = IS_MARK[65:91] = IS_MARK[97:123] = False
 
 _RADIX = 0x9E3779B97F4A7C15 | 1
 _RADIX_INV = pow(_RADIX, -1, 1 << 64)
@@ -49,9 +53,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _segment_words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segment_words(a: np.ndarray, is_sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of the words of one segment, which no word crosses."""
-    sep = IS_SEP[a]
+    sep = is_sep[a]
     edge = np.diff(np.concatenate(([True], sep, [True])).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
@@ -63,25 +67,25 @@ def _segment_words(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, mix(h + (end - start).astype(np.uint64))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, is_sep: np.ndarray = IS_SEP) -> tuple[np.ndarray, np.ndarray]:
     """(start offset, 64-bit hash) of every word of ``data``."""
     a = np.frombuffer(data, dtype=np.uint8)
     starts, hashes, at = [], [], 0
     while at < len(a):
         end = min(at + SEGMENT, len(a))
         if end < len(a):
-            back = np.flatnonzero(IS_SEP[a[at:end]][::-1])
+            back = np.flatnonzero(is_sep[a[at:end]][::-1])
             if len(back):
                 end -= int(back[0])
             else:  # one long word: take it whole
                 step = end
                 while step < len(a):
-                    found = np.flatnonzero(IS_SEP[a[step: step + SEGMENT]])
+                    found = np.flatnonzero(is_sep[a[step: step + SEGMENT]])
                     if len(found):
                         break
                     step = min(step + SEGMENT, len(a))
                 end = step + int(found[0]) if step < len(a) else len(a)
-        s, h = _segment_words(a[at:end])
+        s, h = _segment_words(a[at:end], is_sep)
         starts.append(s + at)
         hashes.append(h)
         at = end
@@ -116,11 +120,11 @@ def batches(texts: list[bytes], limit: int = SEGMENT):
         at = end
 
 
-def documents_words(texts: list[bytes]) -> list[np.ndarray]:
+def documents_words(texts: list[bytes], is_sep: np.ndarray = IS_SEP) -> list[np.ndarray]:
     """Word hashes of each text."""
     out: list[np.ndarray] = []
     for _, group in batches(texts):
-        start, h = word_hashes(b" ".join(group))
+        start, h = word_hashes(b" ".join(group), is_sep)
         ends = np.cumsum([len(t) + 1 for t in group])
         cut = np.searchsorted(start, ends)
         out.extend(np.split(h, cut[:-1]))
