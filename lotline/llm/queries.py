@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, hnsw, neardup, suffixdedup, toxicity, warc
+from . import bpe, common, hnsw, neardup, quality, suffixdedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,3 +68,8 @@ def hnsw_search(spark, sf_dir):
 @query("op4_toxicity")
 def toxicity_scores(spark, sf_dir):
     return toxicity.toxicity(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
+
+
+@query("op1_quality")
+def quality_scores(spark, sf_dir):
+    return quality.quality(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
