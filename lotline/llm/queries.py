@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, hnsw, neardup, quality, suffixdedup, toxicity, warc
+from . import bpe, chat, common, decontaminate, hnsw, linededup, neardup, quality, suffixdedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +74,58 @@ def toxicity_scores(spark, sf_dir):
 @query("op1_quality")
 def quality_scores(spark, sf_dir):
     return quality.quality(common.documents(spark, sf_dir), common.table(spark, sf_dir, "labels"))
+
+
+_SHINGLES_SQL = """
+{t}_words AS (SELECT {id}, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x09-\\x0D ]+'), lambda w: w <> '') AS w FROM {t})"""
+
+
+@query("op2_decontamination", "WITH" + _SHINGLES_SQL.format(t="documents", id="doc_id") + ","
+       + _SHINGLES_SQL.format(t="benchmark", id="item_id") + """,
+items AS (SELECT DISTINCT item_id, least(len(w), 5) AS width,
+                 unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
+          FROM benchmark_words WHERE len(w) > 0),
+sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY 1),
+widths AS (SELECT DISTINCT width FROM items),
+docs AS (SELECT DISTINCT doc_id, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS s
+         FROM documents_words CROSS JOIN widths WHERE len(w) >= width)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared
+FROM docs JOIN items USING (width, s) JOIN sizes USING (item_id)
+GROUP BY 1, 2, 3 HAVING 100 * count(*) >= 80 * n_item""")
+def decontamination(spark, sf_dir):
+    return decontaminate.contaminated(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_line_dedup", """
+WITH d AS (SELECT *, row_number() OVER () AS r FROM documents),
+l AS (SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM d),
+f AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY ln) AS i
+      FROM (SELECT r, doc_id, text, regexp_replace(x, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS x, ln FROM l) WHERE x <> ''),
+g AS (SELECT *, lead(x) OVER w AS x1, lead(x, 2) OVER w AS x2, lead(ln) OVER w AS ln1, lead(ln, 2) OVER w AS ln2
+      FROM f WINDOW w AS (PARTITION BY r ORDER BY i)),
+k AS (SELECT *, first_value(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY x, x1, x2 ORDER BY doc_id, i) AS first
+      FROM g WHERE x2 IS NOT NULL),
+gone AS (SELECT DISTINCT r, unnest([ln, ln1, ln2]) AS ln FROM k WHERE first.d <> doc_id OR first.i <> i),
+kept AS (SELECT l.r, string_agg(x, chr(10) ORDER BY ln) AS text FROM l ANTI JOIN gone USING (r, ln) GROUP BY 1)
+SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines, coalesce(c.n, 0) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS text_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY 1) c USING (r)""")
+def line_dedup(spark, sf_dir):
+    out = linededup.remove_repeated_lines(common.documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+@query("op9_chat_format", """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT conv_id, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS piece, chr(1) || role || chr(2) || text AS part,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+p AS (SELECT conv_id, pos, string_agg(part, '') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix,
+             count(*) OVER (PARTITION BY conv_id) AS n FROM r),
+whole AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS copies, any_value(n) AS n_turns FROM p WHERE pos = n GROUP BY 1),
+maximal AS (SELECT * FROM whole WHERE prefix NOT IN (SELECT prefix FROM p WHERE pos < n))
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, copies, string_agg(piece, '' ORDER BY pos) AS text
+FROM maximal JOIN r USING (conv_id) GROUP BY 1, 2, 3""")
+def chat_format(spark, sf_dir):
+    return chat.collapse(common.table(spark, sf_dir, "conversations"))
