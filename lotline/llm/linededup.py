@@ -60,7 +60,8 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
 
     prints = lines.select("rid", F.explode(F.array_distinct(F.transform(_starts(run), _fingerprint(run)))).alias("p"), "h")
     prints = prints.select("rid", "p", F.get("h", F.col("p")).alias("key"))
-    shared = prints.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    # written first, so that the joins below read plain shuffles, which can be split
+    shared = written(prints.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "shared")
     found = prints.join(shared, "key", "left_semi").groupBy("rid").agg(F.collect_set("p").alias("p"))
 
     near = lines.join(found, "rid").withColumn("i", F.explode(F.filter(
@@ -71,7 +72,8 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     runs = written(runs, "runs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "i")
     first = runs.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    later = runs.join(first, keys).where(~((F.col("rid") == F.col("first.rid")) & (F.col("i") == F.col("first.i"))))
+    first = written(first.select(*keys, "first.rid", "first.i").toDF(*keys, "first_rid", "first_i"), "first")
+    later = runs.join(first, keys).where("rid <> first_rid or i <> first_i")
     gone = later.select("rid", F.explode("gone").alias("g")).groupBy("rid").agg(F.collect_set("g").alias("gone"))
 
     out = keyed.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(
