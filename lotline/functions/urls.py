@@ -63,31 +63,57 @@ def domain(url: Column) -> Column:
     return F.when(d != "", d)
 
 
-def _remove_dot_segments(path: Column) -> Column:
-    p = F.regexp_replace(path, r"/\./", "/")
-    p = F.regexp_replace(p, r"/\.$", "/")
-    for _ in range(4):
-        p = F.regexp_replace(p, r"/(?!\.\./)[^/?#]+/\.\./", "/")
-    p = F.regexp_replace(p, r"/(?!\.\./)[^/?#]+/\.\.$", "/")
-    return F.regexp_replace(p, r"^(/\.\.)+/", "/")
+def _path(ref: Column) -> Column:
+    return F.regexp_extract(ref, r"^([^?#]*)", 1)
+
+
+def _after_path(ref: Column) -> Column:
+    """Query and fragment, as written."""
+    return F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
+
+
+def _resolve_segments(segments: Column) -> Column:
+    """Rooted path of segments with '.' and '..' worked off, in one pass over them."""
+    def step(done: Column, s: Column) -> Column:
+        return (F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+                .when(s == ".", done).otherwise(F.array_append(done, s)))
+    done = F.aggregate(segments, F.array().cast("array<string>"), step)
+    last = F.element_at(segments, -1)
+    done = F.when(last.isin(".", ".."), F.array_append(done, "")).otherwise(done)
+    return F.concat(F.lit("/"), F.array_join(done, "/"))
+
+
+def _rooted(path: Column) -> Column:
+    """A path that starts with '/'."""
+    parts = F.split(path, "/")
+    return _resolve_segments(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(1))))
+
+
+def _merged(base_path: Column, path: Column) -> Column:
+    """A relative path below the folder of the page; empty segments inside fall away."""
+    base = F.split(F.when(base_path == "", F.lit("/")).otherwise(base_path), "/")
+    folder = F.slice(base, F.lit(1), F.size(base) - 1)
+    parts = F.concat(folder, F.split(path, "/"))
+    n = F.size(parts)
+    return _resolve_segments(F.filter(parts, lambda s, i: (s != "") | (i == n - 1)))
 
 
 def resolve_url(base: Column, ref: Column) -> Column:
     """Resolve a reference against a page URL: scheme-relative, rooted path,
-    query-only, fragment-only and relative paths (with dot segments)."""
+    query-only, fragment-only and relative paths.  Dot segments of the path are
+    worked off, however many; query and fragment stay as written."""
     origin = F.regexp_extract(base, SCHEME_HOST_RE, 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     bpath = F.regexp_extract(base, SCHEME_HOST_RE + r"([^?#]*)", 2)
     bnofrag = F.regexp_extract(base, r"^([^#]*)", 1)
     bnoquery = F.regexp_extract(base, r"^([^?#]*)", 1)
-    bdir = F.regexp_replace(F.when(bpath == "", F.lit("/")).otherwise(bpath), r"[^/]*$", "")
     return (F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
             .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
-            .when(ref.startswith("/"), F.concat(origin, _remove_dot_segments(ref)))
+            .when(ref.startswith("/"), F.concat(origin, _rooted(_path(ref)), _after_path(ref)))
             .when(ref.startswith("?"), F.concat(bnoquery, ref))
             .when(ref.startswith("#"), F.concat(bnofrag, ref))
             .when(ref == "", base)
-            .otherwise(F.concat(origin, _remove_dot_segments(F.concat(bdir, ref)))))
+            .otherwise(F.concat(origin, _merged(bpath, _path(ref)), _after_path(ref))))
 
 
 def vehicle_url(page_url: Column, link: Column) -> Column:

@@ -11,10 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Text a float parser accepts: optional sign, digits with one optional point,
-# optional exponent, surrounding whitespace.  (nan / inf spellings -> null.)
-FLOAT_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INT_TEXT = r"^\s*[+-]?\d+\s*$"
+
 def try_cast(c: Column, t: str) -> Column:
     """Cast that yields NULL instead of failing."""
     return c.try_cast(t)
@@ -195,21 +192,12 @@ def nonempty_list(v: Column) -> Column:
 
 
 def join_truthy(v: Column) -> Column:
-    """Space-join of the non-empty members of an array value, each as text.
-
-    Members are read as strings (numbers in their JSON spelling), empty
-    strings and nulls are dropped.  Built without lambda functions so the
-    projection stays inside whole-stage codegen."""
-    arr = F.try_variant_get(v, "$", "array<string>")
-    return F.array_join(F.array_remove(arr, ""), " ")
+    """Space-join of the truthy members of an array value, each as text (0,
+    0.0, false, null, '', [] and {} are dropped; '0' and 'false' are kept)."""
+    arr = F.try_variant_get(v, "$", "array<variant>")
+    return F.array_join(F.transform(F.filter(arr, lambda x: truthy(x)), lambda x: as_text(x)), " ")
 
 
 def text_or_joined(v: Column, t: Column | None = None) -> Column:
     """A list value becomes the space-join of its truthy members; other values as text."""
     return F.when(is_array(v, t), join_truthy(v)).otherwise(as_text(v, t))
-
-
-def py_str(v: Column) -> Column:
-    """Text form used when a value is interpolated into a string, with missing
-    or null values rendered as the word 'None' (as string formatting does)."""
-    return F.coalesce(as_text(v), F.lit("None"))

@@ -62,10 +62,3 @@ def platform_counts(config: DataFrame) -> DataFrame:
     return config.agg(F.count(F.lit(1)).alias("total_dealers"),
                       F.count_if(F.col("platform") == "roadster").alias("roadster_count"),
                       F.count_if(F.col("platform") == "dealercom").alias("dealercom_count"))
-
-
-def platform_label(platform: Column) -> Column:
-    expr = None
-    for k, v in PLATFORM_LABELS.items():
-        expr = (F.when(platform == k, F.lit(v)) if expr is None else expr.when(platform == k, F.lit(v)))
-    return expr

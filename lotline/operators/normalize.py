@@ -113,7 +113,7 @@ def b_year_range(r: Rec, rule, ctx):
 
 def b_raw_int(r: Rec, rule, ctx):
     v, t = r.chain(rule)
-    return V.to_long(v, t=t).cast("int")
+    return try_cast(V.to_long(v, t=t), "int")
 
 
 def b_key_default(r: Rec, rule, ctx):
@@ -132,14 +132,14 @@ def b_polymorphic_price(r: Rec, rule, ctx):
 
 def b_int_no_commas(r: Rec, rule, ctx):
     v, t = r.chain(rule)
-    return F.when(V.present(v), V.to_long(v, ",", t)).cast("int")
+    return try_cast(F.when(V.present(v), V.to_long(v, ",", t)), "int")
 
 
 def b_int_digits(r: Rec, rule, ctx):
     v, t = r.chain(rule)
     digits = F.regexp_replace(F.try_variant_get(v, "$", "string"), "[^0-9]", "")
     return (F.when(V.is_string(v, t), F.when(digits != "", try_cast(digits, "int")))
-            .when(V.is_number(v, t) | V.is_bool(v, t), V.to_long(v, t=t).cast("int")))
+            .when(V.is_number(v, t) | V.is_bool(v, t), try_cast(V.to_long(v, t=t), "int")))
 
 
 def b_nested_label(r: Rec, rule, ctx):
@@ -239,7 +239,8 @@ def normalize_records(spec: PlatformSpec, records: DataFrame) -> DataFrame:
         cols[name] = FIELD_BUILDERS[rule.kind](r, rule, ctx)
     cols["title"] = _title(spec, r, cols)
     reason = F.when(~F.col("_obj_rec"), F.lit("not_object")) \
-              .when(~V.truthy(*r.chain(spec.fields["vin"])), F.lit("no_vin"))
+              .when(~V.truthy(*r.chain(spec.fields["vin"])), F.lit("no_vin")) \
+              .when(V.is_array(*r.chain(spec.fields["vin"])) | V.is_object(*r.chain(spec.fields["vin"])), F.lit("bad_vin"))
     for name, cond in _row_errors(spec, r).items():
         reason = reason.when(cond, F.lit(name))
     out_keep = [c for c in keep if c not in ("source_url",)]

@@ -12,18 +12,18 @@ RUN_COLUMNS = [f.name for f in RUNS.fields]
 
 
 def latest(runs: DataFrame, by: str | None = None) -> DataFrame:
-    """Latest run (greatest started_at) overall, or per ``by`` group.
+    """Latest run (greatest started_at, then id) overall, or per ``by`` group.
 
     ``max_by`` is a partial aggregate: no global sort, one row per group."""
     cols = [c for c in runs.columns if c != by]
-    pick = F.max_by(F.struct(*cols), F.col("started_at")).alias("_r")
+    pick = F.max_by(F.struct(*cols), F.struct("started_at", "id")).alias("_r")
     if by is None:
         return runs.agg(pick).where(F.col("_r").isNotNull()).select("_r.*")
     return runs.groupBy(by).agg(pick).select(by, *[F.col("_r." + c).alias(c) for c in cols])
 
 
 def recent(runs: DataFrame, n: int = 10) -> DataFrame:
-    return runs.orderBy(F.col("started_at").desc()).limit(n)
+    return runs.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(n)
 
 
 def with_status(runs: DataFrame, status: str) -> DataFrame:
@@ -107,17 +107,17 @@ def fold_events(events: DataFrame) -> DataFrame:
     """Fold a run-event stream (start / progress / failed / completed) into run state.
 
     started_at: first event; status: from the last terminal event, 'running'
-    while there is none; error_message: message of the last failure;
+    while there is none (of events at one time the greater value counts); error_message: message of the last failure;
     completed_at: time of the last terminal event."""
     terminal = F.col("kind").isin("failed", "completed")
     g = events.groupBy("run_id").agg(
         F.min("ts").alias("started_at"),
-        F.max_by(F.col("platform"), F.col("ts")).alias("platform"),
-        F.max_by(F.when(terminal, F.col("kind")), F.when(terminal, F.col("ts"))).alias("_last_terminal"),
+        F.max_by(F.col("platform"), F.struct("ts", "platform")).alias("platform"),
+        F.max_by(F.when(terminal, F.col("kind")), F.when(terminal, F.struct("ts", "kind"))).alias("_last_terminal"),
         F.max(F.when(terminal, F.col("ts"))).alias("completed_at"),
         F.max_by(F.when(F.col("kind") == "failed", F.col("message")),
-                 F.when(F.col("kind") == "failed", F.col("ts"))).alias("error_message"),
-        F.max_by(F.col("pid"), F.col("ts")).alias("pid"),
+                 F.when(F.col("kind") == "failed", F.struct("ts", "message"))).alias("error_message"),
+        F.max_by(F.col("pid"), F.struct("ts", "pid")).alias("pid"),
         F.count(F.lit(1)).alias("n_events"))
     return g.select("run_id", "platform",
                     F.coalesce(F.col("_last_terminal"), F.lit("running")).alias("status"),

@@ -89,47 +89,46 @@ def search_vehicles(vehicles: DataFrame, dealer=None, model=None, min_price=None
     return apply_limit(df, limit).select(*API_COLUMNS)
 
 
-def sort_key(column: str, ascending: bool = True) -> Column:
-    """User sort: strings compare lower-cased, nulls last in both directions."""
-    if column not in SORTABLE:
-        raise ValueError(f"cannot sort on {column!r}; choose one of {SORTABLE}")
-    c = F.col(column)
-    return c.asc_nulls_last() if ascending else c.desc_nulls_last()
-
-
 def _ci(df: DataFrame, column: str) -> Column:
     dtype = dict(df.dtypes)[column]
     return F.lower(F.col(column)) if dtype == "string" else F.col(column)
 
 
-def sort_rows(rows: DataFrame, column: str, ascending: bool = True, position: str = "position") -> DataFrame:
-    """Stable user sort of an already ordered, bounded result (the listing page).
+def _page(rows: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` rows in the API order (price desc, vin): what one task may rank."""
+    if limit is None or limit < 0:
+        raise ValueError("a page needs a non-negative limit")
+    return rows.orderBy(F.col("price").desc_nulls_last(), F.col("vin").asc()).limit(int(limit))
+
+
+def with_position(rows: DataFrame, limit: int = 100) -> DataFrame:
+    """The first ``limit`` rows in the API order with their rank."""
+    w = Window.orderBy(F.col("price").desc_nulls_last(), F.col("vin").asc())
+    return _page(rows, limit).withColumn("position", F.row_number().over(w).cast("bigint"))
+
+
+def sort_rows(rows: DataFrame, column: str, ascending: bool = True, position: str = "position",
+              limit: int = 100) -> DataFrame:
+    """Stable user sort of a listing page.
 
     ``position`` is the row's rank in the incoming order; it breaks ties so
-    the sort is stable.  Adds ``sort_rank`` (1-based).  Meant for a page cut by
-    ``limit``: the rank is one global ordering."""
+    the sort is stable.  Adds ``sort_rank`` (1-based).  Only the first ``limit``
+    positions are ranked: the rank is one global ordering."""
     if column not in SORTABLE:
         raise ValueError(f"cannot sort on {column!r}; choose one of {SORTABLE}")
+    if limit is None or limit < 0:
+        raise ValueError("a page needs a non-negative limit")
+    page = rows.orderBy(F.col(position).asc()).limit(int(limit))
     key = _ci(rows, column)
     key = key.asc_nulls_last() if ascending else key.desc_nulls_last()
     w = Window.orderBy(key, F.col(position).asc())
-    return rows.withColumn("sort_rank", F.row_number().over(w).cast("bigint"))
-
-
-def with_position(page: DataFrame) -> DataFrame:
-    """Rank of each row of a listing page in the API order (price desc, vin)."""
-    w = Window.orderBy(F.col("price").desc_nulls_last(), F.col("vin").asc())
-    return page.withColumn("position", F.row_number().over(w).cast("bigint"))
+    return page.withColumn("sort_rank", F.row_number().over(w).cast("bigint"))
 
 
 def envelope(page: DataFrame, limit: int) -> DataFrame:
-    """Result envelope ``{vehicles: [...], count}`` as one row.
-
-    Only a limited page may be wrapped: the row array lands in one row, so an
-    unlimited request is refused rather than funnelled into one task."""
-    if limit is None or limit < 0:
-        raise ValueError("the envelope needs a non-negative limit")
-    ranked = with_position(page)
+    """Result envelope ``{vehicles: [...], count}`` as one row, of the first
+    ``limit`` rows in the API order."""
+    ranked = with_position(page, limit)
     item = F.struct(F.col("position"), F.col("vin"), F.col("dealer"), F.col("title"))
     arr = F.sort_array(F.collect_list(item))
     arr = F.transform(arr, lambda x: F.struct(x["vin"].alias("vin"), x["dealer"].alias("dealer"),
@@ -178,5 +177,6 @@ def models_union(vehicles: DataFrame) -> DataFrame:
 
 
 def model_like(vehicles: DataFrame, fragment: str) -> DataFrame:
-    """Documented ad-hoc query: ``model LIKE '%X3%'`` (case-sensitive)."""
-    return vehicles.where(F.col("model").like(f"%{fragment}%")).select(*API_COLUMNS)
+    """Documented ad-hoc query ``model LIKE '%X3%'``: LIKE ignores case, and no
+    character escapes."""
+    return vehicles.where(F.ilike(F.col("model"), F.lit(f"%{fragment}%"), F.lit(NO_ESCAPE))).select(*API_COLUMNS)

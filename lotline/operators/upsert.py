@@ -187,6 +187,27 @@ def create_tables(spark: SparkSession, base: str) -> dict[str, str]:
     return paths
 
 
-def bulk_insert(rows: DataFrame, path: str) -> None:
-    """Append rows (already in the declared schema) to a table."""
-    conform(rows).write.mode("append").parquet(path)
+def insert_violations(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(vin, reason) of rows a plain insert may not add: a required column is
+    NULL ('null: ...'), the VIN is there twice ('repeated vin'), or it is
+    stored already ('stored vin')."""
+    rows = conform(rows)
+    empty = rows.withColumn("v", constraint_violations(rows)).where(F.size("v") > 0).select(
+        "vin", F.concat(F.lit("null: "), F.array_join("v", ",")).alias("reason"))
+    vins = rows.where(F.col("vin").isNotNull()).groupBy("vin").agg(F.count(F.lit(1)).alias("n"))
+    out = empty.unionAll(vins.where("n > 1").select("vin", F.lit("repeated vin").alias("reason")))
+    if stored is not None:
+        out = out.unionAll(vins.join(stored.select("vin"), "vin", "left_semi").select("vin", F.lit("stored vin").alias("reason")))
+    return out
+
+
+def bulk_insert(rows: DataFrame, path: str) -> DataFrame:
+    """Append rows to the table at ``path`` under its rules (NOT NULL columns,
+    unique VIN).  All or nothing: if any row breaks a rule, nothing is written
+    and the violations (vin, reason) are returned; else none are."""
+    spark = rows.sparkSession
+    stored = spark.read.schema(VEHICLES).parquet(path) if path_exists(spark, path) else None
+    bad = insert_violations(rows, stored)
+    if bad.limit(1).count() == 0:
+        conform(rows).write.mode("append").parquet(path)
+    return bad

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import inputs
 from .catalog import register
-from .oracle_views import register as register_view
+from .oracle_views import CTES, register as register_view
 from ..functions import variant as V
 from ..operators import extract as X
 from ..operators import normalize as N
@@ -52,7 +52,7 @@ register_view("expected_items", ["caprec"], (
     "SELECT vin, dealer, dealer_platform, "
     "CASE WHEN platform = 'roadster' THEN CASE m % 4 "
     "  WHEN 0 THEN 'https://express.dealer' || dealer_key || '.example.com/inventory/vehicle/' || vin "
-    "  WHEN 2 THEN 'https://express.dealer' || dealer_key || '.example.com/vehicle/' || vin "
+    "  WHEN 2 THEN 'https://express.dealer' || dealer_key || '.example.com/vehicle/' || vin || '?next=/x/../y' "
     "  ELSE page_url END ELSE page_url END AS source_url, "
     "CASE WHEN platform = 'dealercom' AND m % 4 = 0 THEN "
     "  coalesce(CAST(CASE WHEN year BETWEEN 1980 AND 2030 THEN year END AS VARCHAR), 'None') "
@@ -60,8 +60,16 @@ register_view("expected_items", ["caprec"], (
     "CASE WHEN platform = 'dealercom' THEN CASE WHEN year BETWEEN 1980 AND 2030 THEN year END "
     "  ELSE year END AS year, "
     "model, trim, CASE WHEN platform = 'roadster' AND m % 5 = 3 THEN NULL ELSE price END AS price, "
-    "msrp, ext_color, int_color, odometer, options, page_no, pos, platform, reject_reason "
-    "FROM caprec"))
+    "msrp, ext_color, int_color, CASE WHEN m % 89 <> 0 THEN odometer END AS odometer, options, page_no, pos, "
+    "platform, reject_reason FROM caprec"))
+
+# The same over pages of one requested model and year each.
+_REQUEST = "dealer_key, model, year"
+register_view("reqobs", ["obs"], CTES["capobs"][1].replace("GROUP BY dealer_key)", f"GROUP BY {_REQUEST})").replace(
+    "(SELECT dealer_key,", f"(SELECT {_REQUEST},").replace("ON o.dealer_key = c.dealer_key", f"USING ({_REQUEST})"))
+register_view("reqrec", ["reqobs"], CTES["caprec"][1].replace("FROM capobs", "FROM reqobs").replace(
+    "PARTITION BY dealer, page_no", "PARTITION BY dealer, model, year, page_no"))
+register_view("expected_request_items", ["reqrec"], CTES["expected_items"][1].replace("FROM caprec", "FROM reqrec"))
 
 
 def _caps(spark, sf):
@@ -273,10 +281,11 @@ def q_extract_presence(spark, sf):
 @register("capture_completeness",
           f"SELECT dealer, page_no, 'page' AS capture_kind, CAST(count(*) AS INTEGER) AS n_records, "
           f"count(*) >= {PAGE_SIZE} AND page_no < max(n_pages) - 1 AS has_more "
-          f"FROM capobs WHERE platform = 'dealercom' GROUP BY dealer, page_no", ("capobs",))
+          f"FROM capobs WHERE platform = 'dealercom' GROUP BY dealer, page_no "
+          "UNION ALL SELECT DISTINCT dealer, page_no, CASE page_no % 10 WHEN 0 THEN 'trap' ELSE 'empty' END, "
+          "CAST(0 AS INTEGER), false FROM capobs WHERE platform = 'dealercom' AND page_no % 10 IN (0, 1)", ("capobs",))
 def q_capture_completeness(spark, sf):
-    caps = _caps(spark, sf).where(F.col("capture_kind") == "page")
-    return X.completeness(DEALERCOM, caps)
+    return X.completeness(DEALERCOM, _caps(spark, sf))
 
 
 # ---------------------------------------------------------------- more platforms / layouts
@@ -294,15 +303,23 @@ def q_normalize_custom(spark, sf):
     return N.normalize(CARLOT, caps).select(*N.ITEM_COLUMNS, "page_no", "pos")
 
 
-def listings(spark, sf):
-    """Accepted items of every platform, written partitioned by model: a
-    model / year request prunes to one directory before any file is read."""
-    return materialize_partitioned(spark, "listings", lambda: N.normalize_all([DEALERCOM, ROADSTER], _caps(spark, sf)),
-                                   inputs._key(sf), ["model"])
+def request_captures(spark, sf):
+    """Captures of pages asked for by model and year, in folders of that request:
+    a crawl for one model and year reads one folder, and payloads of other
+    requests are neither read nor parsed."""
+    from ..sources.captures import build_captures
+
+    def build():
+        caps = build_captures(derived.obs(spark, sf), {"model": "req_model", "year": "req_year"})
+        # a few files a folder, however large one request is
+        salt = F.pmod(F.xxhash64("source_url", "capture_kind"), F.lit(4))
+        return caps.repartition("req_model", "req_year", salt)
+    return materialize_partitioned(spark, "request_captures", build, inputs.key(spark, sf), ["req_model", "req_year"])
 
 
 @register("capture_pruned",
-          f"SELECT {ITEM_SQL} FROM expected_items WHERE reject_reason IS NULL AND model = 'iX' AND year = 2016",
-          ("expected_items",))
+          f"SELECT {ITEM_SQL} FROM expected_request_items WHERE reject_reason IS NULL AND model = 'iX' AND year = 2016",
+          ("expected_request_items",))
 def q_capture_pruned(spark, sf):
-    return listings(spark, sf).where((F.col("model") == "iX") & (F.col("year") == 2016)).select(*N.ITEM_COLUMNS)
+    caps = request_captures(spark, sf).where((F.col("req_model") == "iX") & (F.col("req_year") == 2016))
+    return N.normalize_all([DEALERCOM, ROADSTER], caps)

@@ -96,9 +96,9 @@ def q_top_price(spark, sf):
     return S.search_vehicles(_v(spark, sf))  # the API default limit of 100
 
 
-@register("model_like", f"SELECT {API_SQL} FROM vehicles WHERE model ILIKE '%X%'", ("vehicles",))
+@register("model_like", f"SELECT {API_SQL} FROM vehicles WHERE model ILIKE '%x%'", ("vehicles",))
 def q_model_like(spark, sf):
-    return S.model_like(_v(spark, sf), "X")
+    return S.model_like(_v(spark, sf), "x")
 
 
 @register("vehicles_envelope",
@@ -308,7 +308,7 @@ def _platforms(spark, sf):
 @register("run_status",
           f"SELECT p.platform, coalesce(r.status, 'idle') AS status, r.id AS run_id, r.pid, r.started_at, "
           f"r.completed_at, r.vehicles_scraped, r.dealers_scraped, r.error_message FROM ({_PLATFORMS_SQL}) p "
-          f"LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY started_at DESC) "
+          f"LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY started_at DESC, id DESC) "
           f"AS rn FROM runs) WHERE rn = 1) r ON p.platform = r.platform", ("runs", "platform_map"))
 def q_run_status(spark, sf):
     return run_ops.status_report(derived.runs(spark, sf), _platforms(spark, sf))
@@ -326,11 +326,11 @@ def q_run_health(spark, sf):
 
 
 @register("run_fold",
-          "SELECT run_id, arg_max(platform, ts) AS platform, "
-          "coalesce(arg_max(kind, ts) FILTER (WHERE kind IN ('failed', 'completed')), 'running') AS status, "
+          "SELECT run_id, arg_max(platform, (ts, platform)) AS platform, "
+          "coalesce(arg_max(kind, (ts, kind)) FILTER (WHERE kind IN ('failed', 'completed')), 'running') AS status, "
           "min(ts) AS started_at, max(ts) FILTER (WHERE kind IN ('failed', 'completed')) AS completed_at, "
-          "arg_max(message, ts) FILTER (WHERE kind = 'failed') AS error_message, "
-          "arg_max(pid, ts) AS pid, count(*) AS n_events FROM run_events GROUP BY run_id", ("run_events",))
+          "arg_max(message, (ts, message)) FILTER (WHERE kind = 'failed') AS error_message, "
+          "arg_max(pid, (ts, pid)) AS pid, count(*) AS n_events FROM run_events GROUP BY run_id", ("run_events",))
 def q_run_fold(spark, sf):
     return run_ops.fold_events(derived.run_events(spark, sf))
 
@@ -364,7 +364,7 @@ def q_dealers_csv_first_n(spark, sf):
     path = materialize_csv(spark, "dealers_csv",
                            lambda: derived.dealers(spark, sf).repartitionByRange(4, "ord")
                            .sortWithinPartitions("ord").select(*_CSV_COLS)
-                           .toDF("Dealer", "City", "Website", "Phone"), inputs._key(sf))
+                           .toDF("Dealer", "City", "Website", "Phone"), inputs.key(spark, sf))
     return dealer_ops.first_n(read_dealers_csv(spark, path), 5).select(*_CSV_COLS)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import derived
 from ..operators.upsert import latest_vehicles
-from ..sources.store import materialize
+from ..sources.store import list_files, materialize, materialize_partitioned
 
 SEQ = ["scraped_at", "l_orderkey", "l_linenumber"]
 # Salt for the written-table keys; a benchmark sets a fresh one to time the builds.
@@ -29,8 +29,17 @@ def _code_version() -> str:
 VERSION = _code_version()
 
 
-def _key(sf_dir: str) -> str:
-    return hashlib.sha1(f"{sf_dir.rstrip('/')}|{VERSION}|{SALT}".encode()).hexdigest()[:16]
+# Tables the written inputs are derived from.
+SOURCES = ("nation", "supplier", "part", "lineitem", "events")
+
+
+def key(spark: SparkSession, sf_dir: str) -> str:
+    """Key of the written tables: the files they are derived from (name, length,
+    modification time), the code that derives them, and the salt.  A replaced
+    input file gives new written tables, never an answer from old ones."""
+    base = sf_dir.rstrip("/")
+    files = [x for t in SOURCES for x in list_files(spark, f"{base}/{t}.parquet")]
+    return hashlib.sha1(f"{base}|{files}|{VERSION}|{SALT}".encode()).hexdigest()[:16]
 
 
 def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +53,7 @@ def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         v = latest_vehicles(derived.obs(spark, sf_dir), SEQ)
         return v.repartitionByRange("dealer", "price").sortWithinPartitions("dealer", "price")
-    return materialize(spark, "vehicles", build, _key(sf_dir))
+    return materialize(spark, "vehicles", build, key(spark, sf_dir))
 
 
 def vehicles_unwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +68,4 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         return build_captures(derived.obs(spark, sf_dir))
 
-    base = f"captures"
-    from ..sources.store import materialize_partitioned
-    return materialize_partitioned(spark, base, build, _key(sf_dir), ["platform"])
+    return materialize_partitioned(spark, "captures", build, key(spark, sf_dir), ["platform"])

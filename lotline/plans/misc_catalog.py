@@ -148,7 +148,7 @@ register_view("log_results", [], (
 
 
 def _log(spark, sf):
-    return L.parse_lines(log_text(spark, sf, inputs._key(sf)))
+    return L.parse_lines(log_text(spark, sf, inputs.key(spark, sf)))
 
 
 @register("log_parse",

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import derived, inputs
 from .catalog import AS_OF, register
 from .oracle_views import register as register_view
 from ..functions.titles import parse_title
-from ..operators.upsert import latest_vehicles, merge
-from ..sources.store import materialize
-from ..sources.schemas import ITEM_COLUMNS
+from ..operators.upsert import bulk_insert, create_tables, insert_violations, latest_vehicles, merge
+from ..session import work_dir
+from ..sources.store import bucketed_table, materialize_dir
+from ..sources.schemas import ITEM_COLUMNS, VEHICLES
 from ..streaming.upsert_stream import run_stream_upsert
 
 CUTOFF = "1998-01-01"
 ITEM_SEQ = ["scraped_at", "l_orderkey", "l_linenumber"]
-VEH_SQL = ("id, dealer, title, year, make, model, trim, vin, msrp, price, odometer, ext_color, int_color, "
-           "options, dealer_platform, source_url, scraped_at, updated_at, created_at")
 
 
 def _items(spark, sf):
@@ -91,8 +92,7 @@ _MERGED = (
 def _stored_target(spark, sf):
     """The vehicle table as stored before the new items arrive: bucketed by
     VIN, so the merge join shuffles only the items."""
-    from ..sources.store import bucketed_table
-    return bucketed_table(spark, "vehicles_before", lambda: _target(spark, sf), inputs._key(sf))
+    return bucketed_table(spark, "vehicles_before", lambda: _target(spark, sf), inputs.key(spark, sf))
 
 
 def _upsert(spark, sf):
@@ -125,26 +125,63 @@ def q_constraint_rejects(spark, sf):
           "WHERE t.vin IS NOT NULL", ("up_items", "up_target"))
 def q_upsert_null_overwrite(spark, sf):
     """Items that carry only price and odometer: a supplied NULL price
-    overwrites, every absent column keeps the stored value.  Only stored
-    VINs are sent, so no insert lacks required columns."""
+    overwrites, every absent column keeps the stored value.  A VIN that is
+    not stored lacks required columns and is turned down after the join."""
+    return _price_update(spark, sf)[0]
+
+
+def _price_update(spark, sf):
     items = _items(spark, sf).withColumn(
         "price", F.when(F.col("l_orderkey") % 3 == 0, F.lit(None).cast("double")).otherwise(F.col("price")))
-    target = _target(spark, sf)
-    items = items.join(target.select("vin"), "vin", "left_semi")
     partial = items.select("vin", "price", "odometer", *ITEM_SEQ)
-    return merge(target, partial, AS_OF, seq=ITEM_SEQ, identity="payload")[0]
+    return merge(_target(spark, sf), partial, AS_OF, seq=ITEM_SEQ, identity="payload")
 
 
-@register("stream_upsert", _MERGED, ("up_last", "up_target"))
-def q_stream_upsert(spark, sf):
-    src = inputs._key(sf)
-    items = _items(spark, sf)
-    source_dir = materialize(spark, "stream_items", lambda: items.repartition(6, "vin"), src).inputFiles()
-    folder = source_dir[0].rsplit("/", 1)[0] if source_dir else None
+@register("upsert_late_rejects",
+          "SELECT DISTINCT vin, 'dealer,title,make,model,dealer_platform,source_url' AS violations FROM up_items "
+          "WHERE vin NOT IN (SELECT vin FROM up_target)", ("up_items", "up_target"))
+def q_upsert_late_rejects(spark, sf):
+    """Inserts turned down after the join: one row for each new VIN."""
+    return _price_update(spark, sf)[1].select("vin", F.array_join("violations", ",").alias("violations"))
+
+
+def _stream(spark, sf):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = materialize_dir(spark, f"stream_items-{parts}", lambda: _items(spark, sf).repartition(parts, "vin"),
+                             inputs.key(spark, sf))
     initial = _target(spark, sf).withColumn("_seq", F.lit(None).cast(
         "struct<scraped_at:timestamp_ntz,l_orderkey:bigint,l_linenumber:int>"))
     schema = spark.read.parquet(folder).schema
-    return run_stream_upsert(spark, folder, schema, initial, AS_OF, ITEM_SEQ, identity="title", files_per_batch=2)
+    # three micro-batches, whatever the size
+    return run_stream_upsert(spark, folder, schema, initial, AS_OF, ITEM_SEQ, identity="title",
+                             files_per_batch=-(-parts // 3))
+
+
+@register("stream_upsert", _MERGED, ("up_last", "up_target"))
+def q_stream_upsert(spark, sf):
+    return _stream(spark, sf).read().drop("_seq")
+
+
+@register("stream_rejects", "SELECT vin, 'title' AS violations FROM up_items WHERE title IS NULL", ("up_items",))
+def q_stream_rejects(spark, sf):
+    return _stream(spark, sf).rejects().select("vin", F.array_join("violations", ",").alias("violations"))
+
+
+@register("bulk_insert", "SELECT * FROM up_target", ("up_target",))
+def q_bulk_insert(spark, sf):
+    """Vehicles inserted into freshly created tables, under their rules, and read back."""
+    paths = create_tables(spark, f"{work_dir(spark)}/inserts/{uuid.uuid4().hex}")
+    bulk_insert(_target(spark, sf), paths["vehicles"])
+    return spark.read.schema(VEHICLES).parquet(paths["vehicles"])
+
+
+@register("bulk_insert_violations",
+          "SELECT vin, 'repeated vin' AS reason FROM obs GROUP BY vin HAVING count(*) > 1 UNION ALL "
+          "SELECT DISTINCT vin, 'stored vin' FROM obs WHERE vin IN (SELECT vin FROM up_target)", ("obs", "up_target"))
+def q_bulk_insert_violations(spark, sf):
+    """All sightings offered as rows: what the unique-VIN rule turns down."""
+    o = derived.obs(spark, sf).drop("id").withColumn("id", F.lit(None).cast("bigint"))
+    return insert_violations(o, _target(spark, sf))
 
 
 _PT = title_sql("title")

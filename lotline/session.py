@@ -52,9 +52,10 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables and stream checkpoints.
 
     On a cluster this is the folder named by ``spark.checkpoint.dir`` (shared
-    storage every executor can reach).  Only when the session names none, as
-    in local tests, a folder is created here and registered as the
-    checkpoint folder of the context.
+    storage every executor can reach).  Only in local mode, where the driver is
+    the executor, a missing setting is made up for by a folder of this machine;
+    a cluster without the setting is refused, as its executors would each
+    write to their own disk.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
@@ -67,6 +68,8 @@ def work_dir(spark: SparkSession) -> str:
         return _WORK_DIRS[app]
     d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="lotline-work-")
         spark.sparkContext.setCheckpointDir(d)
     _WORK_DIRS[app] = d.rstrip("/")
@@ -79,14 +82,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     return bool(fs.exists(p))
-
-
-def path_rename(spark: SparkSession, src: str, dst: str) -> bool:
-    jvm = spark._jvm
-    s = jvm.org.apache.hadoop.fs.Path(src)
-    fs = s.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.rename(s, jvm.org.apache.hadoop.fs.Path(dst)))
-
-
-def default_master() -> str:
-    return f"local[{os.environ.get('BENCH_CPUS', '8')}]"

@@ -23,6 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE_SIZE = 18
+# An odometer no integer column holds, and a relative link through five folders
+# whose query holds dot segments of its own.
+TOO_LARGE = 9_999_999_999
+DEEP_LINK = ("a/b/c/d/e/../../../../.././vehicle/", "?next=/x/../y")
 
 # Page shapes: JSON wrappers around the vehicle list text ``%s``.
 DEALERCOM_SHAPES = [
@@ -46,7 +50,6 @@ ROADSTER_SHAPES = [
 # Failed captures (no rows may come out of them).
 DEALERCOM_TRAP = '{"DDC":{"InvData":{"inventory":{}}},"inventory":%s}'
 ROADSTER_TRAP = '{"search":[],"vehicles":%s}'
-EMPTY_PAYLOADS = {"dealercom": "{}", "roadster": "null"}
 
 
 def _v(c: Column) -> Column:
@@ -64,7 +67,8 @@ def variation_key() -> Column:
 def _dealercom_record(m: Column) -> Column:
     price = F.col("price")
     has_price = price.isNotNull()
-    model_list = F.concat(F.split(F.col("model"), " "), F.array(F.lit("")))
+    words = F.transform(F.split(F.col("model"), " "), lambda w: w.cast("variant"))
+    model_list = F.concat(words, F.array(_v(F.lit("")), _v(F.lit(0)), _v(F.lit(False)), F.parse_json(F.lit("[]"))))
     fields = {
         "vin": F.when((m % 53 != 0) & (m % 2 == 0), _v(F.col("vin"))),
         "VIN": F.when((m % 53 != 0) & (m % 2 == 1), _v(F.col("vin"))),
@@ -92,7 +96,7 @@ def _dealercom_record(m: Column) -> Column:
         "intColor": F.when(m % 3 == 0, _v(F.col("int_color"))),
         "interiorColor": F.when(m % 3 == 1, _v(F.col("int_color"))),
         "int_color": F.when(m % 3 == 2, _v(F.col("int_color"))),
-        "odometer": F.when(m % 3 == 0, _v(F.col("odometer"))),
+        "odometer": F.when(m % 89 == 0, _v(F.lit(TOO_LARGE))).when(m % 3 == 0, _v(F.col("odometer"))),
         "mileage": F.when(m % 3 == 1, _v(_money(F.col("odometer"), 0))),
         "miles": F.when(m % 3 == 2, _v(F.col("odometer"))),
         "options": F.when(m % 2 == 0, F.parse_json(F.col("options"))),
@@ -141,12 +145,13 @@ def _roadster_record(m: Column) -> Column:
         "exterior_color": ext,
         "interior_color": inter,
         "mileage": F.when(m % 97 == 0, F.to_variant_object(F.struct(odo.alias("value"))))
+                    .when(m % 89 == 0, _v(F.lit(1e30)))
                     .when(m % 3 == 0, _v(odo))
                     .when(m % 3 == 1, _v(F.concat(_money(odo, 0), F.lit(" miles")))),
         "odometer": F.when((m % 97 != 0) & (m % 3 == 2), _v(odo)),
         "url": F.when(m % 4 == 0, _v(F.concat(F.lit("/inventory/vehicle/"), vin)))
                 .when(m % 4 == 1, _v(F.concat(F.lit("https://cdn.example.com/v/"), vin))),
-        "detail_url": F.when(m % 4 == 2, _v(F.concat(F.lit("vehicle/"), vin))),
+        "detail_url": F.when(m % 4 == 2, _v(F.concat(F.lit(DEEP_LINK[0]), vin, F.lit(DEEP_LINK[1])))),
         "options": F.when(m % 2 == 0, F.parse_json(F.col("options"))),
         "packages": F.when(m % 2 == 1, F.parse_json(F.col("options"))),
     }
@@ -162,58 +167,65 @@ def page_url(platform: Column, dealer_key: Column, page_no: Column) -> Column:
                                 (page_no * PAGE_SIZE).cast("string")))
 
 
-def assign_pages(obs: DataFrame) -> DataFrame:
-    """Page of each sighting: ``pmod(mix(keys), n_pages(dealer))``."""
-    counts = obs.groupBy("dealer_key").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("dealer_key", F.ceil(F.col("_n") / PAGE_SIZE).cast("bigint").alias("n_pages"))
-    o = obs.join(counts, "dealer_key")
+def assign_pages(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Page of each sighting: ``pmod(mix(keys), n_pages)``, pages being counted
+    per dealer (and per further columns ``by``)."""
+    keys = ["dealer_key", *by]
+    counts = obs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*keys, F.ceil(F.col("_n") / PAGE_SIZE).cast("bigint").alias("n_pages"))
+    o = obs.join(counts, keys)
     mix = F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 31 + F.col("id")
     return o.withColumn("page_no", F.pmod(mix, F.col("n_pages"))).withColumn("m", variation_key())
 
 
-def build_captures(obs: DataFrame) -> DataFrame:
-    """Pages of vendor payloads (JSON text) from sightings; see module doc."""
-    o = assign_pages(obs)
+def _wrap(shapes, idx: Column) -> Column:
+    expr = None
+    for i, (_, tmpl) in enumerate(shapes):
+        pre, post = tmpl.split("%s")
+        val = F.concat(F.lit(pre), F.col("_list"), F.lit(post))
+        expr = F.when(idx == i, val) if expr is None else expr.when(idx == i, val)
+    return expr
+
+
+def build_captures(obs: DataFrame, request: dict[str, str] | None = None) -> DataFrame:
+    """Pages of vendor payloads (JSON text) from sightings; see module doc.
+
+    ``request`` names columns of the sightings that were asked for by the
+    crawl (source column -> capture column): pages then hold one value of each,
+    and the capture carries them as columns."""
+    request = request or {}
+    o = assign_pages(obs, tuple(request))
     platform = F.when(F.col("dealer_platform") == "Roadster", "roadster").otherwise("dealercom")
     m = F.col("m")
-    rec_dc = _dealercom_record(m)
-    rec_rs = _roadster_record(m)
     keep_nulls = F.col("page_no") % 2 == 1
     rec_json = (F.when(m % 101 == 0, F.lit('"broken"'))
-                .when(F.col("platform") == "roadster", F.to_json(rec_rs))
-                .when(keep_nulls, F.to_json(rec_dc, {"ignoreNullFields": "false"}))
-                .otherwise(F.to_json(rec_dc)))
+                .when(F.col("platform") == "roadster", F.to_json(_roadster_record(m)))
+                .when(keep_nulls, F.to_json(_dealercom_record(m), {"ignoreNullFields": "false"}))
+                .otherwise(F.to_json(_dealercom_record(m))))
     o = o.withColumn("platform", platform).withColumn("rec", rec_json)
-    pages = o.groupBy("dealer_key", "dealer", "platform", "page_no", "n_pages").agg(
+    for column, name in request.items():
+        o = o.withColumn(name, F.col(column))
+    # The join left the rows by dealer: deal them by page before the pages are
+    # put together, or all pages of a large dealer would meet in one task.
+    keys = ["dealer_key", "page_no", *request.values()]
+    pages = o.repartition(*keys).groupBy(*keys, "dealer", "platform", "n_pages").agg(
         F.sort_array(F.collect_list(F.struct("m", "vin", "scraped_at", "rec"))).alias("_recs"),
         F.max("scraped_at").alias("captured_at"))
-    list_text = F.concat(F.lit("["), F.array_join(F.transform("_recs", lambda x: x["rec"]), ","), F.lit("]"))
-    shape_dc = F.pmod(F.col("page_no") + F.col("dealer_key"), F.lit(len(DEALERCOM_SHAPES)))
-    shape_rs = F.pmod(F.col("page_no") + F.col("dealer_key"), F.lit(len(ROADSTER_SHAPES)))
-
-    def wrap(shapes, idx):
-        expr = None
-        for i, (_, tmpl) in enumerate(shapes):
-            pre, post = tmpl.split("%s")
-            val = F.concat(F.lit(pre), F.col("_list"), F.lit(post))
-            expr = F.when(idx == i, val) if expr is None else expr.when(idx == i, val)
-        return expr
-
-    pages = pages.withColumn("_list", list_text)
-    payload = F.when(F.col("platform") == "roadster", wrap(ROADSTER_SHAPES, shape_rs)) \
-               .otherwise(wrap(DEALERCOM_SHAPES, shape_dc))
+    pages = pages.withColumn("_list", F.concat(
+        F.lit("["), F.array_join(F.transform("_recs", lambda x: x["rec"]), ","), F.lit("]")))
+    shape = lambda shapes: F.pmod(F.col("page_no") + F.col("dealer_key"), F.lit(len(shapes)))
+    roadster = F.col("platform") == "roadster"
+    payload = F.when(roadster, _wrap(ROADSTER_SHAPES, shape(ROADSTER_SHAPES))).otherwise(
+        _wrap(DEALERCOM_SHAPES, shape(DEALERCOM_SHAPES)))
+    # Failed captures of some pages: the list sits where the reader must not look, or there is none.
+    trap = F.replace(F.when(roadster, F.lit(ROADSTER_TRAP)).otherwise(F.lit(DEALERCOM_TRAP)), F.lit("%s"), F.col("_list"))
+    empty = F.when(roadster, F.when(F.col("page_no") % 20 == 1, F.lit("null")).otherwise(F.lit('"text"'))).otherwise(F.lit("{}"))
+    kind = lambda name, text: F.struct(F.lit(name).alias("capture_kind"), text.alias("payload"))
+    kinds = F.filter(F.array(kind("page", payload), F.when(F.col("page_no") % 10 == 0, kind("trap", trap)),
+                             F.when(F.col("page_no") % 10 == 1, kind("empty", empty))), lambda k: k.isNotNull())
     url = page_url(F.col("platform"), F.col("dealer_key"), F.col("page_no"))
     next_url = F.when(F.col("page_no") < F.col("n_pages") - 1,
                       page_url(F.col("platform"), F.col("dealer_key"), F.col("page_no") + 1))
-    base = pages.select("dealer", "platform", F.col("page_no").cast("bigint").alias("page_no"),
-                        url.alias("source_url"), next_url.alias("next_url"), "captured_at",
-                        payload.alias("payload"), F.lit("page").alias("capture_kind"), "_list")
-    # Failed captures of some pages: the list sits where the reader must not look.
-    trap_tmpl = F.when(F.col("platform") == "roadster", F.lit(ROADSTER_TRAP)).otherwise(F.lit(DEALERCOM_TRAP))
-    traps = base.where(F.col("page_no") % 10 == 0).withColumn(
-        "payload", F.replace(trap_tmpl, F.lit("%s"), F.col("_list"))).withColumn("capture_kind", F.lit("trap"))
-    empties = base.where(F.col("page_no") % 10 == 1).withColumn(
-        "payload", F.when(F.col("platform") == "roadster",
-                          F.when(F.col("page_no") % 20 == 1, F.lit("null")).otherwise(F.lit('"text"')))
-                    .otherwise(F.lit("{}"))).withColumn("capture_kind", F.lit("empty"))
-    return base.unionByName(traps).unionByName(empties).drop("_list")
+    return pages.withColumn("_kind", F.explode(kinds)).select(
+        "dealer", "platform", F.col("page_no").cast("bigint").alias("page_no"), url.alias("source_url"),
+        next_url.alias("next_url"), "captured_at", "_kind.payload", "_kind.capture_kind", *request.values())

@@ -1,10 +1,15 @@
 """Written tables under the shared work folder: each derived input is written
 once (keyed by its source and the code that derives it) and read back, which
-cuts the lineage and is the recovery point if an executor is lost."""
+cuts the lineage and is the recovery point if an executor is lost.
+
+A table is a folder of complete versions and a file ``_current`` that names one
+of them.  A version is written under a name of its own and named in
+``_current`` afterwards, so readers never see half a table, and two drivers
+that build the same table at once each finish a version of which one is used.
+"""
 
 from __future__ import annotations
 
-import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,96 +17,109 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import path_exists, work_dir
 
 
-def write_version(df: DataFrame, table_dir: str, version: str | None = None) -> str:
-    """Write a new immutable version of a table; readers keep the old one."""
-    version = version or uuid.uuid4().hex
-    path = f"{table_dir.rstrip('/')}/v={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-_LOCKS: dict[str, threading.Lock] = {}
-_LOCKS_GUARD = threading.Lock()
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _lock(path: str) -> threading.Lock:
-    """One writer per written-table path within this process."""
-    with _LOCKS_GUARD:
-        return _LOCKS.setdefault(path, threading.Lock())
+def read_pointer(spark: SparkSession, folder: str) -> str | None:
+    """Version named by ``_current`` (None: none is complete yet)."""
+    fs, p = _fs(spark, f"{folder}/_current")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_pointer(spark: SparkSession, folder: str, version: str) -> None:
+    """Name a complete version; the file appears whole, by a rename."""
+    fs, temp = _fs(spark, f"{folder}/_next-{uuid.uuid4().hex}")
+    out = fs.create(temp, False)
+    out.write(bytearray(version.encode()))
+    out.close()
+    _, p = _fs(spark, f"{folder}/_current")
+    if not fs.rename(temp, p):  # another driver's file stands
+        if fs.exists(p) and read_pointer(spark, folder) != version:
+            fs.delete(p, False)
+            fs.rename(temp, p)
+
+
+def _once(spark: SparkSession, name: str, key: str, write) -> str:
+    """Folder of the complete version of a written table, written by
+    ``write(folder)`` unless there is one."""
+    folder = f"{work_dir(spark)}/tables/{name}/{key}"
+    version = read_pointer(spark, folder)
+    if version is None:
+        version = uuid.uuid4().hex
+        write(f"{folder}/{version}")
+        # of two drivers the first to finish is kept
+        if read_pointer(spark, folder) is None:
+            write_pointer(spark, folder, version)
+        version = read_pointer(spark, folder)
+    return f"{folder}/{version}"
 
 
 def materialize(spark: SparkSession, name: str, build, key: str) -> DataFrame:
-    """Write ``build()`` once under the shared work folder and read it back.
+    """Write ``build()`` once under the shared work folder and read it back."""
+    return spark.read.parquet(_once(spark, name, key, lambda path: build().write.parquet(path)))
+
 
-    Cuts the lineage of an expensive derived table (the written files are the
-    recovery point if an executor is lost); later calls with the same key
-    reuse the written table."""
-    base = work_dir(spark)
-    path = f"{base}/tables/{name}/{key}"
-    with _lock(path):
-        if not path_exists(spark, path + "/_SUCCESS"):
-            build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def materialize_dir(spark: SparkSession, name: str, build, key: str) -> str:
+    """Like ``materialize``; returns the folder of the files."""
+    return _once(spark, name, key, lambda path: build().write.parquet(path))
 
 
 def materialize_partitioned(spark: SparkSession, name: str, build, key: str, by: list[str]) -> DataFrame:
     """``materialize`` with a partitioned layout (directory per value of ``by``)."""
-    base = work_dir(spark)
-    path = f"{base}/tables/{name}/{key}"
-    with _lock(path):
-        if not path_exists(spark, path + "/_SUCCESS"):
-            build().write.mode("overwrite").partitionBy(*by).parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(_once(spark, name, key, lambda path: build().write.partitionBy(*by).parquet(path)))
 
 
 def materialize_text(spark: SparkSession, name: str, build, key: str) -> DataFrame:
     """Write a one-column (``value``) DataFrame as text once; read it back."""
-    base = work_dir(spark)
-    path = f"{base}/tables/{name}/{key}"
-    with _lock(path):
-        if not path_exists(spark, path + "/_SUCCESS"):
-            build().write.mode("overwrite").text(path)
-    return spark.read.text(path)
+    return spark.read.text(_once(spark, name, key, lambda path: build().write.text(path)))
 
 
 def materialize_csv(spark: SparkSession, name: str, build, key: str) -> str:
     """Write a CSV (header, UTF-8) once under the shared work folder; return its path."""
-    base = work_dir(spark)
-    path = f"{base}/tables/{name}/{key}"
-    with _lock(path):
-        if not path_exists(spark, path + "/_SUCCESS"):
-            build().write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
-    return path
+    return _once(spark, name, key,
+                 lambda path: build().write.option("header", True).option("encoding", "UTF-8").csv(path))
 
 
-def bucketed_table(spark: SparkSession, name: str, build, key: str, buckets: int = 64,
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of a stored table: as many as a shuffle has partitions, so items
+    that were shuffled for an aggregate meet the stored buckets without another shuffle."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed_table(spark: SparkSession, name: str, build, key: str, buckets: int | None = None,
                    by: str = "vin") -> DataFrame:
     """A table written once, bucketed and sorted by ``by`` (default: VIN).
 
-    A merge join on ``by`` then reads the stored side already hash-partitioned
-    into ``buckets`` partitions: only the incoming items are shuffled, the
-    stored table is not.  The bucket layout is recorded in the session
-    catalog; a new session re-attaches the written files with the same
-    bucket spec."""
-    base = work_dir(spark)
-    path = f"{base}/tables/{name}/{key}"
-    table = f"lotline_{name}_{key}"
-    with _lock(path):
-        if not path_exists(spark, path + "/_SUCCESS"):
-            if spark.catalog.tableExists(table):
-                spark.sql(f"DROP TABLE {table}")
-            # hash-partition to the bucket count first: each task then writes
-            # one bucket file instead of one file per bucket it happens to hold
-            (build().repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
-             .option("path", path).saveAsTable(table))
-        else:
-            return attach_bucketed(spark, table, path, buckets, by)
-    return spark.table(table)
+    A merge join on ``by`` then reads the stored side already hash-partitioned:
+    only the incoming items are shuffled, the stored table is not."""
+    n = buckets or bucket_count(spark)
+    path = _once(spark, name, f"{key}-{n}", lambda path: write_bucketed(spark, build(), path, n, by))
+    return attach_bucketed(spark, path, n, by)
+
+
+def _table_name(path: str) -> str:
+    return "lotline_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
 
 
-def attach_bucketed(spark: SparkSession, table: str, path: str, buckets: int, by: str = "vin") -> DataFrame:
-    """Register already written bucketed files under ``table`` (bucket spec
-    restored), unless the session catalog has it; return the table."""
+def write_bucketed(spark: SparkSession, df: DataFrame, path: str, buckets: int, by: str = "vin") -> None:
+    """Files of a bucketed and sorted table.  The rows are dealt to the bucket
+    count first: each task then writes one bucket file instead of one for
+    every bucket it happens to hold."""
+    name = _table_name(path)
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+
+
+def attach_bucketed(spark: SparkSession, path: str, buckets: int, by: str = "vin") -> DataFrame:
+    """Written bucketed files as a table with its bucket layout, also in a new session."""
+    table = _table_name(path)
     if not spark.catalog.tableExists(table):
         schema = spark.read.parquet(path).schema
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -110,6 +128,25 @@ def attach_bucketed(spark: SparkSession, table: str, path: str, buckets: int, by
     return spark.table(table)
 
 
+def detach_bucketed(spark: SparkSession, path: str) -> None:
+    """Forget the catalog entry of a bucketed table; its files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, length, modification time) of a file or of the files of a folder."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted((st.getPath().getName(), st.getLen(), st.getModificationTime())
+                  for st in fs.listStatus(p) if not st.isDirectory())
+
+
+def delete_dir(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def list_dirs(spark: SparkSession, path: str) -> list[str]:
     """Names of the sub-folders of ``path`` (empty when it does not exist)."""
     jvm = spark._jvm

@@ -12,11 +12,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_vehicles(spark: SparkSession, path: str) -> DataFrame:
-    from .schemas import VEHICLES
-    return spark.read.schema(VEHICLES).parquet(path)
-
-
 def read_dealers_csv(spark: SparkSession, path: str) -> DataFrame:
     """Dealer registry CSV (header, UTF-8, explicit schema) with file order kept.
 

@@ -1,14 +1,15 @@
 """Continuous VIN upsert: listing items arriving as files are merged into the
 vehicle table micro-batch by micro-batch.
 
-``readStream`` (file source, declared schema) -> ``foreachBatch(merge)``.
-Each micro-batch reads the current table version, merges its items and
-writes version ``batch=<id>`` (bucketed by VIN, so the next merge does not
-shuffle the stored state); a rerun of a batch after a failure rewrites the
-same version (idempotent by batch id), and the stream checkpoint records
-which files are done.  The table carries the winning arrival order in a
-``_seq`` column, so a late file never overwrites newer data and the result
-does not depend on how files are grouped into batches.
+``readStream`` (file source, declared schema) -> ``foreachBatch``.  A batch reads
+the stored rows of its own VINs, merges its items into them and writes the rows
+that came out as a delta, next to the items it rejected: what is written grows
+with the batch, not with the table.  The table is the newest row of each VIN over
+the base and the deltas; after ``compact_every`` deltas they are folded into a new
+base.  A rerun of a batch after a failure writes the same delta again (batch id),
+and the stream checkpoint records which files are done.  Rows carry the winning
+arrival order in ``_seq``, so a late file never overwrites newer data and the
+result does not depend on how files are grouped into batches.
 """
 
 from __future__ import annotations
@@ -16,61 +17,82 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.upsert import merge
+from ..operators.upsert import last_per_key, merge
 from ..session import path_exists, work_dir
-from ..sources.store import attach_bucketed, list_dirs
+from ..sources.store import list_dirs
+
+
+class StreamTable:
+    """Base and deltas of a stream's table below ``run_dir``."""
+
+    def __init__(self, spark: SparkSession, run_dir: str):
+        self.spark, self.run_dir = spark, run_dir.rstrip("/")
+
+    def _done(self, kind: str) -> list[int]:
+        return sorted(int(n.split("=", 1)[1]) for n in list_dirs(self.spark, f"{self.run_dir}/{kind}")
+                      if n.startswith("batch=") and path_exists(self.spark, f"{self.run_dir}/{kind}/{n}/_SUCCESS"))
+
+    def base(self, before: int | None = None) -> int | None:
+        return max((b for b in self._done("base") if before is None or b < before), default=None)
+
+    def deltas(self, before: int | None = None) -> list[int]:
+        base = self.base(before)
+        return [b for b in self._done("delta") if b > (-1 if base is None else base) and (before is None or b < before)]
+
+    def write(self, kind: str, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.run_dir}/{kind}/batch={batch_id}")
+
+    def parts(self, before: int | None = None) -> DataFrame:
+        """Rows of the base and the deltas with the batch that wrote them (``_batch``)."""
+        paths = [f"base/batch={self.base(before)}", *(f"delta/batch={b}" for b in self.deltas(before))]
+        out = None
+        for p in paths:
+            part = self.spark.read.parquet(f"{self.run_dir}/{p}").withColumn("_batch", F.lit(int(p.split("=")[1])))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """The table: of each VIN the row of the last batch."""
+        if not self.deltas(before):
+            return self.parts(before).drop("_batch")
+        return last_per_key(self.parts(before), "vin", ["_batch"]).drop("_batch")
+
+    def rejects(self) -> DataFrame | None:
+        """(vin, violations, batch) of the items that were turned down."""
+        done = self._done("rejects")
+        if not done:
+            return None
+        return self.spark.read.parquet(*[f"{self.run_dir}/rejects/batch={b}" for b in done])
 
 
 def run_stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, initial: DataFrame,
-                      as_of, seq: list[str], identity: str = "title", files_per_batch: int = 2,
-                      run_dir: str | None = None, buckets: int = 64) -> DataFrame:
-    """Run the upsert stream over everything in ``source_dir`` (availableNow)
-    and return the final table (declared columns, ``_seq`` dropped)."""
-    run_dir = run_dir or f"{work_dir(spark)}/streams/upsert-{uuid.uuid4().hex}"
-    state_dir = f"{run_dir}/table"
-    run_tag = uuid.uuid5(uuid.NAMESPACE_URL, run_dir).hex[:12]
-    # Versions already committed by an earlier run of this stream (same
-    # run_dir, e.g. after a driver restart) are picked up, not rewritten.
-    versions: list[int] = sorted(
-        int(n.split("=", 1)[1]) for n in list_dirs(spark, state_dir)
-        if n.startswith("batch=") and path_exists(spark, f"{state_dir}/{n}/_SUCCESS"))
-
-    def table_name(batch_id: int) -> str:
-        return f"lotline_stream_{run_tag}_{'init' if batch_id < 0 else batch_id}"
-
-    def version(batch_id: int) -> DataFrame:
-        return attach_bucketed(spark, table_name(batch_id), f"{state_dir}/batch={batch_id}", buckets)
-
-    def write_version(df: DataFrame, batch_id: int, regroup: bool = False) -> None:
-        # Each version is bucketed by VIN: the next batch's merge reads it
-        # without shuffling the stored state; only the batch is shuffled.
-        name = table_name(batch_id)
-        spark.sql(f"DROP TABLE IF EXISTS {name}")  # rerun of a batch rewrites its version
-        # A merge result is already split by VIN hash into the bucket count (the
-        # join ran on the bucketed state), so each task writes one bucket file;
-        # the initial table is regrouped to get the same layout.
-        if regroup:
-            df = df.repartition(buckets, "vin")
-        (df.write.mode("overwrite").bucketBy(buckets, "vin").sortBy("vin")
-         .option("path", f"{state_dir}/batch={batch_id}").saveAsTable(name))
-        if batch_id not in versions:
-            versions.append(batch_id)
-
-    if -1 not in versions:
-        write_version(initial, -1, regroup=True)
+                      as_of, seq: list[str], identity: str = "title", files_per_batch: int | None = None,
+                      run_dir: str | None = None, compact_every: int = 16) -> StreamTable:
+    """Run the upsert stream over everything in ``source_dir`` (availableNow).
+
+    ``files_per_batch``: files of one micro-batch (None: all that are there).
+    Batches committed by an earlier run with the same ``run_dir`` are picked up."""
+    table = StreamTable(spark, run_dir or f"{work_dir(spark)}/streams/upsert-{uuid.uuid4().hex}")
+    if table.base() is None:
+        table.write("base", initial, -1)
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        prev = max(v for v in versions if v < batch_id)
-        current = version(prev)
-        table, _rejects = merge(current, batch, as_of, seq=seq, identity=identity, keep_seq=True)
-        write_version(table, batch_id)
-
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-              .parquet(source_dir))
-    q = (stream.writeStream.foreachBatch(upsert_batch)
-         .option("checkpointLocation", f"{run_dir}/checkpoint")
+        vins = batch.select("vin").distinct()
+        stored = last_per_key(table.parts(batch_id).join(vins, "vin", "left_semi"), "vin", ["_batch"]).drop("_batch")
+        merged, rejects = merge(stored, batch, as_of, seq=seq, identity=identity, keep_seq=True)
+        table.write("delta", merged, batch_id)
+        table.write("rejects", rejects.withColumn("batch", F.lit(batch_id)), batch_id)
+        if len(table.deltas()) >= compact_every:
+            table.write("base", table.read(), batch_id)
+
+    stream = spark.readStream.schema(schema)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    q = (stream.parquet(source_dir).writeStream.foreachBatch(upsert_batch)
+         .option("checkpointLocation", f"{table.run_dir}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return version(max(versions)).drop("_seq")
+    return table
