@@ -70,15 +70,17 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                        "doc_id long, n long, k1 long, k2 long, sig binary")
 
 
+def _values(sig: np.ndarray) -> np.ndarray:
+    """The (coordinate, value) pairs of signatures, as one number each."""
+    return T.mix(sig.astype(np.uint64) + (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(40))).view(np.int64)
+
+
 def _postings(reps: DataFrame) -> DataFrame:
     """(value, v): one row for each coordinate of each class."""
-    tag = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(40)
-
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
-        value = T.mix(sig.astype(np.uint64) + tag).view(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(value.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), COORDINATES))], ["value", "v"])
+            [pa.array(_values(sig).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), COORDINATES))], ["value", "v"])
     return map_batches(reps.select(F.col("k1").alias("v"), "sig"), run, "value long, v long")
 
 
@@ -112,12 +114,20 @@ def _confirmed(pairs: DataFrame, members: DataFrame, matches: int, percent: int)
 
 def _across(rows: DataFrame, matches: int, percent: int) -> DataFrame:
     """Pairs of different components in blocks (bucket, value, low, high, side,
-    v, n, own, c, sig): side 0 rows are of block ``low``, side 1 of ``high``."""
+    v, n, own, c, sig, values): side 0 rows are of block ``low``, side 1 of
+    ``high``.  A pair belongs to the list of the rarest value it shares."""
     def run(t: pa.Table) -> pa.Table:
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         val, lo, hi = (t[c].to_numpy() for c in ("value", "low", "high"))
         side, v, n, own, c = (t[x].to_numpy() for x in ("side", "v", "n", "own", "c"))
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+        held = _values(sig)
+        rank = np.full(sig.shape, COORDINATES, dtype=np.int8)     # place of each coordinate in ``values``
+        for i, x in enumerate(t["values"].to_pylist()):
+            x = np.asarray(x)
+            o = np.argsort(x)
+            at = np.minimum(np.searchsorted(x, held[i], sorter=o), len(x) - 1)
+            rank[i] = np.where(x[o[at]] == held[i], o[at], COORDINATES)
         order = np.lexsort((hi, lo, val))
         key = np.stack([val, lo, hi])[:, order]
         cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
@@ -130,7 +140,9 @@ def _across(rows: DataFrame, matches: int, percent: int) -> DataFrame:
                 if y is x:
                     k = k[v[k] > v[i]]
                 if len(k):
-                    k = k[(sig[k] == sig[i]).sum(axis=1) >= matches]
+                    same = sig[k] == sig[i]
+                    rarest = np.where(same, rank[i], COORDINATES).argmin(axis=1)
+                    k = k[(same.sum(axis=1) >= matches) & (held[i][rarest] == val[i])]
                     left.append(np.minimum(v[k], v[i]))
                     right.append(np.maximum(v[k], v[i]))
         return pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
@@ -190,12 +202,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
     at = posted.join(group.withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v"))
     mixed = at.groupBy("value").agg(F.count("*").alias("held"), F.min("c").alias("lo"), F.max("c").alias("hi")
                                     ).where("lo <> hi").select("value", "held")
-    at = at.join(mixed, "value").join(members.select("v", "sig"), "v")
+    at = at.join(mixed, "value").join(members.select("v", "sig", "values"), "v")
     blocks = F.ceil(F.col("held") / BLOCK).cast("int")
     at = at.withColumn("blocks", blocks).withColumn("own_block", F.pmod(F.xxhash64("v", F.lit(1)), F.col("blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     at = at.select("value", F.least("own_block", "other").alias("low"), F.greatest("own_block", "other").alias("high"),
-                   (F.col("own_block") > F.col("other")).cast("int").alias("side"), "v", "n", "own", "c", "sig")
+                   (F.col("own_block") > F.col("other")).cast("int").alias("side"), "v", "n", "own", "c", "sig", "values")
     at = written(at, "across")
     rows = at.count()
     spread = max(1, -(-rows // BUCKET_ROWS))
