@@ -1,11 +1,80 @@
-"""Corpus pipeline: stages over the documents table, each written as Parquet
-and read back as the next one's input."""
+"""Corpus pipeline: from the documents table to tokens.
+
+``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir)
+and returns a DataFrame, which is written as Parquet and read back as the next
+one's ``docs``.  All but the last return the columns of documents:
+
+1. toxicity          documents scored 0.7 or more go
+2. line dedup        later repeats of three lines or more go; n_chars is counted anew
+3. near-dedup        of each group of similar documents the smallest doc_id stays
+4. decontamination   documents that hold 80 of 100 shingles of a benchmark item go
+5. BPE               token count and hashes of ids and decoded text
+
+Rows without an id are kept by every filter that needs no id; of rows with
+equal id and text one stays in stage 3.  Empty tables give empty results.
+``ORACLE_SQL`` is None: SQL does not express the training of stage 1.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotline.llm import bpe, common, decontaminate, linededup, neardup, queries, toxicity
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.settle(spark)
+    model = toxicity.train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
+                           common.table(spark, sf_dir, "labels"))
+    return toxicity.clean(docs, model)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.settle(spark)
+    out = linededup.remove_repeated_lines(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.settle(spark)
+    rows = common.written(neardup.near_duplicates(docs).where("n_shingles > 0 and doc_id is not null")
+                          .select("rid", "doc_id", "group_id"), "near")
+    first = rows.groupBy("group_id").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
+    gone = common.written(rows.join(first, "group_id").where("rid <> first.rid").select("rid").distinct(), "gone")
+    out = common.join_counted(docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), "text")),
+                              gone.withColumnRenamed("rid", "__rid"), "__rid", "left_anti")
+    if rows.groupBy("rid").count().where("count > 1").limit(1).count():
+        again = rows.groupBy("rid").count().where("count > 1").select(F.col("rid").alias("__rid"))
+        out = out.join(again, "__rid", "left_anti").unionByName(
+            out.join(again, "__rid", "left_semi").dropDuplicates(["__rid"]))
+    return out.select(*docs.columns)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.settle(spark)
+    keyed = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    pairs = decontaminate.contaminated(keyed.select(F.col("__rid").alias("doc_id"), "text"),
+                                       common.table(spark, sf_dir, "benchmark"))
+    gone = common.written(pairs.select(F.col("doc_id").alias("__rid")).distinct(), "leaks")
+    return common.join_counted(keyed, gone, "__rid", "left_anti").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.settle(spark)
+    return bpe.encode(docs, queries.vocabulary())
+
+
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("near-dedup", drop_near_duplicates),
+          ("decontamination", drop_benchmark), ("BPE", encode)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, one after the other."""
+    common.settle(spark)
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs

@@ -52,8 +52,8 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, k1, k2, sig) of documents (doc_id, text); k1 and k2 name the
-    set (null and no signature for the empty set)."""
+    """(doc_id, rid, n, k1, k2, sig) of documents (doc_id, text); k1 and k2 name
+    the set (null and no signature for the empty set), rid the id and text."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, k1, k2, sig = [], [], [], []
         for w in T.documents_words(texts_of(b.column(1))):
@@ -64,10 +64,10 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             k2.append(int(np.add.reduce(T.mix(s ^ T._ORDER[0])).view(np.int64)) if some else None)
             sig.append(signature(s).tobytes() if some else None)
         return pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-             pa.array(sig, pa.binary())], ["doc_id", "n", "k1", "k2", "sig"])
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                       "doc_id long, n long, k1 long, k2 long, sig binary")
+            [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+             pa.array(sig, pa.binary())], ["doc_id", "rid", "n", "k1", "k2", "sig"])
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid")), run,
+                       "doc_id long, rid long, n long, k1 long, k2 long, sig binary")
 
 
 def _values(sig: np.ndarray) -> np.ndarray:
@@ -153,10 +153,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
     """Components of similar documents (doc_id, text).
 
     Returns, for every row, doc_id, n_shingles (size of its set), component_id
-    (the smallest doc_id that links lead to, itself included) and kept
-    (doc_id = component_id).  Null or empty texts, and texts without words, have
-    the empty set and are linked with nothing.  Texts of fewer than ``words``
-    words have one shingle.  Rows with equal sets are linked.  Rows without an
+    (the smallest doc_id that links lead to, itself included), kept (doc_id =
+    component_id), group_id (of the component, null for the empty set) and rid
+    (a hash of id and text; both tell rows of one id apart).  Null or empty
+    texts, and texts without words, have the empty set and are linked with
+    nothing.  Texts of fewer than ``words`` words have one shingle.  Rows with equal sets are linked.  Rows without an
     id take no part (component_id null, kept true).  Repeated rows come out as
     often as they went in.  Other columns are not looked at."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -219,8 +220,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATC
     named = classes.join(group.withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v"))
     named = written(named.select("k1", "k2", "rep", "c"), "named")
     lowest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "c").select("k1", "k2", "component_id")
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
+    named = named.join(lowest, "c").select("k1", "k2", "component_id", F.col("c").alias("group_id"))
+    out = sigs.select("doc_id", "rid", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id",
-                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "group_id", "rid")

@@ -154,18 +154,24 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, held_out, score, predicted) of every row of documents."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of documents (doc_id, text)."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = scores(texts_of(b.column("text")), model)
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, "score"])
-    rows = docs.select(F.col("doc_id"), *([] if "text" in keep else ["text"]), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", score double"
-    out = map_batches(rows, run, schema)
-    return out.select("doc_id", *keep, held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "score",
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(texts_of(b.column(1)), model))], ["doc_id", "score"])
+    out = map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double")
+    return out.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "score",
                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all columns, that the model does not call toxic."""
+    at = docs.columns.index("text")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array(scores(texts_of(b.column(at)), model) < THRESHOLD))
+    return map_batches(docs, run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every document (doc_id, text) as ``labels`` (doc_id, toxic) marks toxicity.
 
