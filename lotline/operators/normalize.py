@@ -7,8 +7,9 @@ record is inspected in stages so each key is read and typed exactly once:
 2. ``_t<i>``: its variant type name;
 3. ``_b<i>``: its truthiness;
 
-and the field builders combine those columns.  This keeps the generated
-code per row small (whole-stage codegen stays on) and avoids re-parsing.
+and the field builders combine those columns.  The stages are kept apart
+(``apart``), so the generated code of each stays below the JVM's method limit
+and nothing is evaluated twice.
 A record that cannot become an item gets a ``reject_reason`` and is split
 off instead of failing the job.
 """
@@ -26,6 +27,14 @@ from .extract import extract
 from .platforms import PlatformSpec
 
 
+def apart(df: DataFrame, cols: list[Column]) -> DataFrame:
+    """``df`` with further columns that later expressions refer to.  A plain
+    select would be merged with the selects and filters above it, each reference
+    replaced by the whole expression, until the generated code is too long to
+    compile; a generator of one row is not merged."""
+    return df.select("*", F.inline(F.array(F.struct(*cols))))
+
+
 class Rec:
     """Access to the staged key columns of a record."""
 
@@ -44,14 +53,14 @@ class Rec:
     def b(self, k):
         return F.col(f"_b{self.idx[k]}")
 
-    def stage(self, df: DataFrame, keep: list[str]) -> DataFrame:
+    def stages(self) -> list[list[Column]]:
+        """Columns of each stage: one lookup per key (measured faster than one
+        cast of the record to a struct of all keys), then types, then truthiness."""
         rec = F.col("rec")
-        # One lookup per key (measured faster than one cast of the record to
-        # a struct of all keys, which also defeats column pruning).
-        s1 = df.select(*keep, "rec", *[V.get(rec, k).alias(f"_f{self.idx[k]}") for k in self.keys])
-        s2 = s1.select("*", V.is_object_cheap(rec).alias("_obj_rec"),
-                       *[F.schema_of_variant(self.v(k)).alias(f"_t{self.idx[k]}") for k in self.keys])
-        return s2.select("*", *[V.truthy(self.v(k), self.t(k)).alias(f"_b{self.idx[k]}") for k in self.keys])
+        return [[V.get(rec, k).alias(f"_f{self.idx[k]}") for k in self.keys],
+                [V.is_object_cheap(rec).alias("_obj_rec"),
+                 *[F.schema_of_variant(self.v(k)).alias(f"_t{self.idx[k]}") for k in self.keys]],
+                [V.truthy(self.v(k), self.t(k)).alias(f"_b{self.idx[k]}") for k in self.keys]]
 
     staged_chains: dict = {}
 
@@ -59,7 +68,7 @@ class Rec:
     def _sig(rule):
         return (tuple(rule.keys), rule.default, bool(rule.extra.get("absent_default")))
 
-    def stage_chains(self, df: DataFrame, rules) -> DataFrame:
+    def stage_chains(self, rules) -> list[Column]:
         """Evaluate each distinct alias chain once into (value, type) columns;
         builders then refer to those columns instead of repeating the chain
         (keeps the generated code small and the row work single)."""
@@ -73,7 +82,7 @@ class Rec:
             i = len(self.staged_chains)
             cols += [v.alias(f"_cv{i}"), t.alias(f"_ct{i}")]
             self.staged_chains[sig] = (F.col(f"_cv{i}"), F.col(f"_ct{i}"))
-        return df.select("*", *cols)
+        return cols
 
     def chain(self, rule) -> tuple[Column, Column]:
         """``a or b or c`` over the rule's keys (with its default) -> (value, type)."""
@@ -226,29 +235,45 @@ def spec_keys(spec: PlatformSpec) -> list[str]:
     return keys
 
 
-def normalize_records(spec: PlatformSpec, records: DataFrame) -> DataFrame:
-    """records(dealer, source_url, rec, ...) -> items + ``reject_reason``."""
-    keep = [c for c in records.columns if c != "rec"]
+_PLANS: dict[int, tuple] = {}
+
+
+def _plan(spec: PlatformSpec) -> tuple[list[list[Column]], dict[str, Column], Column]:
+    """(stages, item columns, reject reason) of a platform.  They do not depend
+    on the data, so they are built once: each part of an expression costs a
+    call into the JVM."""
+    known = _PLANS.get(id(spec))
+    if known is not None:
+        return known[1]
     r = Rec(spec_keys(spec))
-    staged = r.stage_chains(r.stage(records, keep), spec.fields.values())
+    stages = r.stages()
+    stages.append(r.stage_chains(spec.fields.values()))
     ctx = {"source_url": F.col("source_url")}
     cols: dict[str, Column] = {}
     for name, rule in spec.fields.items():
-        if name == "title":
-            continue
-        cols[name] = FIELD_BUILDERS[rule.kind](r, rule, ctx)
+        if name != "title":
+            cols[name] = FIELD_BUILDERS[rule.kind](r, rule, ctx)
     cols["title"] = _title(spec, r, cols)
+    vin = r.chain(spec.fields["vin"])
     reason = F.when(~F.col("_obj_rec"), F.lit("not_object")) \
-              .when(~V.truthy(*r.chain(spec.fields["vin"])), F.lit("no_vin")) \
-              .when(V.is_array(*r.chain(spec.fields["vin"])) | V.is_object(*r.chain(spec.fields["vin"])), F.lit("bad_vin"))
+              .when(~V.truthy(*vin), F.lit("no_vin")) \
+              .when(V.is_array(*vin) | V.is_object(*vin), F.lit("bad_vin"))
     for name, cond in _row_errors(spec, r).items():
         reason = reason.when(cond, F.lit(name))
-    out_keep = [c for c in keep if c not in ("source_url",)]
-    return staged.select(
-        *out_keep,
-        *[cols[c].cast(ITEM[c].dataType).alias(c) for c in ITEM_COLUMNS if c in cols and c != "dealer"],
-        F.lit(spec.label).alias("dealer_platform"),
-        reason.alias("reject_reason"))
+    out = {c: cols[c].cast(ITEM[c].dataType).alias(c) for c in ITEM_COLUMNS if c in cols and c != "dealer"}
+    _PLANS[id(spec)] = (spec, (stages, out, reason.alias("reject_reason")))
+    return _PLANS[id(spec)][1]
+
+
+def normalize_records(spec: PlatformSpec, records: DataFrame) -> DataFrame:
+    """records(dealer, source_url, rec, ...) -> items + ``reject_reason``."""
+    keep = [c for c in records.columns if c != "rec"]
+    stages, cols, reason = _plan(spec)
+    staged = records.select(*keep, "rec")
+    for stage in stages:
+        staged = apart(staged, stage)
+    return staged.select(*[c for c in keep if c != "source_url"], *cols.values(),
+                         F.lit(spec.label).alias("dealer_platform"), reason)
 
 
 def normalize(spec: PlatformSpec, captures: DataFrame, with_rejects: bool = False) -> DataFrame:
