@@ -23,43 +23,42 @@ from .operators.extract import explode_records, parse_payload
 from .operators.normalize import normalize_records
 from .operators.platforms import PLATFORMS
 from .operators.upsert import conform, merge
-from .session import path_exists, work_dir
+from .session import work_dir
 from .sources.schemas import ITEM_COLUMNS, VEHICLES
+from .sources.store import (attach_bucketed, bucket_count, delete_dir, detach_bucketed, list_dirs, read_pointer,
+                            write_bucketed, write_pointer)
 
 
 class VehicleStore:
-    """Versioned vehicle table at ``root``: each write is a new directory
-    ``v=<sortable stamp>``; readers take the newest complete version, so a
-    write never disturbs a running reader."""
+    """Versioned vehicle table at ``root``: each write is a new folder, which
+    ``_current`` names once it is complete, so a write never disturbs a running
+    reader.  Versions are bucketed by VIN: a merge shuffles the items alone.
+    The last ``keep`` versions stay; older ones are deleted."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.root)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, keep: int = 3):
+        if keep < 1:
+            raise ValueError("one version has to stay")
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+        self.buckets = buckets or bucket_count(spark)
 
     def versions(self) -> list[str]:
-        fs, p = self._fs()
-        if not fs.exists(p):
-            return []
-        names = [st.getPath().getName() for st in fs.listStatus(p)]
-        done = [n for n in names if n.startswith("v=") and path_exists(self.spark, f"{self.root}/{n}/_SUCCESS")]
-        return sorted(done)
+        return sorted(n for n in list_dirs(self.spark, self.root) if n.startswith("v="))
 
     def read(self) -> DataFrame:
-        vs = self.versions()
-        if not vs:
+        current = read_pointer(self.spark, self.root)
+        if current is None:
             return self.spark.createDataFrame([], VEHICLES)
-        return self.spark.read.schema(VEHICLES).parquet(f"{self.root}/{vs[-1]}")
+        return attach_bucketed(self.spark, f"{self.root}/{current}", int(current.rsplit("-b", 1)[1]))
 
     def write(self, table: DataFrame, stamp: str | None = None) -> str:
         stamp = stamp or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-        path = f"{self.root}/v={stamp}"
-        conform(table).sortWithinPartitions("dealer", "price").write.mode("overwrite").parquet(path)
-        return path
+        name = f"v={stamp}-b{self.buckets}"
+        write_bucketed(self.spark, conform(table), f"{self.root}/{name}", self.buckets)
+        write_pointer(self.spark, self.root, name)
+        for old in [v for v in self.versions() if v != name][: -(self.keep - 1) or None]:
+            detach_bucketed(self.spark, f"{self.root}/{old}")
+            delete_dir(self.spark, f"{self.root}/{old}")
+        return f"{self.root}/{name}"
 
 
 ARRIVAL = ["captured_at", "dealer", "page_no", "pos"]
@@ -73,8 +72,8 @@ def ingest(spark: SparkSession, captures: DataFrame, store: VehicleStore, as_of,
     Within one ingest the arrival order is (captured_at, dealer, page, position),
     so the last sighting of a VIN wins deterministically.  ``platforms``
     restricts to those configured platforms (default: all specs).  Returns
-    (new table, rejects): record rejects carry their reason, merge rejects
-    the violated columns."""
+    (new table, rejects): each reject has its vin (if any), the reason or the
+    violated columns, and where it was seen (captured_at, dealer, page_no, pos)."""
     specs = [PLATFORMS[p] for p in (platforms or list(PLATFORMS))]
     keep = ("dealer", "page_no", "source_url", "captured_at")
     parts = []
@@ -85,17 +84,21 @@ def ingest(spark: SparkSession, captures: DataFrame, store: VehicleStore, as_of,
     allrec = parts[0]
     for p in parts[1:]:
         allrec = allrec.unionByName(p)
-    # Reliable checkpoint (shared checkpoint folder): the records feed both the
-    # merge and the rejects without being normalised twice, and a lost
-    # executor recomputes from the checkpoint rather than from the pages.
+    # Reliable checkpoints (shared checkpoint folder): the records feed both the
+    # merge and the rejects, and the joined rows both results, without being
+    # worked out twice, and a lost executor starts from them again.
     work_dir(spark)
     allrec = allrec.checkpoint(eager=True)
-    good = allrec.where(F.col("reject_reason").isNull()).select(*ITEM_COLUMNS, *ARRIVAL)
-    table, merge_rejects = merge(store.read(), good, as_of, seq=ARRIVAL, identity=identity)
-    rejects = (allrec.where(F.col("reject_reason").isNotNull()).select("vin", F.col("reject_reason").alias("reason"))
-               .unionByName(merge_rejects.select("vin", F.array_join("violations", ",").alias("reason"))))
+    good = allrec.where(F.col("reject_reason").isNull()).select(*ITEM_COLUMNS, *[c for c in ARRIVAL if c not in ITEM_COLUMNS])
+    table, merge_rejects = merge(store.read(), good, as_of, seq=ARRIVAL, identity=identity,
+                                 cut=lambda df: df.checkpoint(eager=True))
+    rejects = (allrec.where(F.col("reject_reason").isNotNull())
+               .select("vin", F.col("reject_reason").alias("reason"), *ARRIVAL)
+               .unionByName(merge_rejects.select("vin", F.array_join("violations", ",").alias("reason"),
+                                                 *[F.col(f"_seq.{c}") for c in ARRIVAL])))
     if write:
         store.write(table)
+        table = store.read()
     return table, rejects
 
 

@@ -92,7 +92,7 @@ def identity_columns(items: DataFrame, identity: str = "title") -> dict[str, Col
 
 
 def merge(target: DataFrame, items: DataFrame, as_of, seq: list[str] | None = None,
-          identity: str = "title", keep_seq: bool = False) -> tuple[DataFrame, DataFrame]:
+          identity: str = "title", keep_seq: bool = False, cut=None) -> tuple[DataFrame, DataFrame]:
     """Upsert ``items`` into ``target``; returns (new table, rejects).
 
     ``seq``: item columns giving the arrival order (last wins).  When absent
@@ -100,7 +100,10 @@ def merge(target: DataFrame, items: DataFrame, as_of, seq: list[str] | None = No
     (a literal, so reruns give the same table).  ``keep_seq``: carry the
     winning sequence in a ``_seq`` column so later merges are order-aware
     (an item older than the stored one does not replace it); a target that
-    has ``_seq`` is always merged order-aware."""
+    has ``_seq`` is always merged order-aware.  ``cut``: applied to the joined
+    rows that both results are taken from, e.g. a checkpoint, so a caller that
+    uses both runs the join once.  Rejects carry vin, violations and, with
+    ``seq``, the item's ``_seq``."""
     as_of = F.lit(as_of).cast("timestamp_ntz") if not isinstance(as_of, Column) else as_of
     seq = seq or []
     supplied = [c for c in ITEM_FIELDS if c in items.columns]
@@ -151,14 +154,19 @@ def merge(target: DataFrame, items: DataFrame, as_of, seq: list[str] | None = No
     if keep_seq and seq:
         old_seq = F.col("t._seq") if "_seq" in target.columns else F.lit(None)
         extra.append(F.when(take, F.col("s._seq")).otherwise(old_seq).alias("_seq"))
+    if seq:
+        extra.append(F.col("s._seq").alias("_item_seq"))
     merged = j.select(*cols, *extra, take.alias("_touched"), F.col("t.vin").isNotNull().alias("_existed"))
     # An insert of an item that lacks a required column breaks NOT NULL too.
     merged = merged.withColumn("violations", constraint_violations(merged))
+    if cut is not None:
+        merged = cut(merged)
     bad_insert = F.col("_touched") & ~F.col("_existed") & (F.size("violations") > 0)
     late_rejects = merged.where(bad_insert)
     table = merged.where(~bad_insert).drop("_touched", "_existed", "violations")
-    rej_cols = ["vin", "violations"]
-    all_rejects = rejects.select(*rej_cols).unionByName(late_rejects.select(*rej_cols))
+    late = [F.col("_item_seq").alias("_seq")] if seq else []
+    all_rejects = rejects.select("vin", "violations", *(["_seq"] if seq else [])).unionByName(
+        late_rejects.select("vin", "violations", *late))
     if keep_seq and seq:
         return _conform_with_seq(table), all_rejects
     return conform(table), all_rejects

@@ -27,7 +27,7 @@ def test_ingest_then_query(spark, tmp_path):
     ])
     table, rejects = api.ingest(spark, first, store, "2026-01-01 00:00:00")
     assert store.read().count() == 3
-    assert [r.reason for r in rejects.collect()] == ["no_vin"]
+    assert [(r.reason, r.dealer, r.page_no, r.pos, r.captured_at) for r in rejects.collect()] == [("no_vin", "Dealer A", 0, 2, t1)]
     second = _caps(spark, [
         ("Dealer A", "dealercom", "https://a.example.com/inv", t2,
          {"inventory": [{"vin": "V1", "title": "2024 BMW X5 xDrive40i", "price": 61000}]}),
@@ -88,3 +88,15 @@ def test_documented_sql_over_registered_views(spark):
     assert spark.sql("SELECT * FROM vehicles WHERE model LIKE '%X3%'").count() == 2
     recent = spark.sql("SELECT * FROM scrape_runs ORDER BY started_at DESC LIMIT 10").collect()
     assert len(recent) == 10 and recent[0].id == 11
+
+
+def test_old_versions_go_and_readers_follow_the_pointer(spark, tmp_path):
+    import datetime as dt
+    from lotline.sources.schemas import VEHICLES
+    now = dt.datetime(2026, 1, 1)
+    store = api.VehicleStore(spark, str(tmp_path / "v"), buckets=2, keep=2)
+    for i in range(4):
+        store.write(spark.createDataFrame([(i, "D", "t", 2024, "BMW", "X5", None, "V1", None, float(i), 0, None, None, None,
+                                            "Dealer.com", "u", now, now, now)], VEHICLES), stamp=f"2026010{i}")
+        assert [r.price for r in store.read().collect()] == [float(i)]
+    assert store.versions() == ["v=20260102-b2", "v=20260103-b2"]

@@ -1,0 +1,62 @@
+"""Written tables: keyed by their data, complete before they are seen, on shared folders only."""
+
+import shutil
+import types
+
+import pytest
+
+from lotline import session
+from lotline.operators.upsert import bulk_insert, create_tables
+from lotline.plans import inputs
+from lotline.sources import store
+from lotline.sources.schemas import VEHICLES
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_replaced_input_gives_the_new_answer(spark, tmp_path):
+    for t in inputs.SOURCES:
+        shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    before = inputs.vehicles(spark, str(tmp_path)).count()
+    half = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_partkey <= 50")
+    half.coalesce(1).write.parquet(str(tmp_path / "half"))
+    (tmp_path / "lineitem.parquet").unlink()
+    shutil.copy(next((tmp_path / "half").glob("part-*.parquet")), tmp_path / "lineitem.parquet")
+    after = inputs.vehicles(spark, str(tmp_path)).count()
+    assert after == half.select("l_partkey").distinct().count() < before
+
+
+def test_cluster_without_a_shared_folder_is_refused():
+    ctx = types.SimpleNamespace(applicationId="none", master="yarn", getCheckpointDir=lambda: None)
+    fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: d), sparkContext=ctx)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.work_dir(fake)
+
+
+def test_unfinished_version_is_not_read(spark, tmp_path):
+    calls = []
+
+    def build(n):
+        def f():
+            calls.append(n)
+            return spark.range(n)
+        return f
+    assert store.materialize(spark, "t-" + tmp_path.name, build(3), "k").count() == 3
+    assert store.materialize(spark, "t-" + tmp_path.name, build(5), "k").count() == 3 and calls == [3]
+    folder = str(tmp_path / "x")
+    assert store.read_pointer(spark, folder) is None
+    store.write_pointer(spark, folder, "a")
+    store.write_pointer(spark, folder, "b")
+    assert store.read_pointer(spark, folder) == "b"
+
+
+def test_insert_rules(spark, tmp_path):
+    def row(vin, title="t"):
+        return (None, "D", title, 2024, "BMW", "X5", None, vin, None, 1.0, 1, None, None, None, "Dealer.com", "u", None, None, None)
+    path = create_tables(spark, str(tmp_path))["vehicles"]
+    df = lambda *rows: spark.createDataFrame(list(rows), VEHICLES)
+    assert bulk_insert(df(row("A"), row("B")), path).count() == 0
+    bad = bulk_insert(df(row("B"), row("C"), row("C"), row("D", None), row(None)), path)
+    assert sorted((r.vin, r.reason) for r in bad.where("vin is not null").collect()) == [
+        ("B", "stored vin"), ("C", "repeated vin"), ("D", "null: title")]
+    assert spark.read.parquet(path).count() == 2

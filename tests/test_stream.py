@@ -25,8 +25,8 @@ def test_stream_equals_batch(spark):
     streamed = run_stream_upsert(spark, src, items.schema, initial, AS_OF, ["seq"], files_per_batch=1,
                                  run_dir=tempfile.mkdtemp(prefix="lotline-stream-run-"))
     key = lambda df: sorted((r.vin, r.price, r.title) for r in df.collect())
-    assert key(streamed) == key(batch)
-    assert {r.vin: r.price for r in streamed.collect()}["V0"] == 56.0
+    assert key(streamed.read()) == key(batch)
+    assert {r.vin: r.price for r in streamed.read().collect()}["V0"] == 56.0
 
 
 def test_stream_restart_keeps_committed_state(spark):
@@ -39,6 +39,30 @@ def test_stream_restart_keeps_committed_state(spark):
     initial = empty.withColumn("_seq", F.lit(None).cast("struct<seq:int>"))
     run_dir = tempfile.mkdtemp(prefix="lotline-stream-run-")
     first = run_stream_upsert(spark, src, items.schema, initial, AS_OF, ["seq"], files_per_batch=2, run_dir=run_dir)
-    want = sorted((r.vin, r.price) for r in first.collect())
+    want = sorted((r.vin, r.price) for r in first.read().collect())
     again = run_stream_upsert(spark, src, items.schema, initial, AS_OF, ["seq"], files_per_batch=2, run_dir=run_dir)
-    assert sorted((r.vin, r.price) for r in again.collect()) == want == [("V0", 18.0), ("V1", 19.0), ("V2", 17.0)]
+    assert sorted((r.vin, r.price) for r in again.read().collect()) == want == [("V0", 18.0), ("V1", 19.0), ("V2", 17.0)]
+
+
+def test_deltas_grow_with_the_batch_and_rejects_stay(spark):
+    """A batch writes its own VINs only, next to what it turned down; folding deltas into a base changes nothing."""
+    rows = [(f"V{i}", "D", "Dealer.com", "https://u", f"2024 BMW X5 T{i}", float(i), i, i) for i in range(40)]
+    schema = "vin string, dealer string, dealer_platform string, source_url string, title string, price double, odometer int, seq int"
+    stored, _ = merge(spark.createDataFrame([], VEHICLES), spark.createDataFrame(rows, schema), AS_OF, seq=["seq"], keep_seq=True)
+    src = tempfile.mkdtemp(prefix="lotline-stream-src-")
+    new = [("V1", "D", "Dealer.com", "https://u", "2025 BMW X3 N", 1.5, 1, 100), ("V2", "D", "Dealer.com", "https://u", None, 2.5, 1, 101),
+           ("W", "D", "Dealer.com", "https://u", "2025 BMW X3 N", 3.5, 1, 102)]
+    for r in new:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(src)
+    results = []
+    for every in (16, 2):
+        t = run_stream_upsert(spark, src, spark.createDataFrame([], schema).schema, stored, AS_OF, ["seq"], files_per_batch=1,
+                              run_dir=tempfile.mkdtemp(prefix="lotline-stream-run-"), compact_every=every)
+        results.append(sorted((r.vin, r.price, r.model) for r in t.read().collect()))
+        assert [(r.vin, r.violations) for r in t.rejects().collect()] == [("V2", ["title"])]
+        if every == 16:
+            # one item a batch: one row a delta
+            assert [spark.read.parquet(f"{t.run_dir}/delta/batch={b}").count() for b in t.deltas()] == [1, 1, 1]
+        else:
+            assert t.base() > -1
+    assert results[0] == results[1] and len(results[0]) == 41
