@@ -13,7 +13,7 @@ from ..functions.titles import parse_title
 from ..operators.upsert import bulk_insert, create_tables, insert_violations, latest_vehicles, merge
 from ..session import work_dir
 from ..sources.store import bucketed_table, materialize_dir
-from ..sources.schemas import ITEM_COLUMNS, VEHICLES
+from ..sources.schemas import ITEM_COLUMNS, RUNS, VEHICLES
 from ..streaming.upsert_stream import run_stream_upsert
 
 CUTOFF = "1998-01-01"
@@ -175,6 +175,14 @@ def q_bulk_insert(spark, sf):
     return spark.read.schema(VEHICLES).parquet(paths["vehicles"])
 
 
+@register("runs_insert", "SELECT * FROM runs", ("runs",))
+def q_runs_insert(spark, sf):
+    """The run log written into its freshly created table and read back."""
+    paths = create_tables(spark, f"{work_dir(spark)}/inserts/{uuid.uuid4().hex}")
+    derived.runs(spark, sf).select(*[f.name for f in RUNS.fields]).write.mode("append").parquet(paths["scrape_runs"])
+    return spark.read.schema(RUNS).parquet(paths["scrape_runs"])
+
+
 @register("bulk_insert_violations",
           "SELECT vin, 'repeated vin' AS reason FROM obs GROUP BY vin HAVING count(*) > 1 UNION ALL "
           "SELECT DISTINCT vin, 'stored vin' FROM obs WHERE vin IN (SELECT vin FROM up_target)", ("obs", "up_target"))
