@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import apply_conf, work_dir
+from ..sources.store import delete_dir
 from ..sources.tables import table
 
 # Rows and bytes of one Arrow batch: long texts must not meet in one batch.
@@ -28,7 +29,17 @@ def settle(spark: SparkSession) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder (spark.checkpoint.dir)."""
-    return f"{work_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/llm/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application's operators have written to the shared
+    folder.  Results read those files, so call it when they have been stored."""
+    delete_dir(spark, _own(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

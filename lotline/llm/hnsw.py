@@ -31,7 +31,7 @@ LINKS = 16                 # neighbours on upper levels; twice as many on the lo
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 160
 MIN_SHARDS = 12
-SHARD_ROWS = 500_000
+SHARD_BYTES = 64 << 20      # of vectors, in double precision, in one shard
 QUERY_BLOCK = 4096
 LOCKSTEP = 256
 VISITED_BYTES = 64 << 20
@@ -227,7 +227,7 @@ def _load(path: str, rows: int, dim: int) -> tuple:
 
 
 def nearest(vectors: DataFrame, queries, k: int = 20, width: int = SEARCH_WIDTH, min_shards: int = MIN_SHARDS,
-            shard_rows: int = SHARD_ROWS) -> DataFrame:
+            shard_rows: int | None = None) -> DataFrame:
     """The ``k`` nearest found for each vector that ``queries`` (a condition on
     vec_id) selects: query_id, rank (from 1), vec_id, score, nearest first, ties
     to the smaller vec_id.  Candidates are all other usable vectors of the same
@@ -237,8 +237,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, width: int = SEARCH_WIDTH,
     spark = vectors.sparkSession
     good = written(usable(vectors).dropDuplicates(["vec_id"]), "vectors")
     lengths = [r[0] for r in good.select(F.size("embedding")).distinct().collect()]
-    parts = [_nearest(spark, good.where(F.size("embedding") == n), queries, k, width, min_shards, shard_rows)
-             for n in sorted(lengths)]
+    parts = [_nearest(spark, good.where(F.size("embedding") == n), queries, k, width, min_shards,
+                      shard_rows or max(1, SHARD_BYTES // (8 * n))) for n in sorted(lengths)]
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     out = parts[0]

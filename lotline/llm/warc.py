@@ -31,6 +31,7 @@ from .common import scratch, texts_of, written
 MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
+TASK_BYTES = 128 << 20
 CHUNK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2026-01-01T00:00:00Z"
@@ -184,7 +185,8 @@ def read(files: DataFrame, range_bytes: int = RANGE_BYTES, payload: bool = False
     ranges = files.where("bytes > 0").select("path", F.col("bytes").alias("size"), F.explode(
         F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(range_bytes))).alias("start"))
     ranges = ranges.withColumn("end", F.least("size", F.col("start") + range_bytes))
-    tasks = max(1, ranges.count())
+    count, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+    tasks = max(1, min(count, max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)))
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"

@@ -24,3 +24,12 @@ def test_matches_sql(spark, key):
     names = [d[0] for d in rel.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted(map(tuple, rel.fetchall()), key=repr)
+
+
+def test_scratch_folder_can_be_dropped(spark):
+    from lotline.llm import common
+    from lotline.sources.store import list_dirs
+    assert common.written(spark.range(3), "t").count() == 3
+    assert list_dirs(spark, common._own(spark))
+    common.drop_scratch(spark)
+    assert list_dirs(spark, common._own(spark)) == []
