@@ -43,7 +43,7 @@ def escape_html(s: Column) -> Column:
     out = F.replace(s, F.lit("&"), F.lit("&amp;"))
     out = F.replace(out, F.lit("<"), F.lit("&lt;"))
     out = F.replace(out, F.lit(">"), F.lit("&gt;"))
-    return F.replace(out, F.lit(" "), F.lit("&nbsp;"))
+    return F.replace(out, F.lit("\u00a0"), F.lit("&nbsp;"))
 
 
 def or_placeholder(s: Column, placeholder: str) -> Column:

@@ -124,17 +124,24 @@ def _only(s: Column, allowed: str) -> Column:
     return F.translate(s, allowed, "") == ""
 
 
+def _joined_digits(s: Column) -> Column:
+    """Number text with the single underscores between its digits taken out ('1_000')."""
+    return F.when(s.contains("_"), F.regexp_replace(s, r"(?<=[0-9])_(?=[0-9])", "")).otherwise(s)
+
+
 def text_to_double(s: Column) -> Column:
     """Strict float parse of text: the whole string must be a number.
 
     The character check rules out what the JVM parser would also accept
     (type suffixes such as '12d', hex floats, 'NaN' / 'Infinity'); the cast
     then rejects malformed arrangements ('1.2.3', '1e', '+-1')."""
+    s = _joined_digits(s)
     return F.when(_only(s, "0123456789.eE+- \t\n\r"), try_cast(s, "double"))
 
 
 def text_to_long(s: Column) -> Column:
     """Strict integer parse of text (no fraction, no exponent)."""
+    s = _joined_digits(s)
     return F.when(_only(s, "0123456789+- \t\n\r"), try_cast(s, "bigint"))
 
 

@@ -161,7 +161,7 @@ def q_models_union(spark, sf):
           "SELECT s.total_vehicles, s.total_dealers, r.started_at AS last_run_started_at, "
           "r.status AS last_run_status, r.vehicles_scraped AS last_run_vehicles_scraped FROM "
           "(SELECT count(id) AS total_vehicles, count(DISTINCT dealer) AS total_dealers FROM vehicles) s "
-          "LEFT JOIN (SELECT * FROM runs ORDER BY started_at DESC LIMIT 1) r ON true", ("vehicles", "runs"))
+          "LEFT JOIN (SELECT * FROM runs ORDER BY started_at DESC, id DESC LIMIT 1) r ON true", ("vehicles", "runs"))
 def q_stats_full(spark, sf):
     return S.stats_with_last_run(_v(spark, sf), derived.runs(spark, sf))
 
@@ -238,16 +238,12 @@ def q_dealer_by_name(spark, sf):
 
 
 # ---------------------------------------------------------------- runs
-RUN_SQL_COLS = ("id, platform, status, vehicles_scraped, dealers_scraped, error_message, started_at, "
-                "completed_at, pid")
-
-
-@register("runs_last", "SELECT * FROM runs ORDER BY started_at DESC LIMIT 1", ("runs",))
+@register("runs_last", "SELECT * FROM runs ORDER BY started_at DESC, id DESC LIMIT 1", ("runs",))
 def q_runs_last(spark, sf):
     return run_ops.latest(derived.runs(spark, sf))
 
 
-@register("runs_recent", "SELECT * FROM runs ORDER BY started_at DESC LIMIT 10", ("runs",))
+@register("runs_recent", "SELECT * FROM runs ORDER BY started_at DESC, id DESC LIMIT 10", ("runs",))
 def q_runs_recent(spark, sf):
     return run_ops.recent(derived.runs(spark, sf), 10)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import derived, inputs
 from .catalog import AS_OF, register
 from .oracle_views import register as register_view
-from ..functions.titles import parse_title
+from ..functions.titles import DEFAULT_MAKE, DEFAULT_MODEL, MAKE_RE, MODEL_RE, YEAR_RE, parse_title
 from ..operators.upsert import bulk_insert, create_tables, insert_violations, latest_vehicles, merge
 from ..session import work_dir
 from ..sources.store import bucketed_table, materialize_dir
@@ -36,10 +36,10 @@ def _target(spark, sf):
 
 # ---- oracle: title parse and the merge, written directly in SQL
 def title_sql(t: str) -> dict[str, str]:
-    ym = f"regexp_extract(coalesce({t}, ''), '^\\s*(\\d{{4}})', 1)"
-    yall = f"regexp_extract(coalesce({t}, ''), '^\\s*\\d{{4}}', 0)"
-    mk = f"regexp_extract(coalesce({t}, ''), '(?i)\\d{{4}}\\s+(BMW|Mercedes-Benz|Audi|Lexus|[A-Z][a-z]+)', 1)"
-    md = f"regexp_extract(coalesce({t}, ''), '(X\\d|[A-Z]\\d+|[A-Z][a-z]+\\s+[A-Z]\\d+)', 1)"
+    ym = f"regexp_extract(coalesce({t}, ''), '{YEAR_RE}', 1)"
+    yall = f"regexp_extract(coalesce({t}, ''), '{YEAR_RE}', 0)"
+    mk = f"regexp_extract(coalesce({t}, ''), '{MAKE_RE}', 1)"
+    md = f"regexp_extract(coalesce({t}, ''), '{MODEL_RE}', 1)"
     s1 = f"(CASE WHEN {ym} <> '' THEN substr(coalesce({t}, ''), length({yall}) + 1) ELSE coalesce({t}, '') END)"
     s2 = f"(CASE WHEN {mk} <> '' THEN regexp_replace({s1}, '(?i)BMW\\s*', '') ELSE {s1} END)"
     pos = f"instr({s2}, {md})"
@@ -48,8 +48,8 @@ def title_sql(t: str) -> dict[str, str]:
     tr = f"regexp_replace({s3}, '^\\s+|\\s+$', '', 'g')"
     return {
         "year": f"CASE WHEN {ym} <> '' THEN CAST({ym} AS INTEGER) END",
-        "make": f"CASE WHEN {mk} <> '' THEN {mk} ELSE 'BMW' END",
-        "model": f"CASE WHEN {md} <> '' THEN {md} ELSE 'X3' END",
+        "make": f"CASE WHEN {mk} <> '' THEN {mk} ELSE '{DEFAULT_MAKE}' END",
+        "model": f"CASE WHEN {md} <> '' THEN {md} ELSE '{DEFAULT_MODEL}' END",
         "trim": f"nullif({tr}, '')",
     }
 
