@@ -1,15 +1,17 @@
 """Benchmark items hidden in documents: containment search with MinHash sketches.
 
 An item is in a document if the document holds ``PERCENT`` of the item's word
-shingles.  Items are partitioned by the size of their sets.  A document that
-holds enough of a set of n lacks at most ``n - need`` of its shingles, so of the
-``n - need + 1`` shingles with the smallest hashes (the item's bottom sketch,
-its length set by the size partition) it holds one at least, however long the
-document is.  Documents are scanned once for sketch hashes; a document that has
-one is a candidate for that item, and candidates are verified by their exact
-shingle sets.  No pair is missed.
-
-While the items are few (``SKETCHES`` hashes, counted first) sketches and item
+shingles.  Similarity of the two sets says little, as a document may be
+thousands of times as long, so the search goes by the items' sketches alone.
+Items are partitioned by the size of their sets, doubling from one partition to
+the next.  Of a set of n a document that holds enough lacks at most ``n - need``
+shingles; the largest of a partition gives the length of its sketches, one more
+than that many smallest hashes, and of those the document holds one at least.
+Documents are scanned once for sketch hashes; a document that has one is a
+candidate for that item, and candidates are verified by their exact shingle
+sets.  No pair is missed.
+
+While the items are few (``SKETCHES`` shingles, ``ITEM_CHARS``, both counted first) sketches and item
 sets go along with the scan; beyond that, documents' shingles are joined with
 the sketches by shuffles, and candidates are verified the same way.
 """
@@ -26,7 +28,8 @@ from .common import map_batches, texts_of, written
 
 WORDS = 5
 PERCENT = 80
-SKETCHES = 2_000_000
+SKETCHES = 2_000_000      # shingles, and
+ITEM_CHARS = 32 << 20     # characters, of items that a scan carries
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -43,21 +46,38 @@ def need(size: int, percent: int = PERCENT) -> int:
     return -(-percent * size // 100)
 
 
+def partition(size: int) -> int:
+    """Size partition of a set: 0 for 1, 1 for 2-3, 2 for 4-7, ..."""
+    return size.bit_length() - 1
+
+
+def sketch_length(part: int) -> int:
+    """Smallest hashes kept of the sets of a partition: one more than a document
+    may lack of its largest sets (larger sets may lack more)."""
+    largest = (2 << part) - 1
+    return largest - need(largest) + 1
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The smallest hashes of a sorted set, as many as its partition asks for."""
+    return s[: sketch_length(partition(len(s)))]
+
+
 def item_sets(items: DataFrame, words: int = WORDS) -> DataFrame:
     """(item_id, width, shingles, sketch) of items (item_id, text) that have
     words; width is the number of words of a shingle (fewer in shorter items)."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, width, sets, sketch = [], [], [], []
+        ids, width, sets, low = [], [], [], []
         for i, w in zip(b.column(0).to_pylist(), T.documents_words(texts_of(b.column(1)))):
             if len(w):
                 s = T.shingle_set(w, words)
                 ids.append(i)
                 width.append(min(words, len(w)))
                 sets.append(s.view(np.int64))
-                sketch.append(s[: len(s) - need(len(s)) + 1].view(np.int64))
+                low.append(sketch(s).view(np.int64))
         lists = pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(width, pa.int32()), pa.array(sets, lists),
-                                           pa.array(sketch, lists)], ["item_id", "width", "shingles", "sketch"])
+                                           pa.array(low, lists)], ["item_id", "width", "shingles", "sketch"])
     return map_batches(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), run,
                        "item_id long, width int, shingles array<long>, sketch array<long>")
 
@@ -160,12 +180,12 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, sketches
     size = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
     if not size:
         return docs.sparkSession.createDataFrame([], _PAIR)
-    if size > sketches:
+    if size > sketches or items.agg(F.sum(F.length("text"))).first()[0] > ITEM_CHARS:
         return _joined(docs, items, sets, words)
     kept = [(r["item_id"], r["text"]) for r in items.collect()]
     rows = []
     for (i, text), w in zip(kept, T.documents_words([t.encode() for _, t in kept])):
         if len(w):
             s = T.shingle_set(w, words)
-            rows.append((i, text, min(words, len(w)), s.view(np.int64), s[: len(s) - need(len(s)) + 1].view(np.int64)))
+            rows.append((i, text, min(words, len(w)), s.view(np.int64), sketch(s).view(np.int64)))
     return _scan(docs, rows, words)

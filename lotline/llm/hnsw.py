@@ -194,6 +194,7 @@ def index(vectors: DataFrame, folder: str, shards: int) -> DataFrame:
     writes it below ``folder``; returns (shard, path, rows, dim)."""
     def run(t: pa.Table) -> pa.Table:
         shard = t["shard"][0].as_py()
+        t = t.sort_by("vec_id")                # the same graph whatever the order of arrival
         x = _matrix(t["embedding"])
         ids = t["vec_id"].to_numpy()
         square = np.einsum("ij,ij->i", x, x)

@@ -57,13 +57,15 @@ def _bags(df: DataFrame) -> list[np.ndarray]:
     """Distinct word hashes of each text (a bounded sample), near copies once."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bags, marks = [], []
-        for w in _words(texts_of(b.column(0))):
+        for w in _words(texts_of(b.column(1))):
             s = T.shingle_set(w)
             marks.append(int(s[0].view(np.int64)) if len(s) else 0)
             bags.append(np.unique(w)[:SAMPLE_WORDS].view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.int64())), pa.array(marks, pa.int64())], ["bag", "mark"])
-    rows = map_batches(df.select("text"), run, "bag array<long>, mark long")
-    kept = rows.dropDuplicates(["mark"]).select("bag").toArrow()["bag"]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.list_(pa.int64())), pa.array(marks, pa.int64())],
+                                          ["doc_id", "bag", "mark"])
+    rows = map_batches(df.select("doc_id", "text"), run, "doc_id long, bag array<long>, mark long")
+    # of near copies the smallest id, so a fit is the same every time
+    kept = rows.groupBy("mark").agg(F.min_by("bag", "doc_id").alias("bag")).toArrow().sort_by("mark")["bag"]
     return [np.asarray(x, dtype=np.int64).view(np.uint64) for x in kept.to_pylist()]
 
 

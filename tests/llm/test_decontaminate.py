@@ -58,4 +58,5 @@ def test_empty_tables(spark):
 def test_sketch_is_as_long_as_the_threshold_asks():
     for n in range(1, 200):
         # a document that holds enough shingles lacks fewer than the sketch has
-        assert n - D.need(n) < n - D.need(n) + 1 and 100 * D.need(n) >= 80 * n > 100 * (D.need(n) - 1)
+        assert D.sketch_length(D.partition(n)) > n - D.need(n) and 100 * D.need(n) >= 80 * n > 100 * (D.need(n) - 1)
+        assert 1 << D.partition(n) <= n < 2 << D.partition(n)
