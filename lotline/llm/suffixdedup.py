@@ -200,7 +200,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_out: bool = False
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     runs = _runs(docs, length)
-    shared = runs.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
+    # written first, so that the join reads plain shuffles, which can be split
+    shared = written(runs.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "shared")
     runs = written(runs.join(shared, "a", "left_semi"), "runs")
     kinds = runs.groupBy("a", "h1", "h2").agg(F.count("*").alias("k"), F.min(F.struct("rid", "start", "n")).alias("one"))
     kinds = written(kinds, "kinds")
