@@ -4,8 +4,8 @@ A line is what stands between line feeds, without white space around it; blank
 lines are looked through and stay.  Of every ``run`` lines in a row the one with
 the smallest hash (the last one on ties) is a fingerprint, so equal runs have
 equal fingerprints at equal places.  Fingerprints that occur at one place only
-are done with.  Around the others the match is extended both ways: every run
-that the fingerprint stands for is compared, line by line, and runs that occur
+are done with.  Around the others the match is extended both ways: the runs
+that the fingerprint stands for are compared, line by line, and runs that occur
 at an earlier place (smaller doc_id, then line) lose their lines.  Longer
 repeats are unions of such runs.
 
@@ -36,12 +36,10 @@ def _starts(run: int) -> Column:
     return F.when(F.size("h") >= run, F.sequence(F.lit(0), F.size("h") - run)).otherwise(F.array().cast("array<int>"))
 
 
-def _fingerprint(run: int):
+def _fingerprint(run: int, i: Column) -> Column:
     """Place of the smallest hash of the run that starts at ``i``, the last on ties."""
-    def place(i: Column) -> Column:
-        low = F.least(*[F.get("h", i + k) for k in range(run)])
-        return F.coalesce(*[F.when(F.get("h", i + k) == low, i + k) for k in reversed(range(run))])
-    return place
+    low = F.least(*[F.get("h", i + k) for k in range(run)])
+    return F.coalesce(*[F.when(F.get("h", i + k) == low, i + k) for k in reversed(range(run))])
 
 
 def remove_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -58,18 +56,19 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumn("rid", rid)
     lines = written(_lines(rows).where(F.size("h") >= run).dropDuplicates(["rid"]), "lines")
 
-    prints = lines.select("rid", F.explode(F.array_distinct(F.transform(_starts(run), _fingerprint(run)))).alias("p"), "h")
-    prints = prints.select("rid", "p", F.get("h", F.col("p")).alias("key"))
+    # Arrays are cut into structs before they are exploded: a long document's
+    # arrays would else be copied for each of its lines.
+    places = F.array_distinct(F.transform(_starts(run), lambda i: _fingerprint(run, i)))
+    prints = lines.select(F.explode(F.transform(places, lambda p: F.get("h", p))).alias("key"))
     # written first, so that the joins below read plain shuffles, which can be split
     shared = written(prints.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "shared")
-    found = prints.join(shared, "key", "left_semi").groupBy("rid").agg(F.collect_set("p").alias("p"))
 
-    near = lines.join(found, "rid").withColumn("i", F.explode(F.filter(
-        _starts(run), lambda i: F.array_contains("p", _fingerprint(run)(i)))))
     keys = [f"h{k}" for k in range(run)]
-    runs = near.select("doc_id", "rid", "i", *[F.get("h", F.col("i") + k).alias(f"h{k}") for k in range(run)],
-                       F.slice("at", F.col("i") + 1, F.lit(run)).alias("gone"))
-    runs = written(runs, "runs")
+    one = lambda i: F.struct(i.alias("i"), F.get("h", _fingerprint(run, i)).alias("key"),
+                             *[F.get("h", i + k).alias(f"h{k}") for k in range(run)],
+                             F.slice("at", i + 1, F.lit(run)).alias("gone"))
+    runs = lines.select("doc_id", "rid", F.inline(F.transform(_starts(run), one)))
+    runs = written(runs.join(shared, "key", "left_semi").drop("key"), "runs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "i")
     first = runs.groupBy(*keys).agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
     first = written(first.select(*keys, "first.rid", "first.i").toDF(*keys, "first_rid", "first_i"), "first")
@@ -79,10 +78,10 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     out = keyed.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(
         gone.select(F.col("rid").alias("__rid"), F.col("gone").alias("__gone")), "__rid", "left")
     split = F.split("text", "\n", -1)
-    # a map of the places makes the test of each line quick
-    drop = F.map_from_arrays("__gone", "__gone")
-    kept = F.filter(split, lambda x, i: ~F.map_contains_key(drop, i))
-    out = out.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("long"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    out = out.withColumn("__lines", split)
+    kept = F.transform(places, lambda i: F.get("__lines", i))
+    out = out.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size("__lines")), F.lit(0)).cast("long"))
     out = out.withColumn("n_removed", F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long"))
     out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     return out.select(*keyed.columns, "n_lines", "n_removed")
