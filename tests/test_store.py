@@ -2,6 +2,7 @@
 
 import shutil
 import types
+import uuid
 
 import pytest
 
@@ -41,8 +42,9 @@ def test_unfinished_version_is_not_read(spark, tmp_path):
             calls.append(n)
             return spark.range(n)
         return f
-    assert store.materialize(spark, "t-" + tmp_path.name, build(3), "k").count() == 3
-    assert store.materialize(spark, "t-" + tmp_path.name, build(5), "k").count() == 3 and calls == [3]
+    name = f"test-{uuid.uuid4().hex}"  # the work folder may outlive a test run
+    assert store.materialize(spark, name, build(3), "k").count() == 3
+    assert store.materialize(spark, name, build(5), "k").count() == 3 and calls == [3]
     folder = str(tmp_path / "x")
     assert store.read_pointer(spark, folder) is None
     store.write_pointer(spark, folder, "a")
