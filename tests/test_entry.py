@@ -1,7 +1,6 @@
 """Driver contract: entry smoke, registry coverage, and oracle agreement on
 a sample of queries at the smallest scale."""
 
-import math
 import os
 
 import duckdb

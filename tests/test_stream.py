@@ -1,6 +1,5 @@
 """Streaming upsert equals the batch upsert of the same items."""
 
-import datetime as dt
 import tempfile
 
 from pyspark.sql import functions as F
