@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,15 +23,35 @@ ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 BROADCAST_ROWS = 100_000
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python (once an application), so that
+    tasks find it wherever they run; Spark serves the file from the driver."""
+    ctx = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    if ctx.applicationId in _shipped or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="lotline-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    ctx.addPyFile(str(path))
+    _shipped.add(ctx.applicationId)
+
+
 def settle(spark: SparkSession) -> None:
     """Settings every query of this subpackage relies on."""
     apply_conf(spark)
+    ship(spark)
     for k, v in ARROW.items():
         spark.conf.set(k, v)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder (spark.checkpoint.dir)."""
+    ship(spark)
     return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -57,6 +80,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """``mapInArrow`` of a function from batch to batch."""
+    ship(df.sparkSession)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out = fn(b)

@@ -1,6 +1,9 @@
 """Every numbered query is registered once; those that SQL can express agree with it."""
 
+import os
 import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -33,3 +36,15 @@ def test_scratch_folder_can_be_dropped(spark):
     assert list_dirs(spark, common._own(spark))
     common.drop_scratch(spark)
     assert list_dirs(spark, common._own(spark)) == []
+
+
+def test_executors_find_the_code_wherever_the_driver_runs(tmp_path):
+    """No PYTHONPATH and another working folder: the package goes along with the job."""
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    code = ("import sys; sys.path.insert(0, sys.argv[1])\nimport __spark_entry__ as E\n"
+            "from lotline.session import get_spark\nspark = get_spark('local[2]', 4)\n"
+            "print('rows', E.queries()['op2_decontamination'](spark, sys.argv[2]).count(), "
+            "E.queries()['op7_warc'](spark, sys.argv[2]).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code, root, SF], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=600)
+    assert "rows " in out.stdout, out.stderr[-3000:]
