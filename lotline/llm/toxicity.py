@@ -13,8 +13,9 @@ unlabelled text.
 
 The fit uses a bounded sample: texts are taken by a hash of their id, at a rate
 that leaves about ``POSITIVES`` positives and ``UNLABELLED`` others, and near
-copies (equal smallest shingle hash) count once.  Only hashes of their distinct
-words leave the executors.  Scores then cover all rows and whole texts.
+copies (equal smallest shingle hash) count once.  Words are counted by Spark;
+of each sampled text only which of the chosen words it holds comes to the
+driver.  Scores then cover all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .common import held_out, map_batches, texts_of
+from .common import held_out, map_batches, texts_of, written
 
 POSITIVES = 3000
 UNLABELLED = 8000
-SAMPLE_WORDS = 4000       # a sampled text of more distinct words gives its smallest word hashes
 MOST_WORDS = 128
 LIFT = 4.0
 SUPPORT = 0.01            # share of the positives that hold a word
@@ -53,49 +53,55 @@ def _sampled(df: DataFrame, n: int, wanted: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < int((1 << 30) * wanted / n))
 
 
-def _bags(df: DataFrame) -> list[np.ndarray]:
-    """Distinct word hashes of each text (a bounded sample), near copies once."""
+def _bags(df: DataFrame, name: str) -> DataFrame:
+    """(mark, bag): distinct word hashes of each text, near copies once."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bags, marks = [], []
         for w in _words(texts_of(b.column(1))):
             s = T.shingle_set(w)
             marks.append(int(s[0].view(np.int64)) if len(s) else 0)
-            bags.append(np.unique(w)[:SAMPLE_WORDS].view(np.int64))
+            bags.append(np.unique(w).view(np.int64))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.list_(pa.int64())), pa.array(marks, pa.int64())],
                                           ["doc_id", "bag", "mark"])
     rows = map_batches(df.select("doc_id", "text"), run, "doc_id long, bag array<long>, mark long")
     # of near copies the smallest id, so a fit is the same every time
-    kept = rows.groupBy("mark").agg(F.min_by("bag", "doc_id").alias("bag")).toArrow().sort_by("mark")["bag"]
-    return [np.asarray(x, dtype=np.int64).view(np.uint64) for x in kept.to_pylist()]
+    return written(rows.groupBy("mark").agg(F.min_by("bag", "doc_id").alias("bag")), name)
 
 
-def _matrix(bags: list[np.ndarray], words: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Which words each bag holds, the largest mark among them, and a one."""
-    out = np.zeros((len(bags), len(words) + 2), dtype=np.float64)
-    out[:, -1] = 1
-    for i, x in enumerate(bags):
-        out[i, :-2] = np.isin(words, x)
-    if len(words):
-        out[:, -2] = (out[:, :-2] * marks).max(axis=1)
-    return out
-
-
-def choose_words(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray]:
+def choose_words(pos: DataFrame, unl: DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Words (hashes, sorted) that mark positives, and how purely: the share of
     the texts with a word that the prior lets be toxic, with a margin of two
-    standard errors of the word's count."""
-    if not pos or not unl:
-        return np.empty(0, dtype=np.uint64), np.empty(0)
-    word, held = np.unique(np.concatenate(pos), return_counts=True)
-    other, times = np.unique(np.concatenate([*unl, word]), return_counts=True)
-    times = times[np.searchsorted(other, word)] - 1
-    lift = held / len(pos) / ((times + 0.5) / (len(unl) + 1))
-    sure = held / len(pos) / ((times + 0.5 + 2 * np.sqrt(times + 0.5)) / (len(unl) + 1))
-    ok = (held >= max(3, SUPPORT * len(pos))) & (lift >= LIFT)
-    best = np.argsort(-np.where(ok, held * np.log(np.maximum(lift, 1)), -1), kind="stable")[:MOST_WORDS]
-    best = best[ok[best]]
-    best = best[np.argsort(word[best])]
-    return word[best], np.minimum(prior * sure[best], 1)
+    standard errors of the word's count.  Counted by Spark; at most
+    ``MOST_WORDS`` rows come back."""
+    n_pos, n_unl = pos.count(), unl.count()
+    each = pos.select(F.explode("bag").alias("w"), F.lit(1).alias("p")).unionAll(
+        unl.select(F.explode("bag").alias("w"), F.lit(0).alias("p")))
+    share = (F.col("times") + 0.5) / (n_unl + 1)
+    words = each.groupBy("w").agg(F.sum("p").alias("held"), F.sum(1 - F.col("p")).alias("times"))
+    words = words.where(F.col("held") >= max(3, SUPPORT * n_pos)).withColumn("lift", F.col("held") / n_pos / share)
+    best = (words.where(F.col("lift") >= LIFT).orderBy((F.col("held") * F.log("lift")).desc(), "w").limit(MOST_WORDS)
+            .select("w", "held", "times").collect())
+    word = np.array([r["w"] for r in best], dtype=np.int64).view(np.uint64)
+    held, times = (np.array([r[k] for r in best], dtype=np.float64) for k in ("held", "times"))
+    sure = held / max(n_pos, 1) / ((times + 0.5 + 2 * np.sqrt(times + 0.5)) / (n_unl + 1))
+    order = np.argsort(word)
+    return word[order], np.minimum(prior * sure, 1)[order]
+
+
+def _matrix(bags: DataFrame, words: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """A row for each bag: which words it holds, the largest mark among them, and a one."""
+    signed = words.view(np.int64)
+    known = F.array(*[F.lit(int(w)) for w in signed])
+    rows = bags.select("mark", F.array_intersect("bag", known).alias("hit")).toArrow().sort_by("mark")["hit"].to_pylist()
+    out = np.zeros((len(rows), len(words) + 2), dtype=np.float64)
+    out[:, -1] = 1
+    place = {int(w): i for i, w in enumerate(signed)}
+    for i, hit in enumerate(rows):
+        at = [place[h] for h in hit]
+        if at:
+            out[i, at] = 1
+            out[i, -2] = marks[at].max()
+    return out
 
 
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float) -> np.ndarray:
@@ -135,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, out: int = HEL
         return BLANK
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, out))
     confirmed = _sampled(labels.where("toxic = 1"), toxic, POSITIVES).select("doc_id")
-    pos = _bags(rows.join(F.broadcast(confirmed), "doc_id", "left_semi"))
-    unl = _bags(_sampled(rows, rows.select("doc_id").count(), UNLABELLED))
+    pos = _bags(rows.join(F.broadcast(confirmed), "doc_id", "left_semi"), "positives")
+    unl = _bags(_sampled(rows, rows.select("doc_id").count(), UNLABELLED), "unlabelled")
     prior = min(max(toxic / n, 1e-4), 0.5)
     words, marks = choose_words(pos, unl, prior)
     if not len(words):
