@@ -81,7 +81,7 @@ def _postings(reps: DataFrame) -> DataFrame:
         sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
         return pa.RecordBatch.from_arrays(
             [pa.array(_values(sig).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), COORDINATES))], ["value", "v"])
-    return map_batches(reps.select(F.col("k1").alias("v"), "sig"), run, "value long, v long")
+    return map_batches(reps.select("v", "sig"), run, "value long, v long")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -149,78 +149,87 @@ def _across(rows: DataFrame, matches: int, percent: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, words: int = WORDS) -> DataFrame:
-    """Components of similar documents (doc_id, text).
+def _candidates(sigs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    """(v, n, rid, sig, values) of classes that share enough values with others;
+    ``values`` are those, rarest first."""
+    reps = sigs.join(classes.select("k1", "k2", F.col("rep").alias("doc_id"), "v"), ["k1", "k2", "doc_id"])
+    reps = written(reps.select("v", "n", "rid", "sig").dropDuplicates(["v"]), "values")
+    postings = _postings(reps)
+    shared = written(postings.groupBy("value").agg(F.count("*").alias("held")).where("held > 1"), "shared")
+    lists = postings.join(shared, "value").groupBy("v").agg(F.array_sort(F.collect_set(F.struct("held", "value"))).alias("x"))
+    lists = written(lists.where(F.size("x") >= matches).select("v", F.col("x.value").alias("values")), "lists")
+    return written(lists.join(reps, "v"), "candidates")
 
-    Returns, for every row, doc_id, n_shingles (size of its set), component_id
-    (the smallest doc_id that links lead to, itself included), kept (doc_id =
-    component_id), group_id (of the component, null for the empty set) and rid
-    (a hash of id and text; both tell rows of one id apart).  Null or empty
-    texts, and texts without words, have the empty set and are linked with
-    nothing.  Texts of fewer than ``words`` words have one shingle.  Rows with equal sets are linked.  Rows without an
-    id take no part (component_id null, kept true).  Repeated rows come out as
-    often as they went in.  Other columns are not looked at."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = written(signatures(docs, words), "signatures")
-    classes = sigs.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    classes = written(classes.withColumn("v", F.xxhash64("k1", "k2")), "classes")
-    reps = sigs.join(classes.select("k1", "k2", F.col("rep").alias("doc_id"), "v"), ["k1", "k2", "doc_id"]
-                     ).select(F.col("v").alias("k1"), "sig")
-    reps = written(reps.dropDuplicates(["k1"]), "values")
 
-    # classes that share enough values with others, each with its shared values, rarest first
-    postings = _postings(reps)
-    shared = postings.groupBy("value").agg(F.count("*").alias("held")).where("held > 1")
-    lists = postings.join(shared, "value").groupBy("v").agg(
-        F.array_sort(F.collect_set(F.struct("held", "value"))).alias("x")).where(F.size("x") >= matches)
-    lists = written(lists.select("v", F.col("x.value").alias("values")), "lists")
-    found = written(lists.join(classes.select("v", "rep", "n"), "v").join(reps.withColumnRenamed("k1", "v"), "v"), "candidates")
-
-    # their full sets, and how many shingles each has for itself
-    wanted = found.select(F.col("rep").alias("doc_id"), "v")
-    text = join_counted(docs, wanted, "doc_id", "inner")
-    sets = written(_sets(text, words).join(classes.select("v", F.col("n").alias("set_n")), "v")
-                   .where(F.size("shingles") == F.col("set_n")).dropDuplicates(["v"]).drop("set_n"), "sets")
+def _members(docs: DataFrame, found: DataFrame, percent: int, words: int) -> DataFrame:
+    """Candidates with their full sets and the number of shingles that no other
+    candidate has (``own``), but for those whose own shingles rule out any link."""
+    text = join_counted(docs.select(F.xxhash64("doc_id", "text").alias("rid"), "text"), found.select("rid", "v"), "rid", "inner")
+    sets = written(_sets(text, words).dropDuplicates(["v"]), "sets")
     own = (sets.select("v", F.explode("shingles").alias("s")).groupBy("s")
            .agg(F.count("*").alias("k"), F.min("v").alias("v")).where("k = 1")
            .groupBy("v").agg(F.count("*").alias("own")))
-    members = (found.join(sets, "v").join(own, "v", "left").fillna(0, ["own"])
-               .where(f"100 * (n - own) >= {percent} * n"))
-    members = written(members.select("v", "n", "own", "values", "sig", "shingles"), "members")
+    members = found.join(sets, "v").join(own, "v", "left").fillna(0, ["own"])
+    members = members.where(f"100 * (n - own) >= {percent} * n")
+    return written(members.select("v", "n", "own", "values", "sig", "shingles"), "members")
+
+
+def _blocks(posted: DataFrame, group: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of the lists that hold several components, in pairs of blocks (see ``_across``)."""
+    at = posted.join(group.withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v"))
+    mixed = at.groupBy("value").agg(F.count("*").alias("held"), F.min("c").alias("lo"), F.max("c").alias("hi")
+                                    ).where("lo <> hi").select("value", "held")
+    at = at.join(mixed, "value").join(members.select("v", "sig", "values"), "v")
+    at = at.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
+    at = at.withColumn("own_block", F.pmod(F.xxhash64("v", F.lit(1)), F.col("blocks")).cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = written(at.select(
+        "value", F.least("own_block", "other").alias("low"), F.greatest("own_block", "other").alias("high"),
+        (F.col("own_block") > F.col("other")).cast("int").alias("side"), "v", "n", "own", "c", "sig", "values"), "across")
+    buckets = max(1, -(-at.count() // BUCKET_ROWS))
+    return at.withColumn("bucket", F.pmod(F.xxhash64("value", "low", "high"), F.lit(buckets)))
 
-    # lists of the prefix values; first pairs: each member with the one that has least for itself
+
+def _groups(members: DataFrame, percent: int, matches: int) -> DataFrame:
+    """(id, component) of the members that have a link."""
     posted = members.select("v", "n", "own", F.explode(
         F.slice("values", F.lit(1), F.greatest(F.lit(0), F.size("values") - matches + 1))).alias("value"))
+    # first pairs: each member with the one of the list that has least for itself
     heads = posted.groupBy("value").agg(F.min(F.struct("own", "v", "n")).alias("h"), F.count("*").alias("held")
                                         ).where("held > 1")
     first = (posted.join(heads, "value").where("v <> h.v").where(_possible("", "h.", percent))
              .select(F.least("v", "h.v").alias("a"), F.greatest("v", "h.v").alias("b")).distinct())
     links = written(_confirmed(first, members, matches, percent), "links")
     group = written(components(links), "groups")
+    # then pairs across components
+    second = _across(_blocks(posted, group, members), matches, percent).distinct()
+    more = written(_confirmed(second, members, matches, percent), "links")
+    return components(links.unionAll(more)) if more.limit(1).count() else group
 
-    # lists that hold several components: pairs across them
-    at = posted.join(group.withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v"))
-    mixed = at.groupBy("value").agg(F.count("*").alias("held"), F.min("c").alias("lo"), F.max("c").alias("hi")
-                                    ).where("lo <> hi").select("value", "held")
-    at = at.join(mixed, "value").join(members.select("v", "sig", "values"), "v")
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-    at = at.withColumn("blocks", blocks).withColumn("own_block", F.pmod(F.xxhash64("v", F.lit(1)), F.col("blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    at = at.select("value", F.least("own_block", "other").alias("low"), F.greatest("own_block", "other").alias("high"),
-                   (F.col("own_block") > F.col("other")).cast("int").alias("side"), "v", "n", "own", "c", "sig", "values")
-    at = written(at, "across")
-    rows = at.count()
-    spread = max(1, -(-rows // BUCKET_ROWS))
-    at = at.withColumn("bucket", F.pmod(F.xxhash64("value", "low", "high"), F.lit(spread)))
-    second = _across(at, matches, percent)
-    more = written(_confirmed(second.distinct(), members, matches, percent), "links")
-    group = components(links.unionAll(more)) if more.limit(1).count() else group
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, matches: int = MATCHES, words: int = WORDS) -> DataFrame:
+    """Components of similar documents (doc_id, text).
+
+    Returns, for every row, doc_id, n_shingles (size of its set), component_id
+    (the smallest doc_id that links lead to, itself included), kept (doc_id =
+    component_id), group_id (of the component, null for the empty set) and rid
+    (a hash of id and text; both tell rows of one id apart).  Null or empty
+    texts, and texts without words, have the empty set and are linked with
+    nothing.  Texts of fewer than ``words`` words have one shingle.  Rows with
+    equal sets are linked.  Rows without an id take no part (component_id null,
+    kept true).  Repeated rows come out as often as they went in.  Other columns
+    are not looked at."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sigs = written(signatures(docs, words), "signatures")
+    classes = sigs.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = written(classes.withColumn("v", F.xxhash64("k1", "k2")), "classes")
+    members = _members(docs, _candidates(sigs, classes, matches), percent, words)
+    group = _groups(members, percent, matches)
 
     named = classes.join(group.withColumnRenamed("id", "v"), "v", "left").withColumn("c", F.coalesce("component", "v"))
     named = written(named.select("k1", "k2", "rep", "c"), "named")
     lowest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "c").select("k1", "k2", "component_id", F.col("c").alias("group_id"))
+    named = written(named.join(lowest, "c").select("k1", "k2", "component_id", F.col("c").alias("group_id")), "named")
     out = sigs.select("doc_id", "rid", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id",
