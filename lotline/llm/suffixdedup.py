@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_out: bool = False
     kinds = written(kinds, "kinds")
     spans = runs.join(kinds.where("k > 1").select("a", "h1", "h2"), ["a", "h1", "h2"], "left_semi").select("rid", "start", "n")
 
-    mixed = kinds.groupBy("a").agg(F.count("*").alias("held")).where("held > 1")
+    mixed = written(kinds.groupBy("a").agg(F.count("*").alias("held")).where("held > 1"), "mixed")
     edges = written(kinds.join(mixed, "a").select("a", "one.*", (F.col("k") == 1).alias("single"), "held"), "edges")
     size, most = edges.agg(F.coalesce(F.sum(F.col("n") + length), F.lit(0)), F.max("held")).first()
     if size:
