@@ -34,7 +34,7 @@ from .common import map_batches, texts_of, written
 LENGTH = 200
 GRAM = 32
 SPLIT = 8192             # different runs of one anchor in one shard
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 PART = 1 << 22           # windows of a text handled at once
 _PLACE = np.uint64((1 << 24) - 1)
 _FACTORS = T.mix(np.arange(1, 40, dtype=np.uint64)) | np.uint64(1)
@@ -139,9 +139,9 @@ def shard_repeats(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
     t = np.frombuffer(b"\xff".join([*pieces, b""]), dtype=np.uint8)
     size = np.array([len(p) for p in pieces])
     end = np.cumsum(size + 1) - 1
-    starts = np.zeros(len(t) + 1, dtype=np.int64)
+    starts = np.zeros(len(t) + 1, dtype=np.int32)
     np.add.at(starts, end - size, size >= length)
-    np.add.at(starts, np.maximum(end - length + 1, end - size), -(size >= length).astype(np.int64))
+    np.add.at(starts, np.maximum(end - length + 1, end - size), -(size >= length).astype(np.int32))
     valid = np.cumsum(starts)[:-1] > 0
     plcp, before = suffixes.permuted_lcp(t, suffixes.suffix_array(t))
     again = plcp >= length
@@ -158,8 +158,8 @@ def _matched(slices: DataFrame, length: int) -> DataFrame:
         split, single, rid, start = (t[c].to_numpy() for c in ("split", "single", "rid", "start"))
         text, valid, twice, first = shard_repeats(pieces, length)
         size = np.array([len(p) for p in pieces])
-        own = np.repeat(np.arange(len(pieces)), size + 1)
-        place = np.arange(len(text)) - (np.cumsum(size + 1) - size - 1)[own] + start[own]
+        own = np.repeat(np.arange(len(pieces), dtype=np.int32), size + 1)
+        place = np.arange(len(text), dtype=np.int32) - (np.cumsum(size + 1) - size - 1)[own] + start[own]
         hit = valid & twice & single[own]
         edge = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

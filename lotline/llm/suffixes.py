@@ -23,7 +23,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     step = np.zeros(n, dtype=np.int8)
     step[:-1] = (t[:-1] < t[1:]).astype(np.int8) - (t[:-1] > t[1:])
     step[-1] = -1
-    at = np.where(step != 0, np.arange(n), n)
+    at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
 
 
@@ -45,13 +45,14 @@ class _Buckets:
     def take(self, b: int) -> np.ndarray:
         x = self.parts[b]
         self.parts[b] = []
-        return x[0] if len(x) == 1 else np.concatenate(x) if x else np.empty(0, dtype=np.int64)
+        return x[0] if len(x) == 1 else np.concatenate(x) if x else np.empty(0, dtype=np.int32)
 
 
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Suffix array from the LMS positions in order."""
     ahead = _Buckets()
-    ahead.deal(np.array([len(t) - 1]), t[-1:])
+    lms = lms.astype(np.int32)
+    ahead.deal(np.array([len(t) - 1], dtype=np.int32), t[-1:])
     first = np.searchsorted(t[lms], np.arange(257)) if len(lms) else np.zeros(257, dtype=np.int64)
     larger: list[np.ndarray] = []
     for b in range(256):
@@ -117,7 +118,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     np.cumsum(T._BYTE[t] * T._power(T._RADIX, n)[:-1], out=total[1:])
     h = T.mix((total[end] - total[at]) * T._power(T._RADIX_INV, n)[at] + (end - at).astype(np.uint64))
     h[-1] = h[-1] ^ np.uint64(0x5555)                  # ends with the text: like no other
-    index = np.empty(n, dtype=np.int64)
+    index = np.empty(n, dtype=np.int32)
     index[at] = np.arange(len(at))
     sub = index[order]
     new = np.ones(len(sub), dtype=bool)
@@ -135,9 +136,9 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     byte differs from that of ``before`` are compared; along the others the
     shared length falls by one."""
     n = len(t)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=np.int32)
     before[sa[1:]] = sa[:-1]
-    here = np.arange(n)
+    here = np.arange(n, dtype=np.int32)
     fresh = (here == 0) | (before <= 0)
     rest = np.flatnonzero(~fresh)
     fresh[rest] = t[rest - 1] != t[before[rest] - 1]
@@ -146,14 +147,14 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     for k in range(8):
         words |= padded[k: k + n + 8].astype(np.uint64) << np.uint64(8 * k)
     i = np.flatnonzero(fresh & (before >= 0))
-    shared = np.zeros(n, dtype=np.int64)
-    x, y, k = i, before[i], np.zeros(len(i), dtype=np.int64)
+    shared = np.zeros(n, dtype=np.int32)
+    x, y, k = i.astype(np.int32), before[i], np.zeros(len(i), dtype=np.int32)
     while len(x):
         room = n - np.maximum(x, y) - k
         diff = words[np.minimum(x + k, n)] ^ words[np.minimum(y + k, n)]
         low = diff & (~diff + np.uint64(1))
-        same = np.where(diff == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
-        k = k + np.minimum(same, room)
+        same = np.where(diff == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int32) // 8)
+        k = (k + np.minimum(same, room)).astype(np.int32)
         go = (same == 8) & (room > 8)
         shared[x[~go]] = k[~go]
         x, y, k = x[go], y[go], k[go]
