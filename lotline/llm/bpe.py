@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 PIECE = 1 << 16          # characters of a text handled at once
-CACHE = 1 << 19          # words a worker remembers (about 100 MB)
+CACHE = 1 << 18          # words a worker remembers (about 60 MB)
+PAIRS = 1 << 18          # and pairs of tokens
 
 
 def byte_alphabet() -> list[str]:
@@ -95,7 +96,7 @@ class Transducer:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the tokens may stand side by side."""
-        if len(self._pairs) >= 4 * CACHE:
+        if len(self._pairs) >= PAIRS:
             self._pairs.clear()
         known = self._pairs[a << 32 | b] = self._merge([*self.units[a], *self.units[b]]) == [self.token[a], self.token[b]]
         return known

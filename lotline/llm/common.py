@@ -18,7 +18,7 @@ from ..sources.tables import table
 
 # Rows and bytes of one Arrow batch: long texts must not meet in one batch.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-         "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+         "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 # Rows of a table that may be broadcast (after they have been counted).
 BROADCAST_ROWS = 100_000
 
