@@ -42,8 +42,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     common.settle(spark)
     rows = common.written(neardup.near_duplicates(docs).where("n_shingles > 0 and doc_id is not null")
                           .select("rid", "doc_id", "group_id"), "near")
-    first = rows.groupBy("group_id").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
-    gone = common.written(rows.join(first, "group_id").where("rid <> first.rid").select("rid").distinct(), "gone")
+    first = rows.groupBy("group_id").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count("*").alias("k"))
+    # written first, so that the join reads plain shuffles, which can be split
+    first = common.written(first.where("k > 1").select("group_id", F.col("first.rid").alias("first")), "first")
+    gone = common.written(rows.join(first, "group_id").where("rid <> first").select("rid").distinct(), "gone")
     out = common.join_counted(docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), "text")),
                               gone.withColumnRenamed("rid", "__rid"), "__rid", "left_anti")
     if rows.groupBy("rid").count().where("count > 1").limit(1).count():
