@@ -5,7 +5,8 @@ and returns a DataFrame, which is written as Parquet and read back as the next
 one's ``docs``.  All but the last return the columns of documents:
 
 1. toxicity          documents scored 0.7 or more go
-2. line dedup        later repeats of three lines or more go; n_chars is counted anew
+2. line dedup        later repeats of three lines or more, or of 50 words or more in
+                     fewer lines, go; n_chars is counted anew
 3. near-dedup        of each group of similar documents the smallest doc_id stays
 4. decontamination   documents that hold 80 of 100 shingles of a benchmark item go
 5. BPE               token count and hashes of ids and decoded text
@@ -24,6 +25,8 @@ from lotline.llm import bpe, common, decontaminate, linededup, neardup, queries,
 
 ORACLE_SQL = None
 
+REPEATED_WORDS = 50     # a repeat of fewer than three lines goes from so many words on
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.settle(spark)
@@ -34,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.settle(spark)
-    out = linededup.remove_repeated_lines(docs).select(*docs.columns)
+    out = linededup.remove_repeated_lines(docs, words=REPEATED_WORDS).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

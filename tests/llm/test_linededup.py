@@ -54,3 +54,42 @@ def test_columns_come_through(spark):
     out = L.remove_repeated_lines(docs(spark, [(1, "a\nb\nc")]))
     assert out.columns == ["doc_id", "text", "rid", "n", "v", "n_lines", "n_removed"]
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def brute_words(rows, run=3, words=50):
+    """As ``brute``, and runs of fewer lines that hold ``words`` words or more."""
+    keyed = {}
+    for i, t in rows:
+        if t is not None:
+            keyed[i, t] = [(x.strip(" \t\n\r\x0b\x0c"), k) for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
+    seen, gone = set(), {}
+    for i, t in sorted(keyed, key=lambda x: (x[0] is None, x[0] or 0)):
+        lines = keyed[i, t]
+        for n in range(1, run + 1):
+            for s in range(len(lines) - n + 1):
+                key = tuple(x for x, _ in lines[s: s + n])
+                if n == run or sum(len(x.split()) for x in key) >= words:
+                    if key in seen:
+                        gone.setdefault((i, t), set()).update(k for _, k in lines[s: s + n])
+                    seen.add(key)
+    out = []
+    for i, t in rows:
+        g = gone.get((i, t), set())
+        out.append((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g),
+                    0 if t is None else len(t.split("\n")), len(g)))
+    return sorted(out, key=repr)
+
+
+def test_long_repeats_of_one_or_two_lines_go(spark):
+    long, half, rest = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("w", 60), ("a", 30), ("b", 20)))
+    rows = [(1, long), (2, f"x\n {long} \ny"), (3, f"{half}\n\n{rest}\np"), (4, f"q\n{half}\n{rest}"), (5, f"{half}\nr"),
+            (6, f"{long}\n{long}"), (7, "x\ny"), (None, long), (8, None), (9, "")]
+    got = {r[0]: r[1:] for r in ours(spark, rows, words=50)}
+    assert got[1] == (long, 1, 0) and got[2] == ("x\ny", 3, 1) and got[4] == ("q", 3, 2) and got[5][2] == 0 and got[6] == ("", 2, 2)
+    assert got[None] == ("", 1, 1) and got[7][2] == 0
+    assert ours(spark, rows, words=50) == brute_words(rows)
+    rnd = random.Random(9)
+    lines = [" ".join(rnd.choice("abcdef") for _ in range(rnd.randrange(1, 12))) for _ in range(60)] + [""]
+    rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(0, 8)))) for i in range(120)]
+    for run, words in ((3, 10), (2, 8), (4, 14)):
+        assert ours(spark, rows, run=run, words=words) == brute_words(rows, run, words) != brute(rows, run)

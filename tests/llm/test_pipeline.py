@@ -3,6 +3,7 @@ from lotline.llm import common, toxicity
 from tests.llm.conftest import SF
 from tests.llm.test_decontaminate import brute as contained
 from tests.llm.test_linededup import brute as lines
+from tests.llm.test_linededup import brute_words
 from tests.llm.test_neardup import brute as near
 
 
@@ -60,3 +61,11 @@ def test_odd_rows_and_empty_tables(spark):
 def test_run_gives_the_last_stage(spark):
     out = P.run(spark, SF)
     assert out.count() > 0 and "n_tokens" in out.columns
+
+
+def test_line_stage_takes_long_repeats_of_one_line(spark):
+    docs = common.table(spark, SF, "documents")
+    rows = _rows(docs)
+    want = [(d, t) for d, t, _, _ in brute_words(rows)]
+    assert want != [(d, t) for d, t, _, _ in lines(rows)]
+    assert _rows(P.drop_repeated_lines(spark, docs, SF)) == sorted(want, key=repr)
