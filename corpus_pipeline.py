@@ -7,7 +7,8 @@ one's ``docs``.  All but the last return the columns of documents:
 1. toxicity          documents scored 0.7 or more go
 2. line dedup        later repeats of three lines or more, or of 50 words or more in
                      fewer lines, go; n_chars is counted anew
-3. near-dedup        of each group of similar documents the smallest doc_id stays
+3. near-dedup        of each group of documents that share 80 of 100 shingles the
+                     smallest doc_id stays
 4. decontamination   documents that hold 80 of 100 shingles of a benchmark item go
 5. BPE               token count and hashes of ids and decoded text
 
@@ -26,6 +27,8 @@ from lotline.llm import bpe, common, decontaminate, linededup, neardup, queries,
 ORACLE_SQL = None
 
 REPEATED_WORDS = 50     # a repeat of fewer than three lines goes from so many words on
+NEAR_PERCENT = 80
+NEAR_MATCHES = 35       # of 64; a pair of just that similarity has fewer with a probability of 1.2e-6
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +46,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.settle(spark)
-    rows = common.written(neardup.near_duplicates(docs).where("n_shingles > 0 and doc_id is not null")
-                          .select("rid", "doc_id", "group_id"), "near")
+    rows = common.written(neardup.near_duplicates(docs, percent=NEAR_PERCENT, matches=NEAR_MATCHES)
+                          .where("n_shingles > 0 and doc_id is not null").select("rid", "doc_id", "group_id"), "near")
     first = rows.groupBy("group_id").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count("*").alias("k"))
     # written first, so that the join reads plain shuffles, which can be split
     first = common.written(first.where("k > 1").select("group_id", F.col("first.rid").alias("first")), "first")

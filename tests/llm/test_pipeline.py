@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import corpus_pipeline as P
 from lotline.llm import common, toxicity
 from tests.llm.conftest import SF
@@ -5,6 +7,7 @@ from tests.llm.test_decontaminate import brute as contained
 from tests.llm.test_linededup import brute as lines
 from tests.llm.test_linededup import brute_words
 from tests.llm.test_neardup import brute as near
+from tests.llm.test_neardup import shingles
 
 
 def _rows(df):
@@ -69,3 +72,38 @@ def test_line_stage_takes_long_repeats_of_one_line(spark):
     want = [(d, t) for d, t, _, _ in brute_words(rows)]
     assert want != [(d, t) for d, t, _, _ in lines(rows)]
     assert _rows(P.drop_repeated_lines(spark, docs, SF)) == sorted(want, key=repr)
+
+
+def _groups80(rows):
+    """Smallest id of each group of rows linked by 80 of 100 shared shingles, by all pairs."""
+    sets = {d: shingles(t) for d, t in rows}
+    up = {d: d for d in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for i, j in combinations([d for d in sorted(sets) if sets[d]], 2):
+        both = len(sets[i] & sets[j])
+        if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            i, j = sorted((top(i), top(j)))
+            up[j] = i
+    return {d for d in sets if top(d) == d}
+
+
+def test_near_stage_takes_copies_from_80_of_100_on(spark):
+    """On raw documents, and in the chain with long line repeats gone before and benchmark items after."""
+    docs = common.table(spark, SF, "documents")
+    rows = _rows(docs)
+    kept = _groups80(rows)
+    assert kept < {d for d, _, _, k in near(rows) if k}
+    assert _rows(P.drop_near_duplicates(spark, docs, SF)) == sorted((r for r in rows if r[0] in kept), key=repr)
+
+    want = [(d, t) for d, t, _, _ in brute_words(rows)]
+    kept = _groups80(want)
+    items = [tuple(r) for r in common.table(spark, SF, "benchmark").select("item_id", "text").collect()]
+    want = [r for r in want if r[0] in kept]
+    leaks = {d for d, *_ in contained(want, items)}
+    for name, stage in P.STAGES[1:4]:
+        docs = common.written(stage(spark, docs, SF), "test")
+    assert _rows(docs) == sorted((r for r in want if r[0] not in leaks), key=repr)
