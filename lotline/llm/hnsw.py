@@ -10,7 +10,8 @@ the largest |x|^2 of the shard (0 for queries), so the graph's geometry is
 Euclidean.  Vectors are inserted in batches no larger than a quarter of the
 graph that is there, and many searches go forward together in lockstep, as
 array operations.  Results are scored again in double precision on the
-original vectors.
+original vectors.  Equal vectors are one node; the ids of those that several
+rows have are in a written table, with which hits are expanded.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import join_counted, scratch, written
 from .warc import filesystem
 
 LINKS = 16                 # neighbours on upper levels; twice as many on the lowest
@@ -190,13 +191,13 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def index(vectors: DataFrame, folder: str, shards: int) -> DataFrame:
-    """Builds the graph of each shard of usable vectors (equal lengths) and
-    writes it below ``folder``; returns (shard, path, rows, dim)."""
+    """Builds the graph of each shard of different vectors (equal lengths; vec_id,
+    the smallest of the vector, vid, many, embedding) and writes it below ``folder``; returns (shard, path, rows, dim)."""
     def run(t: pa.Table) -> pa.Table:
         shard = t["shard"][0].as_py()
-        t = t.sort_by("vec_id")                # the same graph whatever the order of arrival
+        t = t.sort_by([("vec_id", "ascending"), ("vid", "ascending")])      # the same graph whatever the order of arrival
         x = _matrix(t["embedding"])
-        ids = t["vec_id"].to_numpy()
+        ids, vids, many = t["vec_id"].to_numpy(), t["vid"].to_numpy(), t["many"].to_numpy().astype(np.int8)
         square = np.einsum("ij,ij->i", x, x)
         space = np.concatenate([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], axis=1).astype(np.float32)
         g = build(space)
@@ -204,7 +205,7 @@ def index(vectors: DataFrame, folder: str, shards: int) -> DataFrame:
         fs.create_dir(at, recursive=True)
         path = f"{folder}/shard-{shard}-{uuid.uuid4().hex}.parquet"
         flat = lambda a: [a.tobytes()]
-        cols = {"ids": flat(ids), "vectors": flat(x), "space": flat(space), "entry": [g.entry],
+        cols = {"ids": flat(ids), "vids": flat(vids), "many": flat(many), "vectors": flat(x), "space": flat(space), "entry": [g.entry],
                 **{f"level{k}": flat(v) for k, v in enumerate(g.levels)}}
         pq.write_table(pa.table(cols), filesystem(path)[1], filesystem=fs)
         return pa.table({"shard": [shard], "path": [path], "rows": [len(x)], "dim": [x.shape[1]]})
@@ -223,7 +224,7 @@ def _load(path: str, rows: int, dim: int) -> tuple:
         get = lambda name, kind: np.frombuffer(t[name][0].as_py(), dtype=kind)
         levels = [get(c, np.int32).reshape(rows, -1) for c in t.column_names if c.startswith("level")]
         g = Graph(get("space", np.float32).reshape(rows, -1), levels, t["entry"][0].as_py())
-        _open[path] = (g, get("ids", np.int64), get("vectors", np.float64).reshape(rows, dim))
+        _open[path] = (g, get("ids", np.int64), get("vids", np.int64), get("many", np.int8) > 0, get("vectors", np.float64).reshape(rows, dim))
     return _open[path]
 
 
@@ -233,10 +234,11 @@ def nearest(vectors: DataFrame, queries, k: int = 20, width: int = SEARCH_WIDTH,
     vec_id) selects: query_id, rank (from 1), vec_id, score, nearest first, ties
     to the smaller vec_id.  Candidates are all other usable vectors of the same
     length; with fewer than ``k``, all.  Vectors that are null, zero or hold
-    null or non-finite components take no part; of repeated ids one row does.
-    Other columns are not looked at."""
+    null or non-finite components take no part; of rows equal in id and vector
+    one does.  An id with several vectors is asked for with each, has an answer
+    for each, and is a candidate with each.  Other columns are not looked at."""
     spark = vectors.sparkSession
-    good = written(usable(vectors).dropDuplicates(["vec_id"]), "vectors")
+    good = written(usable(vectors).dropDuplicates(["vec_id", "embedding"]), "vectors")
     lengths = [r[0] for r in good.select(F.size("embedding")).distinct().collect()]
     parts = [_nearest(spark, good.where(F.size("embedding") == n), queries, k, width, min_shards,
                       shard_rows or max(1, SHARD_BYTES // (8 * n))) for n in sorted(lengths)]
@@ -248,42 +250,66 @@ def nearest(vectors: DataFrame, queries, k: int = 20, width: int = SEARCH_WIDTH,
     return out
 
 
+def _different(good: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Each different vector once (vec_id, its smallest, vid, many: several rows
+    have it, embedding), and (low, vid, vec_id) of those with many: an answer
+    needs the ``k`` + 1 smallest ids at most, the query's own among them."""
+    w = W.partitionBy("embedding").orderBy("vec_id")
+    rows = good.withColumn("r", F.row_number().over(w)).withColumn(
+        "low", F.min("vec_id").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).where(F.col("r") <= k + 1)
+    rows = written(rows.withColumn("vid", F.xxhash64("embedding")), "members")
+    several = rows.where("r = 2").select("low", "vid", F.lit(True).alias("many"))
+    several = written(several, "several")
+    different = join_counted(rows.where("r = 1").select("low", "vid", "embedding"), several, ["low", "vid"], "left")
+    members = join_counted(rows.select("low", "vid", "vec_id"), several.select("low", "vid"), ["low", "vid"], "left_semi")
+    return (written(different.select(F.col("low").alias("vec_id"), "vid", F.coalesce("many", F.lit(False)).cast("int").alias("many"),
+                                     "embedding"), "different"), written(members, "ids"))
+
+
 def _nearest(spark, good, queries, k, width, min_shards, shard_rows) -> DataFrame:
-    count = good.count()
+    different, members = _different(good, k)
+    count = different.count()
     shards = max(1, min(min_shards, -(-count // 64)), -(-count // shard_rows))
-    graphs = index(good, scratch(spark, "hnsw"), shards)
-    asked = good.where(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    graphs = index(different, scratch(spark, "hnsw"), shards)
+    asked = good.where(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).withColumn("qv", F.xxhash64("q"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = written(asked.repartition(blocks), "queries")
 
     def run(t: pa.Table) -> pa.Table:
         path, rows, dim = (t[c][0].as_py() for c in ("path", "rows", "dim"))
-        g, ids, x = _load(path, rows, dim)
-        q, qid = _matrix(t["q"]), t["query_id"].to_numpy()
-        out_q, out_v, out_s = [], [], []
+        g, ids, vids, many, x = _load(path, rows, dim)
+        q, qid, qv = _matrix(t["q"]), t["query_id"].to_numpy(), t["qv"].to_numpy()
+        out: list[list] = [[], [], [], [], [], []]
         step = max(1, min(LOCKSTEP, VISITED_BYTES // rows))
         for at in range(0, len(q), step):
             part = np.concatenate([q[at: at + step], np.zeros((len(q[at: at + step]), 1))], axis=1)
             best, _ = g.search(part.astype(np.float32), min(max(width, 2 * k + 2), max(rows, 2)))
             own = np.arange(len(part))[:, None] + np.zeros_like(best)
-            ok = (best >= 0) & (ids[best] != qid[at: at + step][:, None])
+            # a vector of the query's own id alone is no answer; of many, other ids may be
+            ok = (best >= 0) & ((ids[best] != qid[at: at + step][:, None]) | many[best])
             o, p = own[ok], best[ok]
             score = np.einsum("ij,ij->i", x[p], q[at: at + step][o])
             order = np.lexsort((ids[p], -score, o))
             o, p, score = o[order], p[order], score[order]
-            rank = np.arange(len(o)) - np.searchsorted(o, o)
-            top = rank < k
-            out_q.append(qid[at: at + step][o[top]])
-            out_v.append(ids[p[top]])
-            out_s.append(score[top])
-        return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+            mine = ids[p] == qid[at: at + step][o]         # other ids of these come later: beside the k
+            before = np.cumsum(~mine) - ~mine
+            rank = before - before[np.searchsorted(o, o)]
+            top = mine | (rank < k)
+            o, p = o[top], p[top]
+            for to, part in zip(out, (qid[at: at + step][o], qv[at: at + step][o], ids[p], vids[p], many[p], score[top])):
+                to.append(part)
+        return pa.table(dict(zip(("query_id", "qv", "low", "vid", "many", "score"), map(np.concatenate, out))))
 
     # a task for each block of queries and shard
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     visits = asked.withColumn("block", block).withColumn("shard", F.explode(
         F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     visits = visits.join(graphs, "shard")
-    found = visits.groupBy("shard", "block").applyInArrow(run, "query_id long, vec_id long, score double")
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = written(visits.groupBy("shard", "block").applyInArrow(
+        run, "query_id long, qv long, low long, vid long, many boolean, score double"), "found")
+    alone = found.where("not many").select("query_id", "qv", F.col("low").alias("vec_id"), "score")
+    expanded = join_counted(found.where("many"), members, ["low", "vid"], "inner").where("vec_id <> query_id")
+    found = alone.unionByName(expanded.select("query_id", "qv", "vec_id", "score"))
+    w = W.partitionBy("query_id", "qv").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

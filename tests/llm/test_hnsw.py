@@ -59,3 +59,23 @@ def test_whole_table(spark):
     assert len(rows) == 20 * len(asked)
     hits = sum(len({v for v, _ in brute(ids, x, q)} & {r.vec_id for r in rows if r.query_id == q}) for q in asked)
     assert hits / len(rows) >= 0.9
+
+
+def test_copies_beyond_the_width_answer_by_id(spark):
+    """A third of the rows are copies, more than the search width in a shard."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 8)).astype(np.float32).astype(np.float64)
+    ids = rng.permutation(900)
+    x[600:] = 4 * x[0]
+    df = spark.createDataFrame([(int(i), [float(v) for v in r], "s", 1) for i, r in zip(ids, x)], SCHEMA)
+    asked = sorted({int(i) for i in ids[600:]})[:3] + [int(i) for i in ids[[0, 700, 899]]]
+    out = H.nearest(df, f"vec_id in ({', '.join(map(str, asked))})", min_shards=1).collect()
+    for q in set(asked):
+        got = [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r.rank)]
+        assert got == [v for v, _ in brute(ids, x, q)]
+
+
+def test_an_id_with_several_vectors(spark):
+    df = spark.createDataFrame([(i, v, "s", 1) for i, v in [(20, [1., 0.]), (20, [0., 1.]), (1, [2., 0.]), (2, [0., 3.]), (2, [5., 0.])]], SCHEMA)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in H.nearest(df, "vec_id = 20").collect())
+    assert got == sorted([(20, 1, 2, 5.), (20, 2, 1, 2.), (20, 3, 2, 0.), (20, 1, 2, 3.), (20, 2, 1, 0.), (20, 3, 2, 0.)])
