@@ -152,9 +152,11 @@ def _joined(docs: DataFrame, items: DataFrame, sets: DataFrame, words: int) -> D
                                           ["rid", "h"])
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
     grams = map_batches(docs.select("rid", "text"), run, "rid long, h long")
-    posted = sets.select("item_id", F.explode("sketch").alias("h"))
-    found = grams.join(posted, "h").select("rid", "item_id").distinct()
-    lists = found.join(items.select("item_id", F.col("text").alias("item")), "item_id").groupBy("rid").agg(
+    # by a hash of the id, as ids may be null; what it takes in too much is verified below
+    key = F.xxhash64("item_id").alias("key")
+    posted = sets.select(key, F.explode("sketch").alias("h"))
+    found = grams.join(posted, "h").select("rid", "key").distinct()
+    lists = found.join(items.select(key, "item_id", F.col("text").alias("item")), "key").groupBy("rid").agg(
         F.collect_list(F.struct("item_id", "item")).alias("items"))
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -60,3 +60,11 @@ def test_sketch_is_as_long_as_the_threshold_asks():
         # a document that holds enough shingles lacks fewer than the sketch has
         assert D.sketch_length(D.partition(n)) > n - D.need(n) and 100 * D.need(n) >= 80 * n > 100 * (D.need(n) - 1)
         assert 1 << D.partition(n) <= n < 2 << D.partition(n)
+
+
+def test_items_without_an_id_are_found_on_both_paths(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    d = spark.createDataFrame([(1, f"before {item} after"), (2, "other words")], "doc_id long, text string")
+    i = spark.createDataFrame([(None, item), (7, " ".join(f"v{k}" for k in range(30)))], "item_id long, text string")
+    for sketches in (D.SKETCHES, 1):
+        assert [tuple(r) for r in D.contaminated(d, i, sketches=sketches).collect()] == [(1, None, 26, 26)]
