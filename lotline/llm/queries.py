@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, common, decontaminate, hnsw, linededup, neardup, quality, suffixdedup, toxicity, warc
+from . import audit, bpe, chat, common, decontaminate, hnsw, linededup, neardup, quality, suffixdedup, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -161,3 +161,8 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""")
 def filter_audit(spark, sf_dir):
     return audit.audit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+@query("op12_whitening")
+def embedding_whitening(spark, sf_dir):
+    return whitening.whitened(common.table(spark, sf_dir, "embeddings"))
