@@ -8,13 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, common, decontaminate, hnsw, linededup, neardup, quality, suffixdedup, toxicity, warc, whitening
+from . import audit, bpe, chat, common, decontaminate, hnsw, linededup, neardup, quality, suffixdedup, toxicity, warc, whitening, wordshuffle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 # Vocabulary of op5 and of the pipeline's last stage: a file name of the public_tokenizers package.
 VOCABULARY = "word_bpe_49k.json"
+# Ranks of op11; its splitting pattern is the package's.
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def query(name: str, sql: str | None = None):
@@ -166,3 +168,10 @@ def filter_audit(spark, sf_dir):
 @query("op12_whitening")
 def embedding_whitening(spark, sf_dir):
     return whitening.whitened(common.table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_byte_bpe")
+def byte_bpe(spark, sf_dir):
+    import public_tokenizers
+    vocabulary = wordshuffle.Vocabulary.read(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return wordshuffle.encode(common.documents(spark, sf_dir), vocabulary)
