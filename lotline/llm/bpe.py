@@ -20,7 +20,6 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
-import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from . import common
+from . import common, pretokens
 
 PIECE = 1 << 16          # characters of a text handled at once
 CACHE = 1 << 18          # words a worker remembers (about 60 MB)
@@ -231,7 +230,7 @@ class Tokenizer:
             self.nfc |= n["type"] == "NFC"
         pre = spec["pre_tokenizer"]
         split = next(p for p in pre.get("pretokenizers", [pre]) if p["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.pattern = pretokens.Splitter(split["pattern"]["Regex"])
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")"
                                      ) if self.added else None
@@ -242,10 +241,10 @@ class Tokenizer:
                                (spec.get("decoder") or {}).get("type") == "ByteLevel")
 
     def _plain(self, text: str) -> bytes:
-        if self.nfc and not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        if self.lower:  # each character by itself: no final sigma
-            text = text.replace("Σ", "σ").lower()
+        if self.nfc:
+            text = pretokens.compose(text)
+        if self.lower:
+            text = pretokens.lower(text)
         return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
     def encode_pieces(self, text: str) -> Iterator[array]:

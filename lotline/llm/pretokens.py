@@ -2,11 +2,14 @@
 
 ``regex`` knows a newer Unicode than the tokenizer libraries, which take the code
 points below for neither letters nor numbers.  A text that holds one of them is split
-by a pattern without them; any other text by the pattern as it is.
+by a pattern without them; any other text by the pattern as it is.  Lower-casing
+and composition (NFC) of the ``tokenizers`` library differ from Python's as well.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import regex
 
@@ -20,6 +23,19 @@ YOUNG_LETTERS = """
 """
 # The same for numbers.
 YOUNG_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+# Capital letters that the tokenizers library lower-cases and Python's Unicode 15 does
+# not, as ranges and what is added to a code point.
+LATE_CAPITALS = """
+1C89 1  A7CB -42343  A7CC 1  A7CE 1  A7D2 1  A7D4 1  A7DA 1  A7DC -42561  10D50-10D65 32  16EA0-16EB8 27
+"""
+# Code points that take part in composition for Python, and stand for themselves
+# in the tokenizers library, whose tables of combining marks are older.
+LATE_MARKS = """
+07FD 0898-089F 08CA-08D3 09FE 0C3C 0D3B-0D3C 0EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27
+10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 11938
+1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F
+1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF
+"""
 
 
 def code_points(ranges: str) -> list[tuple[int, int]]:
@@ -44,6 +60,30 @@ def _set(ranges: str) -> str:
     return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in code_points(ranges))
 
 
+_late = LATE_CAPITALS.split()
+LOWER = {c: c + int(step) for r, step in zip(_late[::2], _late[1::2])
+         for a, b in code_points(r) for c in range(a, b + 1)}
+_LOWER = table(" ".join(_late[::2]))
+_MARKS = table(LATE_MARKS)
+_MARK = regex.compile(f"([{_set(LATE_MARKS)}])")
+
+
+def lower(text: str) -> str:
+    """Each character in lower case by itself (no final sigma)."""
+    if holds(text, _LOWER):
+        text = text.translate(LOWER)
+    return text.replace("Σ", "σ").lower()
+
+
+def compose(text: str) -> str:
+    """NFC by the library's tables."""
+    if text.isascii():
+        return text
+    if not holds(text, _MARKS):
+        return unicodedata.normalize("NFC", text)
+    return "".join(x if i % 2 else unicodedata.normalize("NFC", x) for i, x in enumerate(_MARK.split(text)))
+
+
 _YOUNG = table(YOUNG_LETTERS) | table(YOUNG_NUMBERS)
 
 

@@ -85,9 +85,28 @@ def test_query_rows(spark, both):
     assert bpe.encode(docs(spark, rows).limit(0), PATH).count() == 0
 
 
+def _hashes(lib, text):
+    ids = lib.encode(text, add_special_tokens=False).ids
+    return (len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(),
+            hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
 def test_whole_table(spark, both):
     from lotline.llm.queries import QUERIES
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in QUERIES["op5_bpe_codec"](spark, SF).collect():
-        assert r.n_tokens == len(both[1].encode(rows.pop(r.doc_id), add_special_tokens=False).ids)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == _hashes(both[1], rows.pop(r.doc_id))
     assert not rows
+
+
+@pytest.mark.parametrize("form", ["ab{}cd1", "{}", "a{}\u0301\u0323", "\u1ea1{}\u0301 x"])
+def test_every_code_point(both, form):
+    """Between letters and numbers; alone and among combining marks those below U+20000 (no marks are above)."""
+    tok, lib = both
+    texts = [form.format(chr(c)) for c in range(0x110000 if form == "ab{}cd1" else 0x20000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(texts), 1 << 12):
+        text = " ".join(texts[at: at + (1 << 12)])
+        if _ids(tok, text) != lib.encode(text, add_special_tokens=False).ids:
+            wrong = [t for t in texts[at: at + (1 << 12)] if _ids(tok, t) != lib.encode(t, add_special_tokens=False).ids]
+            assert not wrong, [hex(ord(c)) for c in "".join(wrong[:20])]
+            raise AssertionError("only together")
