@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import common
 from .pretokens import Splitter
 
-BLOCK = 8 << 20             # bytes of text of a block
+BLOCK = 16 << 20            # characters of a block
 BUCKET = 16 << 20           # bytes of text for each bucket of words
 LAYOUT = -1                 # the bucket number of a block's own row
 
@@ -93,33 +93,59 @@ class Vocabulary:
         return np.frombuffer(b"".join(row), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in row], dtype=np.int64)))
 
 
+def _sizes(a: np.ndarray) -> np.ndarray:
+    """Bits after the leading one of a + 1."""
+    return (np.frexp(a.astype(np.float64) + 1)[1] - 1).astype(np.uint8)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers below 2**32: the first byte of all, then the second, ..., compressed."""
-    out = [np.array([len(arrays), *map(len, arrays)], dtype="<u4").tobytes()]
+    """Arrays, compressed: bytes (uint8) as they are, other whole numbers below
+    2**32 as their sizes in bits and then, size by size, the bytes that follow from
+    them.  Numbers of one size are spread evenly, so this comes near to their entropy."""
+    out = [np.array([len(arrays), *(x for a in arrays for x in (a.dtype != np.uint8, len(a)))], dtype="<u4").tobytes()]
     for a in arrays:
-        out.append(np.ascontiguousarray(a, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+        if a.dtype == np.uint8:
+            out.append(a.tobytes())
+            continue
+        sizes = _sizes(a)
+        out.append(sizes.tobytes())
+        for c in range(1, 33):
+            v = a[sizes == c].astype(np.int64) + 1 - (1 << c)
+            out += [((v >> j) & 255).astype(np.uint8).tobytes() for j in range(0, c, 8)] if len(v) else []
     return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     k = int(data[:4].view("<u4")[0])
-    sizes = data[4: 4 + 4 * k].view("<u4").astype(np.int64)
-    out, at = [], 4 + 4 * k
-    for n in sizes:
-        out.append(np.ascontiguousarray(data[at: at + 4 * n].reshape(4, n).T).view("<u4").ravel())
-        at += 4 * n
+    head = data[4: 4 + 8 * k].view("<u4").astype(np.int64)
+    out, at = [], 4 + 8 * k
+    for numbers, n in zip(head[::2].tolist(), head[1::2].tolist()):
+        first = data[at: at + n]
+        at += n
+        if not numbers:
+            out.append(first)
+            continue
+        a = np.zeros(n, dtype=np.int64)
+        for c in range(1, 33):
+            here = np.flatnonzero(first == c)
+            if len(here):
+                v = np.full(len(here), (1 << c) - 1, dtype=np.int64)
+                for j in range(0, c, 8):
+                    v += data[at: at + len(here)].astype(np.int64) << j
+                    at += len(here)
+                a[here] = v
+        out.append(a)
     return out
 
 
 def pack_words(words: list[bytes]) -> bytes:
-    lengths = np.array([len(w) for w in words], dtype="<u4")
-    return pack(lengths, np.frombuffer(b"".join(words), np.uint8))
+    return pack(np.array([len(w) for w in words], dtype=np.int64), np.frombuffer(b"".join(words), np.uint8))
 
 
 def unpack_words(blob: bytes) -> list[bytes]:
     lengths, data = unpack(blob)
-    data, ends = data.astype(np.uint8).tobytes(), np.cumsum(lengths).tolist()
+    data, ends = data.tobytes(), np.cumsum(lengths).tolist()
     return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -153,12 +179,14 @@ class _Block:
         for b in np.unique(home).tolist():
             yield block, b, pack_words([words[i] for i in order[home[order] == b]]), None, None
         codes = np.concatenate([*self.codes, np.empty(0, np.uint32)]).astype(np.int64)
-        # frequent words get small numbers, which take less room; place: where a number's word is in (bucket, word) order
-        by_count = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
-        number, place = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        number[by_count] = np.arange(len(words))
-        place[number[order]] = np.arange(len(words))
-        yield block, LAYOUT, None, self.doc_ids, pack(np.array([len(c) for c in self.codes]), place, number[codes])
+        # Frequent words get small numbers, which take less room.  place: where a number's word is in (bucket,
+        # word) order; equally frequent words keep that order, so steps from one to the next are short.
+        place = np.argsort(-np.bincount(codes, minlength=len(words))[order], kind="stable")
+        number = np.empty(len(words), np.int64)
+        number[order[place]] = np.arange(len(words))
+        steps = np.diff(place, prepend=0)
+        yield block, LAYOUT, None, self.doc_ids, pack(np.array([len(c) for c in self.codes], dtype=np.int64),
+                                                      np.where(steps < 0, -2 * steps - 1, 2 * steps), number[codes])
 
 
 PARTS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("words", pa.binary()),
@@ -194,7 +222,7 @@ def _encode_bucket(vocabulary: Broadcast):
                 if ids is None:
                     ids = known[w] = encode(w)
                 row.append(ids)
-            coded.append(pack(np.array([len(x) for x in row]), np.array([i for x in row for i in x])))
+            coded.append(pack(np.array([len(x) for x in row], dtype=np.int64), np.array([i for x in row for i in x], dtype=np.int64)))
         return pa.table({"block": part.column("block"), "bucket": part.column("bucket"),
                          "coded": pa.array(coded, pa.binary())})
     return run
@@ -205,10 +233,11 @@ def _assemble(vocabulary: Broadcast, ids_out: bool, text_out: bool):
         flat, begins = vocabulary.value.pieces()
         parts = [unpack(x) for x in coded.sort_by("bucket").column("coded").to_pylist()]
         counts = np.concatenate([p[0] for p in parts] or [np.empty(0, np.int64)]).astype(np.int64)
-        ids = np.concatenate([p[1] for p in parts] or [np.empty(0, "<u4")])
+        ids = np.concatenate([p[1] for p in parts] or [np.empty(0, np.int64)]).astype("<u4")
         starts = np.concatenate(([0], np.cumsum(counts)))
         doc_ids = layout.column("doc_ids").to_pylist()[0]
-        n_words, place, numbers = unpack(layout.column("layout").to_pylist()[0])
+        n_words, steps, numbers = unpack(layout.column("layout").to_pylist()[0])
+        place = np.cumsum(np.where(steps % 2, -(steps + 1) // 2, steps // 2))
         ends = np.cumsum(n_words, dtype=np.int64)
         n_tokens, left, right, own, said = [], [], [], [], []
         for a, b in zip([0, *ends.tolist()], ends.tolist()):

@@ -112,7 +112,8 @@ def test_decode_joins_the_token_table(spark, vocabulary, library):
 
 
 def test_packing():
-    for arrays in ([], [np.array([], int)], [np.array([1, 70000, 2 ** 32 - 1]), np.array([0] * 5)]):
+    for arrays in ([], [np.array([], int)], [np.array([1, 70000, 2 ** 32 - 1]), np.array([0] * 5)],
+                   [np.frombuffer(b"bytes \x00\xff", np.uint8), np.arange(3000), np.array([], np.uint8)]):
         back = W.unpack(W.pack(*arrays))
         assert len(back) == len(arrays) and all((a == b).all() for a, b in zip(arrays, back))
     words = [b"", b"a", "é".encode(), b"\x00\n", b"z" * 100000]
