@@ -22,43 +22,31 @@ from .operators import search as S
 from .operators.extract import explode_records, parse_payload
 from .operators.normalize import normalize_records
 from .operators.platforms import PLATFORMS
-from .operators.upsert import conform, merge
+from .operators.upsert import conform, merge, upsert_into
 from .session import work_dir
 from .sources.schemas import ITEM_COLUMNS, VEHICLES
-from .sources.store import (attach_bucketed, bucket_count, delete_dir, detach_bucketed, list_dirs, read_pointer,
-                            write_bucketed, write_pointer)
+from .sources.buckets import BucketTable
 
 
-class VehicleStore:
-    """Versioned vehicle table at ``root``: each write is a new folder, which
-    ``_current`` names once it is complete, so a write never disturbs a running
-    reader.  Versions are bucketed by VIN: a merge shuffles the items alone.
-    The last ``keep`` versions stay; older ones are deleted."""
+class VehicleStore(BucketTable):
+    """Versioned vehicle table at ``root``, in buckets by VIN: an upsert reads and
+    writes the buckets of its own VINs, and a write never disturbs a running
+    reader.  The last ``keep`` versions stay."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, keep: int = 3):
-        if keep < 1:
-            raise ValueError("one version has to stay")
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
-        self.buckets = buckets or bucket_count(spark)
+        super().__init__(spark, root, VEHICLES, "vin", buckets, keep)
 
-    def versions(self) -> list[str]:
-        return sorted(n for n in list_dirs(self.spark, self.root) if n.startswith("v="))
-
-    def read(self) -> DataFrame:
-        current = read_pointer(self.spark, self.root)
-        if current is None:
-            return self.spark.createDataFrame([], VEHICLES)
-        return attach_bucketed(self.spark, f"{self.root}/{current}", int(current.rsplit("-b", 1)[1]))
+    def _name(self, stamp: str | None = None) -> str:
+        return f"v={stamp or _dt.datetime.now(_dt.timezone.utc).strftime('%Y%m%dT%H%M%S%f')}-b{self.buckets}"
 
     def write(self, table: DataFrame, stamp: str | None = None) -> str:
-        stamp = stamp or _dt.datetime.now(_dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-        name = f"v={stamp}-b{self.buckets}"
-        write_bucketed(self.spark, conform(table), f"{self.root}/{name}", self.buckets)
-        write_pointer(self.spark, self.root, name)
-        for old in [v for v in self.versions() if v != name][: -(self.keep - 1) or None]:
-            detach_bucketed(self.spark, f"{self.root}/{old}")
-            delete_dir(self.spark, f"{self.root}/{old}")
-        return f"{self.root}/{name}"
+        """``table`` in place of all that is there; the name of the new version."""
+        return self.replace(conform(table), version=self.next(self._name(stamp))).name
+
+    def upsert(self, items: DataFrame, as_of, seq: list[str] | None = None, identity: str = "title",
+               stamp: str | None = None) -> DataFrame:
+        """Merge items by VIN; returns those that were turned down."""
+        return upsert_into(self, items, as_of, seq, identity, name=self._name(stamp))
 
 
 ARRIVAL = ["captured_at", "dealer", "page_no", "pos"]
@@ -90,15 +78,16 @@ def ingest(spark: SparkSession, captures: DataFrame, store: VehicleStore, as_of,
     work_dir(spark)
     allrec = allrec.checkpoint(eager=True)
     good = allrec.where(F.col("reject_reason").isNull()).select(*ITEM_COLUMNS, *[c for c in ARRIVAL if c not in ITEM_COLUMNS])
-    table, merge_rejects = merge(store.read(), good, as_of, seq=ARRIVAL, identity=identity,
-                                 cut=lambda df: df.checkpoint(eager=True))
+    if write:
+        merge_rejects = store.upsert(good, as_of, seq=ARRIVAL, identity=identity)
+        table = store.read()
+    else:
+        table, merge_rejects = merge(store.read(), good, as_of, seq=ARRIVAL, identity=identity,
+                                     cut=lambda df: df.checkpoint(eager=True))
     rejects = (allrec.where(F.col("reject_reason").isNotNull())
                .select("vin", F.col("reject_reason").alias("reason"), *ARRIVAL)
                .unionByName(merge_rejects.select("vin", F.array_join("violations", ",").alias("reason"),
                                                  *[F.col(f"_seq.{c}") for c in ARRIVAL])))
-    if write:
-        store.write(table)
-        table = store.read()
     return table, rejects
 
 

@@ -9,18 +9,21 @@ Set-based form of a per-item "update if present, else insert":
 3. one full outer join on ``vin`` with the current table: a supplied column
    (even NULL) overwrites, a column absent from the item schema keeps the
    stored value; audit timestamps are stamped with ``as_of``;
-4. the result is written as a new version; the table being read is never
-   overwritten in place.
+4. ``upsert_into`` writes the result as a new version of a table in buckets
+   (``sources.buckets``): only buckets that hold an incoming VIN are read and
+   written; the table being read is never overwritten in place.
 """
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.titles import parse_title
 from ..session import path_exists
+from ..sources.buckets import BucketTable
 from ..sources.schemas import VEHICLES, VEHICLES_REQUIRED
 
 ITEM_FIELDS = ["dealer", "title", "msrp", "price", "odometer", "ext_color", "int_color", "options",
@@ -172,6 +175,34 @@ def merge(target: DataFrame, items: DataFrame, as_of, seq: list[str] | None = No
     return conform(table), all_rejects
 
 
+def upsert_into(table: BucketTable, items: DataFrame, as_of, seq: list[str] | None = None,
+                identity: str = "title", rejects_to: str | None = None, name: str | None = None) -> DataFrame:
+    """Upsert ``items`` into a stored table: the buckets of their VINs are read,
+    merged and written anew, all others carried over.  Returns the rejects
+    (``merge``), written to the folder ``rejects_to`` (default: next to the table).
+
+    The items and the merged rows are used several times and kept (``persist``)
+    meanwhile; what a lost executor kept is worked out again."""
+    spark = items.sparkSession
+    version = table.next(name)
+    items = items.persist()
+    kept = [items]
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist())
+        return kept[-1]
+    try:
+        touched = table.touched(items)
+        merged, rejects = merge(table.read(touched), items, as_of, seq=seq, identity=identity, cut=keep)
+        path = rejects_to or f"{table.root}/_rejects/{version.name}-{uuid.uuid4().hex[:8]}"
+        rejects.write.parquet(path)
+        table.replace(merged, touched, version=version)
+        return spark.read.schema(rejects.schema).parquet(path)
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
 def _conform_with_seq(df: DataFrame) -> DataFrame:
     """Declared vehicle columns plus the hidden ``_seq`` state column."""
     have = set(df.columns)

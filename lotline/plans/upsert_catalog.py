@@ -10,9 +10,10 @@ from . import derived, inputs
 from .catalog import AS_OF, register
 from .oracle_views import register as register_view
 from ..functions.titles import DEFAULT_MAKE, DEFAULT_MODEL, MAKE_RE, MODEL_RE, YEAR_RE, parse_title
-from ..operators.upsert import bulk_insert, create_tables, insert_violations, latest_vehicles, merge
+from ..operators.upsert import bulk_insert, conform, create_tables, insert_violations, latest_vehicles, merge, upsert_into
 from ..session import work_dir
-from ..sources.store import bucketed_table, materialize_dir
+from ..sources.buckets import BucketTable
+from ..sources.store import bucket_count, build_once, materialize_dir
 from ..sources.schemas import ITEM_COLUMNS, RUNS, VEHICLES
 from ..streaming.upsert_stream import run_stream_upsert
 
@@ -89,14 +90,16 @@ _MERGED = (
     "FROM up_last s FULL OUTER JOIN up_target t ON s.vin = t.vin")
 
 
-def _stored_target(spark, sf):
-    """The vehicle table as stored before the new items arrive: bucketed by
-    VIN, so the merge join shuffles only the items."""
-    return bucketed_table(spark, "vehicles_before", lambda: _target(spark, sf), inputs.key(spark, sf))
+def stored_target(spark, sf) -> BucketTable:
+    """The vehicle table as stored before the new items arrive, in buckets by VIN (written once)."""
+    buckets = bucket_count(spark)
+    root = build_once(spark, f"vehicles_before-{buckets}", inputs.key(spark, sf),
+                      lambda path: BucketTable(spark, path, VEHICLES, buckets=buckets).replace(_target(spark, sf)))
+    return BucketTable(spark, root, VEHICLES)
 
 
 def _upsert(spark, sf):
-    table, rejects = merge(_stored_target(spark, sf), _items(spark, sf), AS_OF, seq=ITEM_SEQ, identity="title")
+    table, rejects = merge(stored_target(spark, sf).read(), _items(spark, sf), AS_OF, seq=ITEM_SEQ, identity="title")
     return table, rejects
 
 
@@ -105,6 +108,43 @@ def q_upsert_vehicles(spark, sf):
     return _upsert(spark, sf)[0]
 
 
+def _cloned(spark, sf) -> BucketTable:
+    """A table of its own that begins with the stored buckets."""
+    return stored_target(spark, sf).clone(f"{work_dir(spark)}/upserts/{uuid.uuid4().hex}")
+
+
+@register("upsert_store", _MERGED, ("up_last", "up_target"))
+def q_upsert_store(spark, sf):
+    """The items merged into the stored table bucket by bucket, and the next version read."""
+    table = _cloned(spark, sf)
+    upsert_into(table, _items(spark, sf), AS_OF, seq=ITEM_SEQ, identity="title")
+    return table.read()
+
+
+@register("upsert_store_rejects",
+          "SELECT vin, 'title' AS violations FROM up_items WHERE title IS NULL", ("up_items",))
+def q_upsert_store_rejects(spark, sf):
+    """What the stored upsert turned down, as written next to the table."""
+    rejects = upsert_into(_cloned(spark, sf), _items(spark, sf), AS_OF, seq=ITEM_SEQ, identity="title")
+    return rejects.select("vin", F.array_join("violations", ",").alias("violations"))
+
+
+@register("insert_store",
+          "SELECT * FROM up_target UNION ALL SELECT id, dealer, title, year, make, model, trim, vin, msrp, price, odometer, "
+          "ext_color, int_color, options, dealer_platform, source_url, scraped_at, scraped_at AS updated_at, "
+          "scraped_at AS created_at FROM (SELECT *, count(*) OVER (PARTITION BY vin) AS n FROM obs) "
+          "WHERE n = 1 AND vin NOT IN (SELECT vin FROM up_target)", ("obs", "up_target"))
+def q_insert_store(spark, sf):
+    """VINs sighted once and not stored yet, inserted under the unique-key rule; then the table."""
+    table = _cloned(spark, sf)
+    o = derived.obs(spark, sf)
+    once = o.groupBy("vin").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("vin")
+    new = conform(o.join(once, "vin", "left_semi").withColumn("updated_at", F.col("scraped_at"))
+                  .withColumn("created_at", F.col("scraped_at")))
+    table.insert(new.join(table.read().select("vin"), "vin", "left_anti"))
+    return table.read()
+
+
 @register("constraint_rejects",
           "SELECT vin, 'title' AS violations FROM up_items WHERE title IS NULL", ("up_items",))
 def q_constraint_rejects(spark, sf):

@@ -2,9 +2,9 @@
 once (keyed by its source and the code that derives it) and read back, which
 cuts the lineage and is the recovery point if an executor is lost.
 
-A table is a folder of complete versions and a file ``_current`` that names one
-of them.  A version is written under a name of its own and named in
-``_current`` afterwards, so readers never see half a table, and two drivers
+A table is a folder of complete versions and numbered files ``_current-<n>``, the
+last of which names one of them.  A version is written under a name of its own and
+named afterwards, so readers never see half a table, and two drivers
 that build the same table at once each finish a version of which one is used.
 """
 
@@ -22,11 +22,9 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def read_pointer(spark: SparkSession, folder: str) -> str | None:
-    """Version named by ``_current`` (None: none is complete yet)."""
-    fs, p = _fs(spark, f"{folder}/_current")
-    if not fs.exists(p):
-        return None
+def read_text(spark: SparkSession, path: str) -> str:
+    """Contents of a small file."""
+    fs, p = _fs(spark, path)
     stream = fs.open(p)
     try:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -34,20 +32,47 @@ def read_pointer(spark: SparkSession, folder: str) -> str | None:
         stream.close()
 
 
-def write_pointer(spark: SparkSession, folder: str, version: str) -> None:
-    """Name a complete version; the file appears whole, by a rename."""
-    fs, temp = _fs(spark, f"{folder}/_next-{uuid.uuid4().hex}")
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that is not there yet; it appears whole, by a rename
+    that does not overwrite.  False: there is one already."""
+    folder, name = path.rsplit("/", 1)
+    fs, temp = _fs(spark, f"{folder}/.next-{uuid.uuid4().hex}")
     out = fs.create(temp, False)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
-    _, p = _fs(spark, f"{folder}/_current")
-    if not fs.rename(temp, p):  # another driver's file stands
-        if fs.exists(p) and read_pointer(spark, folder) != version:
-            fs.delete(p, False)
-            fs.rename(temp, p)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    plain = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    final = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    try:
+        context.rename(fs.makeQualified(temp), fs.makeQualified(final), plain)
+        return True
+    except Exception:
+        fs.delete(temp, False)
+        if fs.exists(final):
+            return False
+        raise
+
+
+def read_pointer(spark: SparkSession, folder: str) -> str | None:
+    """The version named last (None: none is complete yet).  Versions are named by
+    numbered files, so a crash leaves the previous name in force."""
+    names = sorted(n for n, *_ in list_files(spark, folder) if n.startswith("_current-"))
+    return read_text(spark, f"{folder}/{names[-1]}") if names else None
+
+
+def write_pointer(spark: SparkSession, folder: str, version: str) -> None:
+    """Name a complete version in the next numbered file."""
+    while True:
+        names = sorted(n for n, *_ in list_files(spark, folder) if n.startswith("_current-"))
+        number = int(names[-1].rsplit("-", 1)[1]) + 1 if names else 0
+        if write_new(spark, f"{folder}/_current-{number:012d}", version):
+            for old in names[:-1]:  # the one before stays for readers that have listed it
+                delete_dir(spark, f"{folder}/{old}")
+            return
 
 
-def _once(spark: SparkSession, name: str, key: str, write) -> str:
+def build_once(spark: SparkSession, name: str, key: str, write) -> str:
     """Folder of the complete version of a written table, written by
     ``write(folder)`` unless there is one."""
     folder = f"{work_dir(spark)}/tables/{name}/{key}"
@@ -64,28 +89,28 @@ def _once(spark: SparkSession, name: str, key: str, write) -> str:
 
 def materialize(spark: SparkSession, name: str, build, key: str) -> DataFrame:
     """Write ``build()`` once under the shared work folder and read it back."""
-    return spark.read.parquet(_once(spark, name, key, lambda path: build().write.parquet(path)))
+    return spark.read.parquet(build_once(spark, name, key, lambda path: build().write.parquet(path)))
 
 
 def materialize_dir(spark: SparkSession, name: str, build, key: str) -> str:
     """Like ``materialize``; returns the folder of the files."""
-    return _once(spark, name, key, lambda path: build().write.parquet(path))
+    return build_once(spark, name, key, lambda path: build().write.parquet(path))
 
 
 def materialize_partitioned(spark: SparkSession, name: str, build, key: str, by: list[str]) -> DataFrame:
     """``materialize`` with a partitioned layout (directory per value of ``by``)."""
-    return spark.read.parquet(_once(spark, name, key, lambda path: build().write.partitionBy(*by).parquet(path)))
+    return spark.read.parquet(build_once(spark, name, key, lambda path: build().write.partitionBy(*by).parquet(path)))
 
 
 def materialize_text(spark: SparkSession, name: str, build, key: str) -> DataFrame:
     """Write a one-column (``value``) DataFrame as text once; read it back."""
-    return spark.read.text(_once(spark, name, key, lambda path: build().write.text(path)))
+    return spark.read.text(build_once(spark, name, key, lambda path: build().write.text(path)))
 
 
 def materialize_csv(spark: SparkSession, name: str, build, key: str) -> str:
     """Write a CSV (header, UTF-8) once under the shared work folder; return its path."""
-    return _once(spark, name, key,
-                 lambda path: build().write.option("header", True).option("encoding", "UTF-8").csv(path))
+    return build_once(spark, name, key,
+                      lambda path: build().write.option("header", True).option("encoding", "UTF-8").csv(path))
 
 
 def bucket_count(spark: SparkSession) -> int:
@@ -101,7 +126,7 @@ def bucketed_table(spark: SparkSession, name: str, build, key: str, buckets: int
     A merge join on ``by`` then reads the stored side already hash-partitioned:
     only the incoming items are shuffled, the stored table is not."""
     n = buckets or bucket_count(spark)
-    path = _once(spark, name, f"{key}-{n}", lambda path: write_bucketed(spark, build(), path, n, by))
+    path = build_once(spark, name, f"{key}-{n}", lambda path: write_bucketed(spark, build(), path, n, by))
     return attach_bucketed(spark, path, n, by)
 
 
