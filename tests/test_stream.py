@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from lotline.operators.upsert import merge
+from lotline.operators.upsert import last_per_key, merge
 from lotline.sources.schemas import VEHICLES
 from lotline.streaming.upsert_stream import run_stream_upsert
 
@@ -65,3 +65,65 @@ def test_deltas_grow_with_the_batch_and_rejects_stay(spark):
         else:
             assert t.base() > -1
     assert results[0] == results[1] and len(results[0]) == 41
+
+
+ITEM = "vin string, dealer string, dealer_platform string, source_url string, title string, price double, odometer int, seq int"
+
+
+def _table(spark, tmp_path, n=400, keep=2):
+    """A stream's table with n stored vehicles in 8 buckets."""
+    from lotline.streaming.upsert_stream import open_stream_table
+    rows = [(f"V{i}", "D", "Dealer.com", "https://u", f"2024 BMW X5 T{i}", float(i), i, 0) for i in range(n)]
+    items = spark.createDataFrame(rows, ITEM)
+    stored, _ = merge(spark.createDataFrame([], VEHICLES), items, AS_OF, seq=["seq"], keep_seq=True)
+    return open_stream_table(spark, str(tmp_path / "run"), items.schema, stored, AS_OF, ["seq"])
+
+
+def _upsert(spark, t, rows, batch_id, every=16):
+    t.upsert_batch(spark.createDataFrame([(v, "D", "Dealer.com", "https://u", "2025 BMW X3 N", p, 1, s) for v, p, s in rows], ITEM),
+                   batch_id, AS_OF, ["seq"], "title", every)
+
+
+def test_a_batch_reads_and_writes_its_buckets(spark, tmp_path):
+    from lotline.sources.store import list_dirs
+    t = _table(spark, tmp_path)
+    one = spark.createDataFrame([("V5",)], "vin string")
+    touched = t.touched(one)
+    # the stored side: one bucket's files, by bucket (no shuffle), and as state for the merge
+    stored = t.parts(touched)
+    assert {f.split("/")[-2] for f in stored.inputFiles()} == {f"_bucket={touched[0]}"}
+    plan = last_per_key(stored, "vin", ["_part"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SelectedBucketsCount" in plan
+    before = t.latest()
+    _upsert(spark, t, [("V5", 1.5, 7)], 0)
+    assert list_dirs(spark, f"{t.root}/delta/batch=0") == [f"_bucket={touched[0]}"]
+    assert {b for b, p in t.latest().parts.items() if p != before.parts[b]} == set(touched)
+    # a rerun of a batch that is there does nothing
+    version = t.latest()
+    _upsert(spark, t, [("V5", 99.0, 9)], 0)
+    assert t.latest() == version and t.read().where("vin = 'V5'").first().price == 1.5
+
+
+def test_old_generations_are_dropped(spark, tmp_path):
+    import glob
+    t = _table(spark, tmp_path, keep=1)
+    want = {f"V{i}": float(i) for i in range(400)}
+    for b in range(5):
+        rows = [(f"V{(37 * b + k) % 400}", 1000.0 * b + k, 10 + b) for k in range(3)]
+        want.update({v: p for v, p, _ in rows})
+        _upsert(spark, t, rows, b, every=2)
+        assert {r.vin: r.price for r in t.read().collect()} == want
+    # no bucket has more parts than deltas are let stand, and only parts of kept versions are on disk
+    assert all(len(p) <= 2 for p in t.latest().parts.values()) and t.done() == 4 and t.base() == 3 and t.deltas() == [4]
+    named = {f for n in t._numbers() for f in t.version(n).folders()}
+    found = {"/".join(p.split("/")[-3:]) for p in glob.glob(f"{t.root}/*/batch=*/_bucket=*") if "rejects" not in p}
+    assert found == named
+
+
+def test_a_stream_without_files_has_empty_rejects(spark, tmp_path):
+    items = spark.createDataFrame([], ITEM)
+    (tmp_path / "src").mkdir()
+    initial = spark.createDataFrame([], VEHICLES).withColumn("_seq", F.lit(None).cast("struct<seq:int>"))
+    t = run_stream_upsert(spark, str(tmp_path / "src"), items.schema, initial, AS_OF, ["seq"], run_dir=str(tmp_path / "run"))
+    assert t.read().count() == 0 and t.rejects().count() == 0
+    assert t.rejects().columns == ["vin", "violations", "_seq", "batch"]
