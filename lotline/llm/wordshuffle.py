@@ -139,14 +139,50 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def front_coded(rows: list) -> tuple[np.ndarray, np.ndarray, list]:
+    """For sequences in sorted order: how many first members each has in common
+    with the one before, how many follow, and those that follow."""
+    common_, more, rest, last = [], [], [], ()
+    for row in rows:
+        k, most = 0, min(len(row), len(last))
+        while k < most and row[k] == last[k]:
+            k += 1
+        common_.append(k)
+        more.append(len(row) - k)
+        rest.append(row[k:])
+        last = row
+    return np.array(common_, dtype=np.int64), np.array(more, dtype=np.int64), rest
+
+
 def pack_words(words: list[bytes]) -> bytes:
-    return pack(np.array([len(w) for w in words], dtype=np.int64), np.frombuffer(b"".join(words), np.uint8))
+    common_, more, rest = front_coded(words)
+    return pack(common_, more, np.frombuffer(b"".join(rest), np.uint8))
 
 
 def unpack_words(blob: bytes) -> list[bytes]:
-    lengths, data = unpack(blob)
-    data, ends = data.tobytes(), np.cumsum(lengths).tolist()
-    return [data[a:b] for a, b in zip([0, *ends], ends)]
+    common_, more, data = unpack(blob)
+    data, at, last, out = data.tobytes(), 0, b"", []
+    for k, n in zip(common_.tolist(), more.tolist()):
+        last = last[:k] + data[at: at + n]
+        at += n
+        out.append(last)
+    return out
+
+
+def pack_ids(rows: list[list[int]]) -> bytes:
+    common_, more, rest = front_coded(rows)
+    return pack(common_, more, np.array([i for r in rest for i in r], dtype=np.int64))
+
+
+def unpack_ids(blob: bytes) -> tuple[np.ndarray, list[int]]:
+    """(how many ids each word has, all of them)."""
+    common_, more, data = unpack(blob)
+    data, at, last, out = data.tolist(), 0, [], []
+    for k, n in zip(common_.tolist(), more.tolist()):
+        last = last[:k] + data[at: at + n]
+        at += n
+        out += last
+    return common_ + more, out
 
 
 def take_runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -222,7 +258,7 @@ def _encode_bucket(vocabulary: Broadcast):
                 if ids is None:
                     ids = known[w] = encode(w)
                 row.append(ids)
-            coded.append(pack(np.array([len(x) for x in row], dtype=np.int64), np.array([i for x in row for i in x], dtype=np.int64)))
+            coded.append(pack_ids(row))
         return pa.table({"block": part.column("block"), "bucket": part.column("bucket"),
                          "coded": pa.array(coded, pa.binary())})
     return run
@@ -231,9 +267,9 @@ def _encode_bucket(vocabulary: Broadcast):
 def _assemble(vocabulary: Broadcast, ids_out: bool, text_out: bool):
     def run(layout: pa.Table, coded: pa.Table) -> pa.Table:
         flat, begins = vocabulary.value.pieces()
-        parts = [unpack(x) for x in coded.sort_by("bucket").column("coded").to_pylist()]
-        counts = np.concatenate([p[0] for p in parts] or [np.empty(0, np.int64)]).astype(np.int64)
-        ids = np.concatenate([p[1] for p in parts] or [np.empty(0, np.int64)]).astype("<u4")
+        parts = [unpack_ids(x) for x in coded.sort_by("bucket").column("coded").to_pylist()]
+        counts = np.concatenate([p[0] for p in parts] or [np.empty(0, np.int64)])
+        ids = np.array([i for p in parts for i in p[1]], dtype="<u4")
         starts = np.concatenate(([0], np.cumsum(counts)))
         doc_ids = layout.column("doc_ids").to_pylist()[0]
         n_words, steps, numbers = unpack(layout.column("layout").to_pylist()[0])

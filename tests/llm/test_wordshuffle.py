@@ -116,6 +116,9 @@ def test_packing():
                    [np.frombuffer(b"bytes \x00\xff", np.uint8), np.arange(3000), np.array([], np.uint8)]):
         back = W.unpack(W.pack(*arrays))
         assert len(back) == len(arrays) and all((a == b).all() for a, b in zip(arrays, back))
+    rows = [[], [1], [1, 2], [1, 2, 3], [70000], [1]]
+    counts, ids = W.unpack_ids(W.pack_ids(rows))
+    assert counts.tolist() == [0, 1, 2, 3, 1, 1] and ids == [i for r in rows for i in r]
     words = [b"", b"a", "é".encode(), b"\x00\n", b"z" * 100000]
     assert W.unpack_words(W.pack_words(words)) == words and W.unpack_words(W.pack_words([])) == []
 
