@@ -218,13 +218,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text_out: bool = False
                                  ).withColumn("split", salts > 1)
         listed = edges.groupBy("rid").agg(F.collect_list(F.struct("shard", "split", "single", "start", "n")).alias("runs"))
         one = docs.select("rid", "text").join(listed, "rid")
+        if docs.groupBy("rid").count().where("count > 1").limit(1).count():
+            one = one.dropDuplicates(["rid"])       # of equal rows one fetches their common runs
         found = written(_matched(_slices(one, length), length), "matched")
         spans = spans.unionAll(found.where("kind = 0").select("rid", "start", "n"))
         if most > split:
-            again = found.where("kind = 1").groupBy("h1", "h2").agg(F.count("*").alias("k")).where("k > 1")
+            again = written(found.where("kind = 1").groupBy("h1", "h2").agg(F.count("*").alias("k")).where("k > 1")
+                            .select("h1", "h2"), "again")
             spans = spans.unionAll(found.where("kind = 1 and rid is not null").join(again, ["h1", "h2"], "left_semi")
                                    .select("rid", "start", "n"))
-    listed = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    # a set: equal rows name the same spans, and share the list
+    listed = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     return _cut(docs.join(listed, "rid", "left").select("doc_id", "text", "spans"), length, text_out)
 
 

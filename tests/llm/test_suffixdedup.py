@@ -78,3 +78,22 @@ def test_whole_table(spark):
     from lotline.llm.queries import QUERIES
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in QUERIES["op10_suffix_dedup"](spark, SF).collect()), key=repr) == brute(rows, 200)
+
+
+def test_equal_rows_share_one_list_of_spans(spark, monkeypatch):
+    """5,000 equal rows have the spans of one row of two, not those of all rows each."""
+    from pyspark.sql import functions as F
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abcdefghij \n") for _ in range(2300))
+    part = (2, text[300:900] + "".join(rnd.choice("klmnop") for _ in range(300)))
+    lists = []
+    cut = S._cut
+    monkeypatch.setattr(S, "_cut", lambda df, *a: lists.append(
+        df.select("doc_id", F.size("spans").alias("k")).distinct().collect()) or cut(df, *a))
+    got = {}
+    for n in (2, 5000):
+        rows = ours(spark, [(1, text)] * n + [part])
+        assert len(rows) == n + 1 and len(set(rows)) == 2
+        got[n] = set(rows)
+    assert got[2] == got[5000] == set(brute([(1, text)] * 2 + [part], 200))
+    assert sorted(lists[0]) == sorted(lists[1]) and len(lists[1]) == 2
