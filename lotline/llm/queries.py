@@ -100,22 +100,28 @@ def decontamination(spark, sf_dir):
     return decontaminate.contaminated(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"))
 
 
-@query("op6_line_dedup", """
+# a run is three lines, or one or two of so many words together
+LINE_WORDS = 50
+
+
+@query("op6_line_dedup", f"""
 WITH d AS (SELECT *, row_number() OVER () AS r FROM documents),
 l AS (SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM d),
-f AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY ln) AS i
+f AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY ln) AS i, len(string_split_regex(x, '[\\s\\x0B]+')) AS w
       FROM (SELECT r, doc_id, text, regexp_replace(x, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS x, ln FROM l) WHERE x <> ''),
-g AS (SELECT *, lead(x) OVER w AS x1, lead(x, 2) OVER w AS x2, lead(ln) OVER w AS ln1, lead(ln, 2) OVER w AS ln2
-      FROM f WINDOW w AS (PARTITION BY r ORDER BY i)),
-k AS (SELECT *, first_value(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY x, x1, x2 ORDER BY doc_id, i) AS first
-      FROM g WHERE x2 IS NOT NULL),
-gone AS (SELECT DISTINCT r, unnest([ln, ln1, ln2]) AS ln FROM k WHERE first.d <> doc_id OR first.i <> i),
+g AS (SELECT *, lead(x) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(ln) OVER o AS ln1, lead(ln, 2) OVER o AS ln2, lead(w) OVER o AS w1
+      FROM f WINDOW o AS (PARTITION BY r ORDER BY i)),
+runs AS (SELECT 3 AS size, r, doc_id, i, x, x1, x2, [ln, ln1, ln2] AS lns FROM g WHERE x2 IS NOT NULL
+         UNION ALL SELECT 2, r, doc_id, i, x, x1, NULL, [ln, ln1] FROM g WHERE x1 IS NOT NULL AND w + w1 >= {LINE_WORDS}
+         UNION ALL SELECT 1, r, doc_id, i, x, NULL, NULL, [ln] FROM g WHERE w >= {LINE_WORDS}),
+k AS (SELECT *, first_value(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY size, x, x1, x2 ORDER BY doc_id, i) AS first FROM runs),
+gone AS (SELECT DISTINCT r, unnest(lns) AS ln FROM k WHERE first.d <> doc_id OR first.i <> i),
 kept AS (SELECT l.r, string_agg(x, chr(10) ORDER BY ln) AS text FROM l ANTI JOIN gone USING (r, ln) GROUP BY 1)
 SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines, coalesce(c.n, 0) AS n_removed,
        sha256(coalesce(kept.text, '')) AS text_sha256
 FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY 1) c USING (r)""")
 def line_dedup(spark, sf_dir):
-    out = linededup.remove_repeated_lines(common.documents(spark, sf_dir))
+    out = linededup.remove_repeated_lines(common.documents(spark, sf_dir), words=LINE_WORDS)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 

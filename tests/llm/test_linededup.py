@@ -93,3 +93,17 @@ def test_long_repeats_of_one_or_two_lines_go(spark):
     rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(0, 8)))) for i in range(120)]
     for run, words in ((3, 10), (2, 8), (4, 14)):
         assert ours(spark, rows, run=run, words=words) == brute_words(rows, run, words) != brute(rows, run)
+
+
+def test_whole_table(spark):
+    """The query takes long repeats of one or two lines as well; of lines of 50 words or more none is left twice."""
+    import hashlib
+    from lotline.llm.queries import QUERIES
+    from tests.llm.conftest import SF
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute_words(rows)
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.text_sha256) for r in QUERIES["op6_line_dedup"](spark, SF).collect()), key=repr)
+    assert got == sorted(((d, n, k, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, n, k in want), key=repr)
+    assert want != brute(rows)
+    long = [x.strip() for _, t, _, _ in want for x in (t or "").split("\n") if len(x.split()) >= 50]
+    assert len(long) == len(set(long))

@@ -14,13 +14,13 @@ from tests.llm.conftest import SF
 
 def test_one_query_for_each_operator():
     numbered = [m[1] for k in E.queries() if (m := re.match(r"op(\d+)_", k))]
-    assert sorted(map(int, numbered)) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(map(int, numbered)) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
-@pytest.mark.parametrize("key", ["op2_decontamination", "op6_line_dedup", "op7_warc", "op9_chat_format"])
+@pytest.mark.parametrize("key", ["op2_decontamination", "op6_line_dedup", "op7_warc", "op9_chat_format", "op13_filter_audit"])
 def test_matches_sql(spark, key):
     con = duckdb.connect()
-    for t in "documents benchmark pages conversations".split():
+    for t in "documents benchmark pages conversations labels".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = E.queries()[key](spark, SF)
     rel = con.execute(E.oracle_sql()[key])
