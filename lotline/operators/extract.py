@@ -69,6 +69,19 @@ def extract(spec: PlatformSpec, captures: DataFrame, keep=("dealer", "page_no",
     return explode_records(spec, parse_payload(caps), keep)
 
 
+def shredded_records(spec: PlatformSpec, captures: DataFrame,
+                     keep=("dealer", "page_no", "source_url", "captured_at")) -> DataFrame:
+    """Records of one platform as they are stored: (keep..., path, pos, kind, rec).
+
+    ``kind`` is the record's type (OBJECT, STRING, ...); ``rec`` is null unless it is an
+    object.  A column of objects only is written as shredded VARIANT (one Parquet
+    column per frequent key), so whoever reads the table later reads the keys that
+    are asked for, and parses nothing."""
+    recs = extract(spec, captures, keep)
+    return recs.select(*keep, "path", "pos", F.regexp_extract(F.schema_of_variant("rec"), "^[A-Z]+", 0).alias("kind"),
+                       F.when(V.is_object_cheap(F.col("rec")), F.col("rec")).alias("rec"))
+
+
 # ---------------------------------------------------------------- diagnostics
 def _py_type(v: Column, default_missing: str) -> Column:
     t = V.vtype(v)

@@ -16,7 +16,7 @@ off instead of failing the job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -38,7 +38,9 @@ def apart(df: DataFrame, cols: list[Column]) -> DataFrame:
 class Rec:
     """Access to the staged key columns of a record."""
 
-    def __init__(self, keys):
+    def __init__(self, keys, stored: bool = False):
+        # stored records carry their type: whether one is an object is not read from it
+        self.stored = stored
         # Columns are named by position: keys such as 'vin' and 'VIN' differ
         # only by case, and column names resolve case-insensitively.
         self.keys = list(dict.fromkeys(keys))
@@ -58,7 +60,7 @@ class Rec:
         cast of the record to a struct of all keys), then types, then truthiness."""
         rec = F.col("rec")
         return [[V.get(rec, k).alias(f"_f{self.idx[k]}") for k in self.keys],
-                [V.is_object_cheap(rec).alias("_obj_rec"),
+                [(F.coalesce(F.col("kind") == "OBJECT", F.lit(False)) if self.stored else V.is_object_cheap(rec)).alias("_obj_rec"),
                  *[F.schema_of_variant(self.v(k)).alias(f"_t{self.idx[k]}") for k in self.keys]],
                 [V.truthy(self.v(k), self.t(k)).alias(f"_b{self.idx[k]}") for k in self.keys]]
 
@@ -228,54 +230,95 @@ def _row_errors(spec: PlatformSpec, r: Rec) -> dict[str, Column]:
     return errs
 
 
-def spec_keys(spec: PlatformSpec) -> list[str]:
-    keys = ["make"]
-    for rule in spec.fields.values():
-        keys.extend(rule.keys)
+def needed_fields(spec: PlatformSpec, fields: tuple[str, ...] | None) -> list[str]:
+    """Fields whose keys have to be read for ``fields`` (None: all) and for the reject reason."""
+    if fields is None:
+        return list(spec.fields)
+    want = {*fields, "vin"} | {f for f, e in (("odometer", "bad_odometer"), ("source_url", "bad_url")) if e in spec.row_errors}
+    if "title" in want:
+        want |= {"year", "make", "model", "trim"}
+    return [f for f in spec.fields if f in want]
+
+
+def spec_keys(spec: PlatformSpec, fields: tuple[str, ...] | None = None) -> list[str]:
+    names = needed_fields(spec, fields)
+    keys = ["make"] if "make" in names else []
+    for name in names:
+        keys.extend(spec.fields[name].keys)
     return keys
 
 
-_PLANS: dict[int, tuple] = {}
+_PLANS: dict[tuple, tuple] = {}
 
 
-def _plan(spec: PlatformSpec) -> tuple[list[list[Column]], dict[str, Column], Column]:
+def _plan(spec: PlatformSpec, fields: tuple[str, ...] | None = None,
+          stored: bool = False) -> tuple[list[list[Column]], dict[str, Column], Column]:
     """(stages, item columns, reject reason) of a platform.  They do not depend
     on the data, so they are built once: each part of an expression costs a
     call into the JVM."""
-    known = _PLANS.get(id(spec))
+    known = _PLANS.get((id(spec), fields, stored))
     if known is not None:
         return known[1]
-    r = Rec(spec_keys(spec))
+    names = needed_fields(spec, fields)
+    r = Rec(spec_keys(spec, fields), stored)
     stages = r.stages()
-    stages.append(r.stage_chains(spec.fields.values()))
+    stages.append(r.stage_chains([spec.fields[n] for n in names]))
     ctx = {"source_url": F.col("source_url")}
     cols: dict[str, Column] = {}
-    for name, rule in spec.fields.items():
+    for name in names:
+        rule = spec.fields[name]
         if name != "title":
             cols[name] = FIELD_BUILDERS[rule.kind](r, rule, ctx)
-    cols["title"] = _title(spec, r, cols)
+    if "title" in names:
+        cols["title"] = _title(spec, r, cols)
     vin = r.chain(spec.fields["vin"])
     reason = F.when(~F.col("_obj_rec"), F.lit("not_object")) \
               .when(~V.truthy(*vin), F.lit("no_vin")) \
               .when(V.is_array(*vin) | V.is_object(*vin), F.lit("bad_vin"))
     for name, cond in _row_errors(spec, r).items():
         reason = reason.when(cond, F.lit(name))
-    out = {c: cols[c].cast(ITEM[c].dataType).alias(c) for c in ITEM_COLUMNS if c in cols and c != "dealer"}
-    _PLANS[id(spec)] = (spec, (stages, out, reason.alias("reject_reason")))
-    return _PLANS[id(spec)][1]
-
-
-def normalize_records(spec: PlatformSpec, records: DataFrame) -> DataFrame:
-    """records(dealer, source_url, rec, ...) -> items + ``reject_reason``."""
-    keep = [c for c in records.columns if c != "rec"]
-    stages, cols, reason = _plan(spec)
-    staged = records.select(*keep, "rec")
+    out = {c: cols[c].cast(ITEM[c].dataType).alias(c) for c in ITEM_COLUMNS
+           if c in cols and c != "dealer" and (fields is None or c in fields)}
+    _PLANS[id(spec), fields, stored] = (spec, (stages, out, reason.alias("reject_reason")))
+    return _PLANS[id(spec), fields, stored][1]
+
+
+def normalize_records(spec: PlatformSpec, records: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """records(dealer, source_url, rec, ...) -> items + ``reject_reason``.
+
+    ``fields``: item fields to work out; only their keys (and those that a reject
+    reason depends on) are looked up.  With stored records (``kind`` and a shredded
+    ``rec``) no other key is read from the file."""
+    stored = "kind" in records.columns
+    keep = [c for c in records.columns if c not in ("rec", "kind")]
+    stages, cols, reason = _plan(spec, fields, stored)
+    if stored:
+        # looked up in the scan's own projection, so that the scan reads these keys only
+        staged = records.select(*keep, "kind", *stages[0])
+        stages = stages[1:]
+    else:
+        staged = records.select(*keep, "rec")
     for stage in stages:
-        staged = apart(staged, stage)
+        if stage:
+            staged = apart(staged, stage)
     return staged.select(*[c for c in keep if c != "source_url"], *cols.values(),
                          F.lit(spec.label).alias("dealer_platform"), reason)
 
 
+def split_items(specs, records: DataFrame, path: str) -> dict[str, int]:
+    """Items and rejects of stored records (with a ``platform`` column) in one pass: one
+    write to ``path`` in folders by platform and ``reject_reason`` (null: accepted).
+    Returns {'records', 'rejected'}, counted along the way (``observe``)."""
+    parts = [normalize_records(spec, records.where(F.col("platform") == spec.name)) for spec in specs]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    seen = Observation()
+    out = out.observe(seen, F.count(F.lit(1)).alias("records"), F.count("reject_reason").alias("rejected"))
+    out.write.partitionBy("platform", "reject_reason").parquet(path)
+    return seen.get
+
+
 def normalize(spec: PlatformSpec, captures: DataFrame, with_rejects: bool = False) -> DataFrame:
     """Captures of one platform -> accepted listing items (14 columns + page keys).
 

@@ -137,14 +137,38 @@ def q_filter_vin(spark, sf):
           "SELECT dealer_platform, reject_reason, count(*) AS n FROM caprec WHERE reject_reason IS NOT NULL "
           "GROUP BY ALL", ("caprec",))
 def q_rejects_by_reason(spark, sf):
-    caps = _caps(spark, sf)
-    parts = [N.normalize(spec, caps.where(F.col("platform") == spec.name), with_rejects=True)
+    """From the stored records: only the keys that a reason depends on are read."""
+    recs = inputs.records(spark, sf)
+    parts = [N.normalize_records(spec, recs.where(F.col("platform") == spec.name), ())
              .where(F.col("reject_reason").isNotNull()).select("dealer_platform", "reject_reason")
              for spec in (DEALERCOM, ROADSTER)]
     return parts[0].unionByName(parts[1]).groupBy("dealer_platform", "reject_reason").agg(
         F.count(F.lit(1)).alias("n"))
 
 
+@register("split_accepted", f"SELECT {ITEM_SQL}, page_no, pos FROM expected_items WHERE reject_reason IS NULL", ("expected_items",))
+def q_split_accepted(spark, sf):
+    """The accepted folder of the write that holds items and rejects."""
+    return inputs.split_items(spark, sf).where("reject_reason IS NULL").select(*N.ITEM_COLUMNS, "page_no", "pos")
+
+
+@register("split_rejects",
+          "SELECT dealer, page_no, pos, dealer_platform, reject_reason FROM caprec WHERE reject_reason IS NOT NULL", ("caprec",))
+def q_split_rejects(spark, sf):
+    """The folders of rejected records of the same write, by reason."""
+    return inputs.split_items(spark, sf).where("reject_reason IS NOT NULL").select(
+        "dealer", "page_no", "pos", "dealer_platform", "reject_reason")
+
+
+@register("normalize_records", f"SELECT {ITEM_SQL}, page_no, pos FROM expected_items WHERE reject_reason IS NULL", ("expected_items",))
+def q_normalize_records(spark, sf):
+    """All fields of all platforms from the stored records, without parsing a page."""
+    recs = inputs.records(spark, sf)
+    parts = [N.normalize_records(spec, recs.where(F.col("platform") == spec.name)).where("reject_reason IS NULL")
+             .select(*N.ITEM_COLUMNS, "page_no", "pos") for spec in (DEALERCOM, ROADSTER)]
+    return parts[0].unionByName(parts[1])
+
+
 def _normalized(spec, spark, sf):
     caps = _caps(spark, sf).where(F.col("platform") == spec.name)
     return N.normalize(spec, caps).select(*N.ITEM_COLUMNS, "page_no", "pos")
@@ -169,10 +193,17 @@ def q_ingest_all_platforms(spark, sf):
     return N.normalize_all([DEALERCOM, ROADSTER], _caps(spark, sf))
 
 
-# Per-field keys: each checks one coercion rule over the whole capture table.
+# Per-field keys: each checks one coercion rule over the whole table of stored
+# records, of which it reads the field's keys only.
+def _fields(spec, spark, sf, *fields):
+    recs = inputs.records(spark, sf).where(F.col("platform") == spec.name)
+    return N.normalize_records(spec, recs, fields).where(F.col("reject_reason").isNull()).select(
+        "dealer", "page_no", "pos", *fields)
+
+
 def _field_query(spec, field):
     def q(spark, sf):
-        return _normalized(spec, spark, sf).select("dealer", "page_no", "pos", field)
+        return _fields(spec, spark, sf, field)
     return q
 
 
@@ -196,7 +227,7 @@ for _key, _spec, _field in [
           "SELECT dealer, page_no, pos, ext_color, int_color, msrp FROM expected_items "
           "WHERE platform = 'dealercom' AND reject_reason IS NULL", ("expected_items",))
 def q_first_truthy(spark, sf):
-    return _normalized(DEALERCOM, spark, sf).select("dealer", "page_no", "pos", "ext_color", "int_color", "msrp")
+    return _fields(DEALERCOM, spark, sf, "ext_color", "int_color", "msrp")
 
 
 _DIAG_FOUND = [1, 2, 3, 4, 5, 3]  # step at which each Roadster page shape finds its list

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import derived
 from ..operators.upsert import latest_vehicles
-from ..sources.store import list_files, materialize, materialize_partitioned
+from ..sources.store import build_once, list_files, materialize, materialize_partitioned
 
 SEQ = ["scraped_at", "l_orderkey", "l_linenumber"]
 # Salt for the written-table keys; a benchmark sets a fresh one to time the builds.
@@ -69,3 +70,28 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         return build_captures(derived.obs(spark, sf_dir))
 
     return materialize_partitioned(spark, "captures", build, key(spark, sf_dir), ["platform"])
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all captured pages, parsed once and stored as shredded
+    VARIANT in folders by platform: a query on a few fields reads their keys only."""
+    from ..operators.extract import shredded_records
+    from ..operators.platforms import PLATFORMS
+
+    def build() -> DataFrame:
+        caps = captures(spark, sf_dir)
+        out = None
+        for spec in PLATFORMS.values():
+            part = shredded_records(spec, caps).withColumn("platform", F.lit(spec.name))
+            out = part if out is None else out.unionByName(part)
+        return out
+    return materialize_partitioned(spark, "records", build, key(spark, sf_dir), ["platform"])
+
+
+def split_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted items and rejected records, written in one pass, in folders by platform and reason."""
+    from ..operators.normalize import split_items as split
+    from ..operators.platforms import PLATFORMS
+    path = build_once(spark, "split_items", key(spark, sf_dir),
+                      lambda path: split(list(PLATFORMS.values()), records(spark, sf_dir), path))
+    return spark.read.parquet(path)
