@@ -3,7 +3,7 @@ map-to-rows, field defaults and the status / duration / cost labels."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import variant as V
@@ -17,6 +17,27 @@ def parse_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.select(F.try_parse_json(F.col(col)).alias("doc")).where(F.col("doc").isNotNull())
 
 
+def parse_files(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Every line of a text scan with where it is from and its document:
+    (file, block_start, line, doc).  ``doc`` is NULL for a line that is not valid JSON;
+    file and first byte of the block that was read stand for the place."""
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"),
+                        F.col(col).alias("line"), F.try_parse_json(F.col(col)).alias("doc"))
+
+
+def write_parsed(lines: DataFrame, path: str) -> dict[str, int]:
+    """The log in one pass: documents to the folder ``kind=document`` of ``path`` and
+    lines that are none, with their place, to ``kind=rejected``.  Returns {'lines',
+    'rejected'}, counted along the way."""
+    seen = Observation()
+    bad = F.col("doc").isNull()
+    out = parse_files(lines).select("file", "block_start", F.when(bad, F.col("line")).alias("line"), F.to_json("doc").alias("doc"),
+                                    F.when(bad, "rejected").otherwise("document").alias("kind"))
+    out = out.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("kind") == "rejected").alias("rejected"))
+    out.write.partitionBy("kind").parquet(path)
+    return seen.get
+
+
 def alt(*vals: Column) -> Column:
     """``a // b // c``: the first operand that is neither null nor false."""
     expr = None

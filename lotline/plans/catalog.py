@@ -345,6 +345,7 @@ def q_run_totals(spark, sf):
 from . import capture_catalog  # noqa: E402,F401
 from . import upsert_catalog  # noqa: E402,F401
 from . import misc_catalog  # noqa: E402,F401
+from . import store_catalog  # noqa: E402,F401
 
 
 _CSV_COLS = ["name", "city", "website", "phone"]

@@ -90,6 +90,9 @@ _MERGED = (
     "FROM up_last s FULL OUTER JOIN up_target t ON s.vin = t.vin")
 
 
+register_view("up_merged", ["up_last", "up_target"], _MERGED)
+
+
 def stored_target(spark, sf) -> BucketTable:
     """The vehicle table as stored before the new items arrive, in buckets by VIN (written once)."""
     buckets = bucket_count(spark)
