@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -44,6 +46,24 @@ def apply_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python (once an application), so that
+    tasks find it wherever they run; Spark serves the file from the driver."""
+    ctx = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if ctx.applicationId in _shipped or not root.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="lotline-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    ctx.addPyFile(str(path))
+    _shipped.add(ctx.applicationId)
+
+
 _WORK_DIRS: dict[str, str] = {}
 
 
