@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import apply_conf, work_dir
+from ..session import apply_conf, ship, work_dir
 from ..sources.store import delete_dir
 from ..sources.tables import table
 
@@ -23,24 +20,6 @@ ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 BROADCAST_ROWS = 100_000
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package to the executors' Python (once an application), so that
-    tasks find it wherever they run; Spark serves the file from the driver."""
-    ctx = spark.sparkContext
-    root = Path(__file__).resolve().parents[1]
-    if ctx.applicationId in _shipped or not root.is_dir():
-        return
-    path = Path(tempfile.mkdtemp(prefix="lotline-code-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    ctx.addPyFile(str(path))
-    _shipped.add(ctx.applicationId)
-
-
 def settle(spark: SparkSession) -> None:
     """Settings every query of this subpackage relies on."""
     apply_conf(spark)
