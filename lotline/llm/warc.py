@@ -34,9 +34,9 @@ RANGE_BYTES = 8 << 20
 TASK_BYTES = 128 << 20
 CHUNK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
+SIGN = b"WARC/1."
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HEADER_LIMIT = 1 << 20
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -150,13 +150,14 @@ def _member(w: _Window, start: int) -> tuple[bytes, int] | None:
                 return None
             out.append(un.decompress(data))
             at += len(data)
-            if len(head) < HEADER_LIMIT and b"\r\n\r\n" not in head:
-                head += out[-1]
-                if head and not b"WARC/1.".startswith(head[:7]) or len(head) >= HEADER_LIMIT and b"\r\n\r\n" not in head:
+            if len(head) < len(SIGN):       # the first bytes rule a candidate out; its header may be of any length
+                head += out[-1][: len(SIGN) - len(head)]
+                if not SIGN.startswith(head):
                     return None
     except zlib.error:
         return None
-    return (b"".join(out), at - len(un.unused_data)) if b"\r\n\r\n" in head else None
+    content = b"".join(out)
+    return (content, at - len(un.unused_data)) if head == SIGN and b"\r\n\r\n" in content else None
 
 
 def read_range(file, size: int, start: int, end: int) -> Iterator[dict]:
@@ -214,5 +215,11 @@ def read(files: DataFrame, range_bytes: int = RANGE_BYTES, payload: bool = False
 
 
 def round_trip(pages: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Pages written as archives and read back."""
-    return read(write(pages), range_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Pages written as archives and read back; fewer or more records than were
+    written are an error."""
+    files = write(pages)
+    rows = written(read(files, range_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    wrote, found = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], rows.count()
+    if wrote != found:
+        raise RuntimeError(f"{wrote} records were written and {found} read")
+    return rows

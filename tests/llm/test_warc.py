@@ -65,3 +65,19 @@ def test_whole_table(spark):
     from lotline.llm.queries import QUERIES
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted((tuple(r) for r in QUERIES["op7_warc"](spark, SF).collect()), key=repr) == expected(rows)
+
+
+def test_a_long_header_is_read_back(spark):
+    """A URL of megabytes that hardly compresses makes a header longer than any chunk."""
+    import random
+    rnd = random.Random(6)
+    rows = [(1, "http://a/" + "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=3_000_000)), "x" * 200), (2, "u", "x" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=repr) == expected(rows)
+
+
+def test_lost_records_are_an_error(spark, pages, monkeypatch):
+    read = warc.read
+    monkeypatch.setattr(warc, "read", lambda *a: read(*a).limit(3))
+    with pytest.raises(RuntimeError, match="12 records were written and 3 read"):
+        warc.round_trip(pages)
