@@ -21,7 +21,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 RUN = 3
 
@@ -98,13 +98,14 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN, words: int | None = N
     later = runs.join(first, keys).where("rid <> first_rid or i <> first_i")
     gone = later.select("rid", F.explode("gone").alias("g")).groupBy("rid").agg(F.collect_set("g").alias("gone"))
 
-    out = keyed.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(
-        gone.select(F.col("rid").alias("__rid"), F.col("gone").alias("__gone")), "__rid", "left")
+    row, cut, text_lines = free(keyed, "rid", "gone", "lines")
+    out = keyed.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), "text")).join(
+        gone.select(F.col("rid").alias(row), F.col("gone").alias(cut)), row, "left")
     split = F.split("text", "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    out = out.withColumn("__lines", split)
-    kept = F.transform(places, lambda i: F.get("__lines", i))
-    out = out.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size("__lines")), F.lit(0)).cast("long"))
-    out = out.withColumn("n_removed", F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    places = F.array_except(F.sequence(F.lit(0), F.size(text_lines) - 1), F.col(cut))
+    out = out.withColumn(text_lines, split)
+    kept = F.transform(places, lambda i: F.get(text_lines, i))
+    out = out.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(text_lines)), F.lit(0)).cast("long"))
+    out = out.withColumn("n_removed", F.coalesce(F.when(F.col(cut).isNotNull(), F.size(cut)), F.lit(0)).cast("long"))
+    out = out.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     return out.select(*keyed.columns, "n_lines", "n_removed")

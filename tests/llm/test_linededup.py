@@ -107,3 +107,13 @@ def test_whole_table(spark):
     assert want != brute(rows)
     long = [x.strip() for _, t, _, _ in want for x in (t or "").split("\n") if len(x.split()) >= 50]
     assert len(long) == len(set(long))
+
+
+def test_clashing_names_come_through(spark):
+    names = ["rid", "gone", "lines", "_rid", "__rid", "__gone", "__lines", "h", "at", "i"]
+    df = spark.createDataFrame([(1, "a\nb\nc", *names), (2, "a\nb\nc\nd", *names)], ", ".join(
+        ["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    out = L.remove_repeated_lines(df, words=50)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert all(r[n] == n for r in rows.values() for n in names) and rows[2].text == "d" and rows[1].n_removed == 0
