@@ -13,7 +13,7 @@ one's ``docs``.  All but the last return the columns of documents:
 5. BPE               token count and hashes of ids and decoded text
 
 Rows without an id are kept by every filter that needs no id; of rows with
-equal id and text one stays in stage 3.  Empty tables give empty results.
+equal id and text one stays in stage 3, the least by its other columns.  Empty tables give empty results.
 ``ORACLE_SQL`` is None: SQL does not express the training of stage 1.
 """
 
@@ -52,22 +52,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # written first, so that the join reads plain shuffles, which can be split
     first = common.written(first.where("k > 1").select("group_id", F.col("first.rid").alias("first")), "first")
     gone = common.written(rows.join(first, "group_id").where("rid <> first").select("rid").distinct(), "gone")
-    out = common.join_counted(docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), "text")),
-                              gone.withColumnRenamed("rid", "__rid"), "__rid", "left_anti")
+    row, = common.free(docs, "rid")
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    out = common.join_counted(docs.withColumn(row, key), gone.withColumnRenamed("rid", row), row, "left_anti")
     if rows.groupBy("rid").count().where("count > 1").limit(1).count():
-        again = rows.groupBy("rid").count().where("count > 1").select(F.col("rid").alias("__rid"))
-        out = out.join(again, "__rid", "left_anti").unionByName(
-            out.join(again, "__rid", "left_semi").dropDuplicates(["__rid"]))
+        again = rows.groupBy("rid").count().where("count > 1").select(F.col("rid").alias(row))
+        # of rows equal in id and text the least by the other columns, so a run is like the next
+        others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
+        one = (out.join(again, row, "left_semi").groupBy(row).agg(F.min_by(F.struct(*docs.columns), others).alias("one"))
+               .select(row, *[F.col("one")[c].alias(c) for c in docs.columns]))
+        out = out.join(again, row, "left_anti").unionByName(one)
     return out.select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.settle(spark)
-    keyed = docs.withColumn("__rid", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    pairs = decontaminate.contaminated(keyed.select(F.col("__rid").alias("doc_id"), "text"),
+    row, = common.free(docs, "rid")
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    pairs = decontaminate.contaminated(keyed.select(F.col(row).alias("doc_id"), "text"),
                                        common.table(spark, sf_dir, "benchmark"))
-    gone = common.written(pairs.select(F.col("doc_id").alias("__rid")).distinct(), "leaks")
-    return common.join_counted(keyed, gone, "__rid", "left_anti").select(*docs.columns)
+    gone = common.written(pairs.select(F.col("doc_id").alias(row)).distinct(), "leaks")
+    return common.join_counted(keyed, gone, row, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
