@@ -17,7 +17,7 @@ from .oracle_views import with_views
 from ..operators import dealers as dealer_ops
 from ..operators import runs as run_ops
 from ..operators import search as S
-from ..operators.upsert import duplicate_vins, first_seen, last_per_key
+from ..operators.upsert import duplicate_vins, first_seen, last_per_key, last_rows
 from ..sources.schemas import API_COLUMNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +174,15 @@ def q_dedup_vin(spark, sf):
     return last_per_key(o, "vin", inputs.SEQ).select("vin", "dealer", "price", "scraped_at")
 
 
+@register("last_rows",
+          "SELECT vin, dealer, price, scraped_at FROM (SELECT *, row_number() OVER (PARTITION BY vin "
+          "ORDER BY scraped_at DESC, l_orderkey DESC, l_linenumber DESC) AS rn FROM obs) WHERE rn = 1", ("obs",))
+def q_last_rows(spark, sf):
+    """The last sighting of each VIN by a packed order key."""
+    o = derived.obs(spark, sf).select("vin", "dealer", "price", *inputs.SEQ)
+    return last_rows(o, "vin", inputs.SEQ).select("vin", "dealer", "price", "scraped_at")
+
+
 @register("first_seen", "SELECT vin, min(scraped_at) AS first_seen FROM obs GROUP BY vin", ("obs",))
 def q_first_seen(spark, sf):
     return first_seen(derived.obs(spark, sf))

@@ -102,3 +102,24 @@ def test_create_tables_and_bulk_insert(spark, tmp_path):
     assert spark.read.parquet(paths["scrape_runs"]).columns[:3] == ["id", "platform", "status"]
     bulk_insert(_target(spark, [("V1", "t", 1.0), ("V2", "u", 2.0)]), paths["vehicles"])
     assert spark.read.parquet(paths["vehicles"]).count() == 2
+
+
+def test_last_rows_by_a_packed_order(spark):
+    import random
+    from lotline.operators.upsert import last_per_key, last_rows, packed_order
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["a", "b", "c", None]), rnd.choice([None, T0, T0 + dt.timedelta(microseconds=rnd.randrange(9))]),
+             rnd.choice([None, -5, 2 ** 40]), i, str(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "vin string, at timestamp_ntz, big bigint, n int, note string")
+    order = ["at", "big", "n"]
+    got = last_rows(df, "vin", order)
+    # nulls come first in both
+    assert sorted(map(str, got.collect())) == sorted(map(str, last_per_key(df, "vin", order).select(*df.columns).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan and "partial_max(" in plan
+    # an order of 38 digits and more, or of text, is left to the other way
+    wide = spark.createDataFrame([("a", -2 ** 62, 2 ** 62, 1), ("a", 2 ** 62, -2 ** 62, 2), ("a", 2 ** 62, -2 ** 62, 3)],
+                                 "vin string, x bigint, y bigint, n int")
+    assert packed_order(wide.withColumn("z", F.col("x")), ["x", "y", "z"]) is None and packed_order(df, ["note"]) is None
+    assert last_rows(wide.withColumn("z", F.col("x")), "vin", ["x", "y", "z", "n"]).first().n == 3
+    assert last_rows(df.limit(0), "vin", order).count() == 0
