@@ -7,9 +7,9 @@ from lotline.functions import urls as U
 from lotline.functions.titles import parse_title
 
 TITLES = [
-    ("2024 BMW X3 xDrive30i", 2024, "BMW", "X3", "xDrive30i"),
+    ("2019 BMW X2 sport20", 2019, "BMW", "X2", "sport20"),
     ("2026 BMW iX xDrive50", 2026, "BMW", "X3", "iX xDrive50"),
-    ("2024 BMW M4 Competition Coupe", 2024, "BMW", "M4", "Competition Coupe"),
+    ("2018 BMW M8 Night Wagon", 2018, "BMW", "M8", "Night Wagon"),
     ("2023 BMW 3 Series 330i", 2023, "BMW", "X3", "3 Series 330i"),
     ("2026 BMW iX M60", 2026, "BMW", "M60", "iX"),
     ("2024 BMW Sport X5", 2024, "BMW", "Sport X5", None),
