@@ -11,11 +11,14 @@ positives by heart.  Inputs are which words a text holds, and the purest of
 them.  The words are those that positives hold ``LIFT`` times as often as
 unlabelled text.
 
-The fit uses a bounded sample: texts are taken by a hash of their id, at a rate
-that leaves about ``POSITIVES`` positives and ``UNLABELLED`` others, and near
-copies (equal smallest shingle hash) count once.  Words are counted by Spark;
-of each sampled text only which of the chosen words it holds comes to the
-driver.  Scores then cover all rows and whole texts.
+Near copies (equal smallest shingle hash) count once.  The words are chosen by counts
+over all rows that may be learned from: a word that three positives or more hold is
+counted in every text, and taken if its share among positives is ``LIFT`` times that
+among all texts and the difference is significant (likelihood ratio, at a false
+discovery rate of ``ERROR`` over all words tried).  Positives are a bounded sample of labelled rows, of about
+``POSITIVES``; the descent sees about ``UNLABELLED`` other texts, of which only which
+of the chosen words they hold comes to the driver.  Samples are taken by a hash of the
+id.  Scores then cover all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -30,9 +33,9 @@ from .common import held_out, map_batches, texts_of, written
 
 POSITIVES = 3000
 UNLABELLED = 8000
-MOST_WORDS = 128
 LIFT = 4.0
-SUPPORT = 0.01            # share of the positives that hold a word
+HOLDERS = 3               # positives that hold a word, at least
+ERROR = 0.1               # share of the chosen words that may be there by chance
 STEPS = 400
 RATE = 0.2
 SHRINK = 1e-4
@@ -53,39 +56,64 @@ def _sampled(df: DataFrame, n: int, wanted: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < int((1 << 30) * wanted / n))
 
 
-def _bags(df: DataFrame, name: str) -> DataFrame:
-    """(mark, bag): distinct word hashes of each text, near copies once."""
+def _bags(df: DataFrame, name: str, known: np.ndarray | None = None) -> DataFrame:
+    """(mark, bag): distinct word hashes of each text, near copies once; with
+    ``known`` (sorted hashes) the places of those of them that the text holds."""
+    kind = pa.int64() if known is None else pa.int32()
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bags, marks = [], []
         for w in _words(texts_of(b.column(1))):
             s = T.shingle_set(w)
             marks.append(int(s[0].view(np.int64)) if len(s) else 0)
-            bags.append(np.unique(w).view(np.int64))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.list_(pa.int64())), pa.array(marks, pa.int64())],
+            w = np.unique(w)
+            bags.append(w.view(np.int64) if known is None else
+                        np.flatnonzero(np.isin(known, w, assume_unique=True)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.list_(kind)), pa.array(marks, pa.int64())],
                                           ["doc_id", "bag", "mark"])
-    rows = map_batches(df.select("doc_id", "text"), run, "doc_id long, bag array<long>, mark long")
+    rows = map_batches(df.select("doc_id", "text"), run, f"doc_id long, bag array<{'long' if known is None else 'int'}>, mark long")
     # of near copies the smallest id, so a fit is the same every time
     return written(rows.groupBy("mark").agg(F.min_by("bag", "doc_id").alias("bag")), name)
 
 
-def choose_words(pos: DataFrame, unl: DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray]:
+def significant(held: np.ndarray, n_pos: int, times: np.ndarray, n_all: int) -> np.ndarray:
+    """Words held by ``held`` of ``n_pos`` positives and ``times`` of ``n_all`` texts that
+    mark positives: by the likelihood ratio of the two shares, at a false discovery
+    rate of ``ERROR`` over all words tried (Benjamini-Hochberg)."""
+    base = (times + 0.5) / (n_all + 1)
+    share = held / n_pos
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rest = np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0.0)
+        ratio = 2 * n_pos * (share * np.log(share / base) + rest)
+    # a chi-square of one degree exceeds x with a probability below exp(-x / 2)
+    chance = np.where(share > base, np.exp(-ratio / 2), 1.0)
+    ranked = np.sort(chance)
+    passed = np.flatnonzero(ranked <= ERROR * np.arange(1, len(ranked) + 1) / max(len(ranked), 1))
+    return (share >= LIFT * base) & (chance <= (ranked[passed[-1]] if len(passed) else -1.0))
+
+
+def choose_words(pos: DataFrame, rows: DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray]:
     """Words (hashes, sorted) that mark positives, and how purely: the share of
     the texts with a word that the prior lets be toxic, with a margin of two
-    standard errors of the word's count.  Counted by Spark; at most
-    ``MOST_WORDS`` rows come back."""
-    n_pos, n_unl = pos.count(), unl.count()
-    each = pos.select(F.explode("bag").alias("w"), F.lit(1).alias("p")).unionAll(
-        unl.select(F.explode("bag").alias("w"), F.lit(0).alias("p")))
-    share = (F.col("times") + 0.5) / (n_unl + 1)
-    words = each.groupBy("w").agg(F.sum("p").alias("held"), F.sum(1 - F.col("p")).alias("times"))
-    words = words.where(F.col("held") >= max(3, SUPPORT * n_pos)).withColumn("lift", F.col("held") / n_pos / share)
-    best = (words.where(F.col("lift") >= LIFT).orderBy((F.col("held") * F.log("lift")).desc(), "w").limit(MOST_WORDS)
-            .select("w", "held", "times").collect())
-    word = np.array([r["w"] for r in best], dtype=np.int64).view(np.uint64)
-    held, times = (np.array([r[k] for r in best], dtype=np.float64) for k in ("held", "times"))
-    sure = held / max(n_pos, 1) / ((times + 0.5 + 2 * np.sqrt(times + 0.5)) / (n_unl + 1))
-    order = np.argsort(word)
-    return word[order], np.minimum(prior * sure, 1)[order]
+    standard errors of the word's count.  ``pos``: bags of positives; ``rows``: all
+    texts that may be learned from, each of which is looked through for the
+    words of positives.  Counts come back, a row for each of these words."""
+    n_pos = pos.count()
+    tried = (pos.select(F.explode("bag").alias("w")).groupBy("w").agg(F.count("*").alias("held"))
+             .where(F.col("held") >= HOLDERS).collect())
+    known = np.array([r["w"] for r in tried], dtype=np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known, held = known[order], np.array([r["held"] for r in tried], dtype=np.float64)[order]
+    if not len(known):
+        return known, np.empty(0)
+    bags = _bags(rows, "texts", known)
+    n_all, times = bags.count(), np.zeros(len(known))
+    for r in bags.select(F.explode("bag").alias("i")).groupBy("i").agg(F.count("*").alias("n")).collect():
+        times[r["i"]] = r["n"]
+    best = significant(held, n_pos, times, n_all)
+    known, held, times = known[best], held[best], times[best]
+    sure = held / n_pos / ((times + 0.5 + 2 * np.sqrt(times + 0.5)) / (n_all + 1))
+    return known, np.minimum(prior * sure, 1)
 
 
 def _matrix(bags: DataFrame, words: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -142,11 +170,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, out: int = HEL
     rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, out))
     confirmed = _sampled(labels.where("toxic = 1"), toxic, POSITIVES).select("doc_id")
     pos = _bags(rows.join(F.broadcast(confirmed), "doc_id", "left_semi"), "positives")
-    unl = _bags(_sampled(rows, rows.select("doc_id").count(), UNLABELLED), "unlabelled")
     prior = min(max(toxic / n, 1e-4), 0.5)
-    words, marks = choose_words(pos, unl, prior)
+    words, marks = choose_words(pos, rows, prior)
     if not len(words):
         return BLANK
+    unl = _bags(_sampled(rows, rows.select("doc_id").count(), UNLABELLED), "unlabelled")
     return words, marks, fit(_matrix(pos, words, marks), _matrix(unl, words, marks), prior)
 
 

@@ -53,6 +53,51 @@ def test_toxicity_on_held_out_rows(spark):
     assert X.toxicity(d.limit(0), l).count() == 0
 
 
+def test_toxicity_words_and_scores_by_counting(spark):
+    """Words are chosen by counts over every text outside the fold, near copies once; scores are sums over words."""
+    import math
+    import re
+    from lotline.llm import textkit as T
+    d, l, rows, labels = frames(spark)
+    words, marks, weights = X.train(d.select("doc_id", "text"), l)
+    split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower())
+    toxic = {}
+    for i, _, t in labels:
+        if t is not None and i is not None and not _held(i, 3, 1):
+            toxic[i] = max(t, toxic.get(i, 0))
+    prior = sum(toxic.values()) / len(toxic)
+
+    def bags(chosen):
+        """Of texts whose smallest five-word shingle hash is the same that of the smallest id."""
+        out = {}
+        for i, t in sorted(chosen):
+            s = T.shingle_set(T.documents_words([(t or "").encode()], T.IS_MARK)[0])
+            out.setdefault(int(s[0]) if len(s) else 0, (i, set(split(t))))
+        return [b for _, b in out.values()]
+    learn = [(i, t) for i, t in rows if i is not None and not _held(i, 3, 1)]
+    pos, every = bags([r for r in learn if toxic.get(r[0]) == 1]), bags(learn)
+    tried = {w for b in pos for w in b if sum(w in c for c in pos) >= 3}
+    chance, lift, sure = {}, {}, {}
+    for w in tried:
+        p, n = sum(w in b for b in pos) / len(pos), sum(w in b for b in every)
+        q = (n + 0.5) / (len(every) + 1)
+        g = 2 * len(pos) * (p * math.log(p / q) + ((1 - p) * math.log((1 - p) / (1 - q)) if p < 1 else 0))
+        chance[w], lift[w] = math.exp(-g / 2) if p > q else 1.0, p / q
+        sure[w] = min(prior * p / ((n + 0.5 + 2 * math.sqrt(n + 0.5)) / (len(every) + 1)), 1)
+    order = sorted(tried, key=chance.get)
+    last = max((k for k, w in enumerate(order) if chance[w] <= X.ERROR * (k + 1) / len(order)), default=-1)
+    want = {w for w in order[: last + 1] if lift[w] >= X.LIFT}
+    code = {int(T.documents_words([w.encode()], T.IS_MARK)[0][0]): w for w in tried}
+    assert {code[int(h)] for h in words} == want >= {"grumblefig", "snarkle", "blort"}
+    assert np.allclose(marks, [sure[code[int(h)]] for h in words])
+    weight = {code[int(h)]: (weights[k], marks[k]) for k, h in enumerate(words)}
+    for r, (i, t) in zip(sorted(X.score(d, (words, marks, weights)).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.score)),
+                         sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))):
+        hit = [weight[w] for w in set(split(t)) & weight.keys()]
+        z = weights[-1] + sum(a for a, _ in hit) + (weights[-2] * max(m for _, m in hit) if hit else 0)
+        assert r.doc_id == i and abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
 def test_toxicity_without_positives(spark):
     d, l, _, _ = frames(spark)
     for labels in (l.limit(0), l.where("toxic = 0")):
