@@ -69,17 +69,25 @@ def extract(spec: PlatformSpec, captures: DataFrame, keep=("dealer", "page_no",
     return explode_records(spec, parse_payload(caps), keep)
 
 
-def shredded_records(spec: PlatformSpec, captures: DataFrame,
+def key_column(key: str) -> str:
+    """Column of a record's key in the stored records.  Keys may differ by case
+    alone, which column names may not: capitals are written with a dash."""
+    return "k_" + "".join("-" + c.lower() if c.isupper() else c for c in key)
+
+
+def shredded_records(spec: PlatformSpec, captures: DataFrame, keys: list[str],
                      keep=("dealer", "page_no", "source_url", "captured_at")) -> DataFrame:
-    """Records of one platform as they are stored: (keep..., path, pos, kind, rec).
+    """Records of one platform as they are stored: (keep..., path, pos, kind, rec, a column for each of ``keys``).
 
-    ``kind`` is the record's type (OBJECT, STRING, ...); ``rec`` is null unless it is an
-    object.  A column of objects only is written as shredded VARIANT (one Parquet
-    column per frequent key), so whoever reads the table later reads the keys that
-    are asked for, and parses nothing."""
+    ``kind`` is the record's type (OBJECT, STRING, ...); ``rec``, the whole record, is
+    null unless it is an object.  Each key is a VARIANT column of its own, which Spark
+    writes shredded by the type it mostly has, so whoever reads the table later reads
+    the keys that are asked for, and parses nothing.  (Fields of one shredded column
+    would be pushed into the scan as well, but the scan reads the whole column.)"""
     recs = extract(spec, captures, keep)
+    rec = F.when(V.is_object_cheap(F.col("rec")), F.col("rec"))
     return recs.select(*keep, "path", "pos", F.regexp_extract(F.schema_of_variant("rec"), "^[A-Z]+", 0).alias("kind"),
-                       F.when(V.is_object_cheap(F.col("rec")), F.col("rec")).alias("rec"))
+                       rec.alias("rec"), *[V.get(F.col("rec"), k).alias(key_column(k)) for k in dict.fromkeys(keys)])
 
 
 # ---------------------------------------------------------------- diagnostics

@@ -23,7 +23,7 @@ from ..functions import urls as U
 from ..functions import variant as V
 from ..functions.variant import try_cast
 from ..sources.schemas import ITEM, ITEM_COLUMNS
-from .extract import extract
+from .extract import extract, key_column
 from .platforms import PlatformSpec
 
 
@@ -38,8 +38,8 @@ def apart(df: DataFrame, cols: list[Column]) -> DataFrame:
 class Rec:
     """Access to the staged key columns of a record."""
 
-    def __init__(self, keys, stored: bool = False):
-        # stored records carry their type: whether one is an object is not read from it
+    def __init__(self, keys, stored: frozenset[str] = frozenset()):
+        # stored records have a column for each key, and one for their type
         self.stored = stored
         # Columns are named by position: keys such as 'vin' and 'VIN' differ
         # only by case, and column names resolve case-insensitively.
@@ -59,7 +59,8 @@ class Rec:
         """Columns of each stage: one lookup per key (measured faster than one
         cast of the record to a struct of all keys), then types, then truthiness."""
         rec = F.col("rec")
-        return [[V.get(rec, k).alias(f"_f{self.idx[k]}") for k in self.keys],
+        at = lambda k: F.col(f"`{key_column(k)}`") if key_column(k) in self.stored else V.get(rec, k)
+        return [[at(k).alias(f"_f{self.idx[k]}") for k in self.keys],
                 [(F.coalesce(F.col("kind") == "OBJECT", F.lit(False)) if self.stored else V.is_object_cheap(rec)).alias("_obj_rec"),
                  *[F.schema_of_variant(self.v(k)).alias(f"_t{self.idx[k]}") for k in self.keys]],
                 [V.truthy(self.v(k), self.t(k)).alias(f"_b{self.idx[k]}") for k in self.keys]]
@@ -252,7 +253,7 @@ _PLANS: dict[tuple, tuple] = {}
 
 
 def _plan(spec: PlatformSpec, fields: tuple[str, ...] | None = None,
-          stored: bool = False) -> tuple[list[list[Column]], dict[str, Column], Column]:
+          stored: frozenset[str] = frozenset()) -> tuple[list[list[Column]], dict[str, Column], Column]:
     """(stages, item columns, reject reason) of a platform.  They do not depend
     on the data, so they are built once: each part of an expression costs a
     call into the JVM."""
@@ -287,14 +288,14 @@ def normalize_records(spec: PlatformSpec, records: DataFrame, fields: tuple[str,
     """records(dealer, source_url, rec, ...) -> items + ``reject_reason``.
 
     ``fields``: item fields to work out; only their keys (and those that a reject
-    reason depends on) are looked up.  With stored records (``kind`` and a shredded
-    ``rec``) no other key is read from the file."""
-    stored = "kind" in records.columns
-    keep = [c for c in records.columns if c not in ("rec", "kind")]
+    reason depends on) are looked up.  With stored records (``extract.shredded_records``)
+    no other key's column is read from the file; a key without a column is looked up
+    in the whole record."""
+    stored = frozenset(c for c in records.columns if c == "kind" or c.startswith("k_")) if "kind" in records.columns else frozenset()
+    keep = [c for c in records.columns if c != "rec" and c not in stored]
     stages, cols, reason = _plan(spec, fields, stored)
     if stored:
-        # looked up in the scan's own projection, so that the scan reads these keys only
-        staged = records.select(*keep, "kind", *stages[0])
+        staged = records.select(*keep, "kind", *stages[0])      # the scan's own projection: it reads these columns
         stages = stages[1:]
     else:
         staged = records.select(*keep, "rec")

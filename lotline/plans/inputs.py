@@ -73,17 +73,18 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of all captured pages, parsed once and stored as shredded
-    VARIANT in folders by platform: a query on a few fields reads their keys only."""
+    """The records of all captured pages, parsed once and stored key by key as shredded
+    VARIANT columns, in folders by platform: a query on a few fields reads their keys only."""
     from ..operators.extract import shredded_records
+    from ..operators.normalize import spec_keys
     from ..operators.platforms import PLATFORMS
 
     def build() -> DataFrame:
         caps = captures(spark, sf_dir)
         out = None
         for spec in PLATFORMS.values():
-            part = shredded_records(spec, caps).withColumn("platform", F.lit(spec.name))
-            out = part if out is None else out.unionByName(part)
+            part = shredded_records(spec, caps, spec_keys(spec)).withColumn("platform", F.lit(spec.name))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
     return materialize_partitioned(spark, "records", build, key(spark, sf_dir), ["platform"])
 
