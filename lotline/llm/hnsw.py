@@ -32,7 +32,7 @@ LINKS = 16                 # neighbours on upper levels; twice as many on the lo
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 160
 MIN_SHARDS = 12
-SHARD_BYTES = 64 << 20      # of vectors, in double precision, in one shard
+SHARD_BYTES = 4 << 20       # of vectors, in double precision, in one shard: recall falls as shards grow
 QUERY_BLOCK = 4096
 LOCKSTEP = 256
 VISITED_BYTES = 64 << 20
@@ -266,6 +266,29 @@ def _different(good: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                                      "embedding"), "different"), written(members, "ids"))
 
 
+def _search(g: Graph, x: np.ndarray, q: np.ndarray, k: int, width: int) -> np.ndarray:
+    """Places found for each query (-1: none), at least ``width``; where the last of
+    them scores as the answers' last does, so that others of that score may have
+    been left out, the search is made twice as wide."""
+    rows = len(x)
+    width = min(width, max(rows, 2))
+    best, _ = g.search(np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), width)
+    if width >= rows:
+        return best
+    score = np.einsum("bkd,bd->bk", x[np.maximum(best, 0)], q)
+    score[best < 0] = -np.inf
+    score = -np.sort(-score, axis=1)
+    many = (best >= 0).sum(axis=1)
+    # one more than k: the query's own vector may be among them
+    tied = np.flatnonzero((many > k) & (score[:, min(k, width - 1)] == score[np.arange(len(q)), np.maximum(many, 1) - 1]))
+    for part in np.array_split(tied, max(1, len(tied) * width // (LOCKSTEP * SEARCH_WIDTH))):
+        if len(part):
+            more = _search(g, x, q[part], k, 2 * width)
+            best = np.pad(best, ((0, 0), (0, max(0, more.shape[1] - best.shape[1]))), constant_values=-1)
+            best[part, : more.shape[1]] = more
+    return best
+
+
 def _nearest(spark, good, queries, k, width, min_shards, shard_rows) -> DataFrame:
     different, members = _different(good, k)
     count = different.count()
@@ -282,9 +305,8 @@ def _nearest(spark, good, queries, k, width, min_shards, shard_rows) -> DataFram
         out: list[list] = [[], [], [], [], [], []]
         step = max(1, min(LOCKSTEP, VISITED_BYTES // rows))
         for at in range(0, len(q), step):
-            part = np.concatenate([q[at: at + step], np.zeros((len(q[at: at + step]), 1))], axis=1)
-            best, _ = g.search(part.astype(np.float32), min(max(width, 2 * k + 2), max(rows, 2)))
-            own = np.arange(len(part))[:, None] + np.zeros_like(best)
+            best = _search(g, x, q[at: at + step], k, max(width, 2 * k + 2))
+            own = np.arange(len(best))[:, None] + np.zeros_like(best)
             # a vector of the query's own id alone is no answer; of many, other ids may be
             ok = (best >= 0) & ((ids[best] != qid[at: at + step][:, None]) | many[best])
             o, p = own[ok], best[ok]

@@ -79,3 +79,36 @@ def test_an_id_with_several_vectors(spark):
     df = spark.createDataFrame([(i, v, "s", 1) for i, v in [(20, [1., 0.]), (20, [0., 1.]), (1, [2., 0.]), (2, [0., 3.]), (2, [5., 0.])]], SCHEMA)
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in H.nearest(df, "vec_id = 20").collect())
     assert got == sorted([(20, 1, 2, 5.), (20, 2, 1, 2.), (20, 3, 2, 0.), (20, 1, 2, 3.), (20, 2, 1, 0.), (20, 3, 2, 0.)])
+
+
+def test_recall_on_a_full_shard():
+    """As many vectors as one shard may hold, around the given ones: 0.9 of the nearest at least."""
+    import numpy as np
+    import pyarrow.parquet as pq
+    from lotline.llm import hnsw as H
+    given = [v for v in pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist() if v]
+    rng = np.random.default_rng(1)
+    x = np.array(given, dtype=np.float64)
+    n = H.SHARD_BYTES // (8 * x.shape[1])
+    x = np.concatenate([x, x[rng.integers(0, len(x), n - len(x))] + rng.normal(scale=0.05, size=(n - len(x), x.shape[1]))])
+    square = (x * x).sum(axis=1)
+    g = H.build(np.concatenate([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], axis=1).astype(np.float32))
+    asked = rng.choice(n, 200, replace=False)
+    found = H._search(g, x, x[asked], 20, H.SEARCH_WIDTH)
+    hits = 0
+    for row, best in zip(x[asked], found):
+        score = x @ row
+        best = best[best >= 0]
+        hits += len(set(np.argsort(-score)[:20]) & set(best[np.argsort(-score[best])][:20]))
+    assert hits >= 0.9 * 20 * len(asked)
+
+
+def test_ties_beyond_the_search_width(spark):
+    """More different vectors of one score than the search is wide: the smallest ids are the answer."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(i, [0.5, *rng.normal(size=3).tolist()]) for i in range(1, 500)]
+    df = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>")
+    from lotline.llm import hnsw as H
+    got = H.nearest(df, "vec_id = 0", k=20, min_shards=1, width=40).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 0.5) for i in range(1, 21)]
