@@ -67,8 +67,11 @@ def _bags(df: DataFrame, name: str, known: np.ndarray | None = None) -> DataFram
             s = T.shingle_set(w)
             marks.append(int(s[0].view(np.int64)) if len(s) else 0)
             w = np.unique(w)
-            bags.append(w.view(np.int64) if known is None else
-                        np.flatnonzero(np.isin(known, w, assume_unique=True)).astype(np.int32))
+            if known is None:
+                bags.append(w.view(np.int64))
+            else:
+                at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+                bags.append(at[known[at] == w].astype(np.int32))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.list_(kind)), pa.array(marks, pa.int64())],
                                           ["doc_id", "bag", "mark"])
     rows = map_batches(df.select("doc_id", "text"), run, f"doc_id long, bag array<{'long' if known is None else 'int'}>, mark long")
