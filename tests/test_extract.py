@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from lotline.operators import extract as X
 from lotline.operators.extract import extract
 from lotline.operators.platforms import DEALERCOM, ROADSTER
 
@@ -62,3 +63,22 @@ def test_roadster_null_search_stops(spark):
 def test_dealercom_non_list_alternative_skipped(spark):
     rows = _run(spark, DEALERCOM, {"DDC": {"inventory": "text", "inventoryData": ITEMS}})
     assert {r.path for r in rows} == {"DDC.inventoryData"}
+
+
+def test_diagnostics_parse_a_page_once_and_copy_no_list(spark):
+    """One parse a page (no inferred filter repeats it), and types and lengths without the members as variants."""
+    pages = ['{"DDC":{"inventory":{"a":1}},"inventory":"x","ddc":{"InvData":{"inventory":[null,[],5]}}}',
+             '{"DDC":null,"inventory":null,"_DDC":{"InvData":{"inventory":[]}}}', '{"DDC":{"inventory":true,"inventoryData":7}}',
+             '{"DDC":{"InvData":{"inventory":null}}}', "[]", "null", "not json", None]
+    caps = spark.createDataFrame([("D", i, "page", "dealercom", p) for i, p in enumerate(pages)],
+                                 "dealer string, page_no long, capture_kind string, platform string, payload string")
+    df = X.path_diagnostics(DEALERCOM, caps)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and "ArrayType(VariantType" not in plan
+    got = {}
+    for r in df.orderBy("page_no", "step").collect():
+        got.setdefault(r.page_no, []).append((r.path_type, r.path_len))
+    none = ("NoneType", "N/A")
+    assert got == {0: [("dict", "N/A"), ("str", "N/A"), none, ("list", "3")],
+                   1: [none, none, ("list", "0"), none, none, none],
+                   2: [("bool", "N/A"), none, none, none, ("int", "N/A"), none]}
